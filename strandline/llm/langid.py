@@ -10,9 +10,8 @@ probability is the sum over its words; the language with the largest one wins.
 from __future__ import annotations
 
 import base64
-import math
-from collections.abc import Iterator
-from dataclasses import dataclass, field
+from collections.abc import Iterable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -22,88 +21,119 @@ from pyspark.sql import functions as F
 
 WORD = regex.compile(r"\p{L}+")
 UNDETERMINED = "und"
-#: A worker's cache of word scores starts again at this size.
+#: A worker's cache of word scores starts again when it has grown beyond this size.
 CACHED_WORDS = 200_000
+#: Texts are scored together until they have so many words.
+WORDS_TOGETHER = 200_000
+#: Bytes of words that no sum can underflow for.
+_SHORT = 36
 _TINY = 1e-180
 
 
 @dataclass
 class PieceModel:
-    """log-free piece probabilities: rows of ``probs`` follow ``langs``; pieces not listed have the floor's."""
+    """Piece probabilities: the rows of ``probs`` follow ``pieces``, its columns ``langs``.
+
+    ``keys`` has each piece as a number (see ``_key``), in order, and ``probs`` a
+    last row of zeros for what is no piece.
+    """
 
     langs: list[str]
     longest: int
-    pieces: frozenset[bytes] | set[bytes]
-    probs: dict[bytes, tuple[float, ...]]
-    floor: tuple[float, ...]
-    _rows: dict[str, int] = field(default_factory=dict, repr=False)
-    _scores: np.ndarray | None = field(default=None, repr=False)
-
-    def __getstate__(self):
-        return self.__dict__ | {"_rows": {}, "_scores": None}
-
-    def word_scores(self, word: str) -> list[float]:
-        """log P(word) in each language, by the forward algorithm over the word's bytes."""
-        data = _spell(word)
-        probs, floor, pieces, longest = self.probs, self.floor, self.pieces, self.longest
-        k = len(self.langs)
-        forward = [[1.0] * k]
-        shift = [0.0] * k
+    keys: np.ndarray
+    probs: np.ndarray
+
+    def _rows_of(self, keys: np.ndarray) -> np.ndarray:
+        at = np.searchsorted(self.keys, keys)
+        at[at == len(self.keys)] = 0
+        return np.where(self.keys[at] == keys, at, len(self.keys))
+
+    def _scores_alike(self, words: np.ndarray) -> np.ndarray:
+        """log P of words of equal length, one in each row of bytes, by the forward algorithm over all of them at once."""
+        count, size = words.shape
+        wide = words.astype(np.uint64)
+        forward = [np.ones((count, len(self.langs)))] + [np.zeros((count, len(self.langs))) for _ in range(size)]
+        for start in range(size):
+            key = np.zeros(count, np.uint64)
+            for n in range(1, min(self.longest, size - start) + 1):
+                key |= wide[:, start + n - 1] << np.uint64(64 - 8 * n)
+                forward[start + n] += forward[start] * self.probs[self._rows_of(key | np.uint64(n))]
+        return np.log(np.maximum(forward[-1], 5e-324))
+
+    def _score_long(self, data: bytes) -> np.ndarray:
+        """The same for one word of any length: the last sums are scaled up before they get too small."""
+        shift = np.zeros(len(self.langs))
+        window = [np.ones(len(self.langs))]
         for end in range(1, len(data) + 1):
-            total = [0.0] * k
-            for start in range(max(0, end - longest), end):
-                piece = data[start:end]
-                if piece in pieces:
-                    row, before = probs.get(piece, floor), forward[start]
-                    for i in range(k):
-                        total[i] += before[i] * row[i]
-            forward.append(total)
-            for i in range(k):
-                if total[i] < _TINY:  # what later sums need is scaled up alike
-                    for at in range(max(0, end + 1 - longest), end + 1):
-                        forward[at][i] /= _TINY
-                    shift[i] += math.log(_TINY)
-        return [math.log(max(x, 5e-324)) + s for x, s in zip(forward[-1], shift, strict=True)]
-
-    def text_scores(self, words: list[str]) -> np.ndarray:
-        """The sum of the words' scores in each language."""
-        if self._scores is None:
-            self._scores = np.empty((CACHED_WORDS, len(self.langs)))
-        rows, scores = self._rows, self._scores
-        at = list(map(rows.get, words))
-        if None not in at:
-            return scores[at].sum(axis=0)
-        total = np.zeros(len(self.langs))
-        for word, row in zip(words, at, strict=True):
-            if row is None:
-                row = rows.get(word)
-            if row is None:
-                if len(rows) >= CACHED_WORDS:
-                    return total + self._uncached(words, total)
-                row = len(rows)
-                scores[row] = self.word_scores(word)
-                rows[word] = row
-            total += scores[row]
-        return total
-
-    def _uncached(self, words: list[str], done: np.ndarray) -> np.ndarray:
-        """The cache is full: start it again and score the whole text word by word."""
-        self._rows.clear()
-        own: dict[str, np.ndarray] = {}
-        total = np.zeros(len(self.langs))
-        for word in words:
-            if word not in own:
-                own[word] = np.array(self.word_scores(word))
-            total += own[word]
-        return total - done
-
-    def predict(self, text: str | None) -> tuple[str, float]:
-        words = WORD.findall(text.lower()) if text else []
-        if not words or not self.langs:
-            return UNDETERMINED, 0.0
-        scores = self.text_scores(words)
-        best = int(scores.argmax())
-        return self.langs[best], float(1.0 / np.exp(scores - scores[best]).sum())
+            first = max(0, end - self.longest)
+            rows = self._rows_of(np.array([_key(data[start:end]) for start in range(first, end)], np.uint64))
+            window = window[-(end - first) :]
+            window.append(sum(before * self.probs[row] for before, row in zip(window, rows, strict=True)))
+            low = window[-1] < _TINY
+            if low.any():
+                window = [np.where(low, x / _TINY, x) for x in window]
+                shift += np.where(low, np.log(_TINY), 0.0)
+        return np.log(np.maximum(window[-1], 5e-324)) + shift
+
+    def word_scores(self, words: list[str]) -> np.ndarray:
+        """log P of each word in each language."""
+        out = np.empty((len(words), len(self.langs)))
+        by_size: dict[int, list[int]] = {}
+        data = [_spell(w) for w in words]
+        for i, d in enumerate(data):
+            by_size.setdefault(len(d), []).append(i)
+        for size, at in by_size.items():
+            if size <= _SHORT:
+                out[at] = self._scores_alike(np.frombuffer(b"".join(data[i] for i in at), np.uint8).reshape(len(at), size))
+            else:
+                for i in at:
+                    out[i] = self._score_long(data[i])
+        return out
+
+
+class Scorer:
+    """Predictions of a model, with the scores of words it has met; starts them again when they are many."""
+
+    def __init__(self, model: PieceModel, cached: int = CACHED_WORDS):
+        self.model, self.cached = model, cached
+        self.rows: dict[str, int] = {}
+        self.scores = np.empty((0, len(model.langs)))
+
+    def _learn(self, words: list[str]) -> None:
+        self.rows.update(zip(words, range(len(self.rows), len(self.rows) + len(words)), strict=True))
+        self.scores = np.concatenate([self.scores[: len(self.rows) - len(words)], self.model.word_scores(words)])
+
+    def predict(self, texts: Iterable[str | None]) -> Iterator[tuple[str, float]]:
+        """A (language, score) for each text, in order; a few texts are looked at together."""
+        waiting: list[list[str]] = []
+        many = 0
+        for text in texts:
+            waiting.append(WORD.findall(text.lower()) if text else [])
+            many += len(waiting[-1])
+            if many >= WORDS_TOGETHER:
+                yield from self._judge(waiting)
+                waiting, many = [], 0
+        yield from self._judge(waiting)
+
+    def _judge(self, texts: list[list[str]]) -> Iterator[tuple[str, float]]:
+        langs = self.model.langs
+        if len(self.rows) > self.cached:
+            self.rows, self.scores = {}, self.scores[:0]
+        fresh = {w for words in texts for w in words if w not in self.rows} if langs else ()
+        if fresh:
+            self._learn(sorted(fresh))
+        for words in texts:
+            if not words or not langs:
+                yield UNDETERMINED, 0.0
+                continue
+            total = self.scores[list(map(self.rows.__getitem__, words))].sum(axis=0)
+            best = int(total.argmax())
+            yield langs[best], float(1.0 / np.exp(total - total[best]).sum())
+
+
+def _key(piece: bytes) -> int:
+    """A piece of at most seven bytes as a number: its bytes, then its length."""
+    return int.from_bytes(piece.ljust(7, b"\0"), "big") << 8 | len(piece)
 
 
 def _spell(word: str) -> bytes:
@@ -111,7 +141,7 @@ def _spell(word: str) -> bytes:
 
 
 def read_pieces(path: str, longest: int) -> set[bytes]:
-    """The vocabulary's pieces of at most ``longest`` bytes; every single byte is among them."""
+    """The vocabulary's pieces of at most ``longest`` (7 or less) bytes; every single byte is among them."""
     with open(path, "rb") as lines:
         pieces = {base64.b64decode(line.split()[0]) for line in lines}
     return {p for p in pieces if len(p) <= longest} | {bytes([b]) for b in range(256)}
@@ -161,9 +191,11 @@ def fit(counts: dict[str, dict[str, int]], pieces: set[bytes], longest: int, rou
             probs = [e / total for e in expected]
         floors.append(added / total if counts[lang] else 1.0 / max(len(pieces), 1))
         tables.append({piece: probs[i] for piece, i in used.items()})
-    known = {p for t in tables for p in t}
-    rows = {p: tuple(t.get(p, floor) for t, floor in zip(tables, floors, strict=True)) for p in known}
-    return PieceModel(langs, longest, pieces, rows, tuple(floors))
+    ordered = sorted(pieces, key=_key)
+    probs = np.zeros((len(ordered) + 1, len(langs)))
+    for i, (own, floor) in enumerate(zip(tables, floors, strict=True)):
+        probs[:-1, i] = [own.get(p, floor) for p in ordered]
+    return PieceModel(langs, longest, np.array([_key(p) for p in ordered], np.uint64), probs)
 
 
 def fold(id_col: str = "doc_id"):
@@ -171,7 +203,7 @@ def fold(id_col: str = "doc_id"):
     return F.crc32(F.col(id_col).cast("string")) % 5
 
 
-def train(docs: DataFrame, path: str, longest: int = 12, rare: float = 1 / 20_000) -> PieceModel:
+def train(docs: DataFrame, path: str, longest: int = 7, rare: float = 1 / 20_000) -> PieceModel:
     """Fit on the rows whose ``fold`` is not 0, with a language and a text; all of them are counted.
 
     The driver gets the (language, word) counts of ``word_counts``: at most
@@ -195,9 +227,9 @@ def identify(docs: DataFrame, model: PieceModel, keep: tuple[str, ...] = ("doc_i
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = shared.value
+        scorer = Scorer(shared.value)
         for batch in batches:
-            found = [own.predict(value.as_py()) for value in batch.column(batch.num_columns - 1)]
+            found = list(scorer.predict(value.as_py() for value in batch.column(batch.num_columns - 1)))
             columns = [*batch.columns[:-1], pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())]
             yield pa.RecordBatch.from_arrays(columns, names=[*keep, "lang_pred", "score"])
 
