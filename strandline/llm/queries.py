@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandline.llm import bpe, langid, urlrules
+from strandline.llm import bpe, langid, mixing, urlrules
 
 BPE_FILE = "byte_bpe_50k.tiktoken"
 PIECE_FILE = "byte_bpe_multi_50k.tiktoken"
@@ -25,6 +25,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    return mixing.mix(docs).select("doc_id", "size", "source_size", "target", "taken")
+
+
 def op6_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     rules = spark.createDataFrame(URL_RULES, "host string, path string, verdict string")
     return urlrules.judge(table(spark, sf_dir, "pages"), rules)
@@ -42,12 +47,34 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op2_mixing": op2_mixing,
     "op6_url_filters": op6_url_filters,
     "op9_byte_bpe": op9_byte_bpe,
     "op10_language_id": op10_language_id,
 }
 
 SQL = {
+    "op2_mixing": r"""
+WITH sized AS (
+  SELECT doc_id, source, len(list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '')) AS size FROM documents),
+sources AS (
+  SELECT source, sum(size)::BIGINT AS source_size, (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1 AS weight FROM sized GROUP BY source),
+levels AS (
+  SELECT *, (sum(source_size) OVER () - coalesce(sum(source_size * 3) OVER (o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
+            / (sum(weight) OVER (o ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)) AS level
+  FROM sources WINDOW o AS (ORDER BY source_size * 3 / weight, source NULLS LAST)),
+targets AS (
+  SELECT source, source_size, least((source_size * 3)::DOUBLE, coalesce(max(CASE WHEN level * weight < source_size * 3 THEN level END) OVER () * weight, (source_size * 3)::DOUBLE)) AS target FROM levels),
+ranked AS (
+  SELECT doc_id, source, size, row_number() OVER (
+    PARTITION BY source ORDER BY length(bin(size)) * 16 + list_reduce(list_transform(string_split(left(bin(size), 4), ''), lambda b: b::INT), lambda a, b: a * 2 + b),
+    ('0x' || substr(md5('0:' || coalesce(doc_id::VARCHAR, '')), 1, 8))::UBIGINT, doc_id, size) AS place
+  FROM sized)
+SELECT doc_id, size, source_size, target,
+  ((floor(place * (target / source_size) + start) - floor((place - 1) * (target / source_size) + start)) * size)::BIGINT AS taken
+FROM (SELECT r.*, source_size, target, ('0x' || substr(md5('0/' || coalesce(r.source, '')), 1, 8))::UBIGINT / 4294967296.0 AS start
+      FROM ranked r JOIN targets t ON r.source IS NOT DISTINCT FROM t.source)
+""",
     "op6_url_filters": r"""
 WITH parts AS (
   SELECT page_id,
