@@ -13,33 +13,61 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import re
 import struct
-from collections.abc import Iterable, Iterator
+import sys
+from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Entries of a worker's piece cache; when it is full it starts again, so memory stays bounded.
-CACHED_PIECES = 150_000
+#: Entries of a generation of a worker's piece cache, and of its pair cache, which starts again when full.
+CACHED_PIECES = 250_000
 CACHED_PAIRS = 600_000
 _NONE = -1
 
 
+#: The same splits as the usual pattern in the classes of the standard library's matcher, which is faster.
+_USUAL = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+_FASTER = r""" ?[^\W\d_]+| ?\d+|'(?:s|t|re|ve|m|ll|d)| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+"""
+
+
+def splitter(pattern: str) -> Callable[[str], list[str]]:
+    """What cuts a text into its pieces."""
+    exact = regex.compile(pattern).findall
+    if pattern != _USUAL:
+        return exact
+    every = "".join(map(chr, (*range(0xD800), *range(0xE000, sys.maxunicode + 1))))
+    classes = ((r"\p{L}", r"[^\W\d_]"), (r"\p{N}", r"\d"), (r"\s", r"\s"))
+    differ = set().union(*(set(regex.findall(a, every)) ^ set(re.findall(b, every)) for a, b in classes))
+    differ.update(map(chr, range(0xD800, 0xE000)))
+    ascii_odd = [c for c in differ if c < "\x80"]
+    faster = re.compile(_FASTER).findall
+
+    def split(text: str) -> list[str]:
+        odd = any(c in text for c in ascii_odd) or not text.isascii() and not differ.isdisjoint(text)
+        return exact(text) if odd else faster(text)
+
+    return split
+
+
 class ByteBPE:
     """Encoder and decoder for the ranks of a vocabulary; ids are ranks."""
 
     def __init__(self, ranks: dict[bytes, int], pattern: str):
         self.ranks = ranks
-        self.pattern = regex.compile(pattern)
+        self.split = splitter(pattern)
         self.bytes_of = [b""] * (max(ranks.values(), default=-1) + 1)
         for token, rank in ranks.items():
             self.bytes_of[rank] = token
         self.longest = max(map(len, ranks), default=1)
         self._halves: dict[int, tuple[int, int] | None] = {}
-        self._pairs: dict[tuple[int, int], bool] = {}
+        self._pairs: dict[int, bool] = {}
         self._pieces: dict[str, bytes] = {}
+        self._earlier: dict[str, bytes] = {}
+        self._begins = {token[:n]: _NONE for token in ranks for n in range(1, len(token))} | ranks
 
     @classmethod
     def from_file(cls, path: str, pattern: str) -> ByteBPE:
@@ -69,19 +97,11 @@ class ByteBPE:
             self._halves[token] = found
         return self._halves[token]
 
-    def may_follow(self, left: int, right: int) -> bool:
-        """Whether an encoding can hold ``left`` directly before ``right``."""
-        key = (left, right)
-        known = self._pairs.get(key)
-        if known is None:
-            if len(self._pairs) >= CACHED_PAIRS:
-                self._pairs.clear()
-            known = self._pairs[key] = self._border_holds(left, right)
-        return known
-
     def _border_holds(self, left: int, right: int) -> bool:
         """Undo merges on both sides of the border, latest first, and look for a cross merge that would have come sooner."""
         ranks, text = self.ranks, self.bytes_of
+        if self.halves(left) is None or self.halves(right) is None:
+            return False
         before = len(text) + 1  # a cross merge of a rank below this would have been made
         while True:
             if ranks.get(text[left] + text[right], before) < before:
@@ -97,18 +117,31 @@ class ByteBPE:
                 return True
 
     def extend_prefixes(self, data: bytes, last: list[int], stop: int | None = None) -> None:
-        """Append to ``last`` the last token of each prefix of ``data`` up to ``stop`` bytes; last[i] is for i + 1 bytes."""
-        get = self.ranks.get
-        for end in range(len(last) + 1, (len(data) if stop is None else stop) + 1):
-            for start in range(max(0, end - self.longest), end):
-                token = get(data[start:end])
-                if token is None or self.halves(token) is None:
-                    continue
-                if not start or self.may_follow(last[start - 1], token):
-                    last.append(token)
+        """Append to ``last`` the last token of each prefix of ``data`` up to ``stop`` bytes; last[i] is for i + 1 bytes.
+
+        From each start the walk goes on while some token begins like that.
+        """
+        known, stop = len(last), len(data) if stop is None else stop
+        last.extend([_NONE] * (stop - known))
+        begins, pairs = self._begins.get, self._pairs
+        for start in range(max(0, known + 1 - self.longest), stop):
+            left = last[start - 1] if start else _NONE
+            for end in range(start + 1, stop + 1):
+                token = begins(data[start:end])
+                if token is None:
                     break
-            else:
-                raise ValueError("the vocabulary lacks a single byte")
+                if token == _NONE or last[end - 1] != _NONE:
+                    continue
+                if not start:
+                    holds = self.halves(token) is not None
+                elif (holds := pairs.get(key := left << 32 | token)) is None:
+                    if len(pairs) >= CACHED_PAIRS:
+                        pairs.clear()
+                    holds = pairs[key] = self._border_holds(left, token)
+                if holds:
+                    last[end - 1] = token
+        if _NONE in last[known:]:
+            raise ValueError("the vocabulary lacks a single byte")
 
     def read_back(self, last: list[int]) -> list[int]:
         ids, end = [], len(last)
@@ -128,19 +161,26 @@ class ByteBPE:
 
     def pack(self, text: str) -> bytes:
         """The ids of ``text`` as little-endian unsigned 32-bit integers."""
-        cache, out = self._pieces, []
-        for piece in self.pattern.findall(text):
-            packed = cache.get(piece)
-            if packed is None:
-                ids = self.encode_piece(piece.encode("utf-8", "replace"))
-                packed = struct.pack(f"<{len(ids)}I", *ids)
-                if len(piece) <= 64:
-                    if len(cache) >= CACHED_PIECES:
-                        cache.clear()
-                    cache[piece] = packed
-            out.append(packed)
+        pieces = self.split(text)
+        out = list(map(self._pieces.get, pieces))
+        at = -1
+        for _ in range(out.count(None)):
+            at = out.index(None, at + 1)
+            out[at] = self._pack_piece(pieces[at])
         return b"".join(out)
 
+    def _pack_piece(self, piece: str) -> bytes:
+        """Two generations of pieces are kept; one that is met again moves to the younger."""
+        packed = self._pieces.get(piece) or self._earlier.get(piece)
+        if packed is None:
+            ids = self.encode_piece(piece.encode("utf-8", "replace"))
+            packed = struct.pack(f"<{len(ids)}I", *ids)
+        if len(piece) <= 64:
+            if len(self._pieces) >= CACHED_PIECES:
+                self._earlier, self._pieces = self._pieces, {}
+            self._pieces[piece] = packed
+        return packed
+
     def encode(self, text: str) -> list[int]:
         packed = self.pack(text)
         return list(struct.unpack(f"<{len(packed) // 4}I", packed))
