@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandline.llm import bpe, langid, mixing, urlrules
+from strandline.llm import bpe, exactdedup, langid, mixing, urlrules
 
 BPE_FILE = "byte_bpe_50k.tiktoken"
 PIECE_FILE = "byte_bpe_multi_50k.tiktoken"
@@ -30,6 +30,11 @@ def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(docs).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    grouped = exactdedup.groups(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return grouped.select("doc_id", "keep_id", "group_size", exactdedup.kept().alias("kept"), F.lower(F.hex("digest")).alias("text_sha256"))
+
+
 def op6_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     rules = spark.createDataFrame(URL_RULES, "host string, path string, verdict string")
     return urlrules.judge(table(spark, sf_dir, "pages"), rules)
@@ -48,6 +53,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op2_mixing": op2_mixing,
+    "op5_exact_dedup": op5_exact_dedup,
     "op6_url_filters": op6_url_filters,
     "op9_byte_bpe": op9_byte_bpe,
     "op10_language_id": op10_language_id,
@@ -74,6 +80,10 @@ SELECT doc_id, size, source_size, target,
   ((floor(place * (target / source_size) + start) - floor((place - 1) * (target / source_size) + start)) * size)::BIGINT AS taken
 FROM (SELECT r.*, source_size, target, ('0x' || substr(md5('0/' || coalesce(r.source, '')), 1, 8))::UBIGINT / 4294967296.0 AS start
       FROM ranked r JOIN targets t ON r.source IS NOT DISTINCT FROM t.source)
+""",
+    "op5_exact_dedup": r"""
+SELECT doc_id, max(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size, doc_id = max(doc_id) OVER g AS kept, sha256(coalesce(text, '')) AS text_sha256
+FROM documents WINDOW g AS (PARTITION BY coalesce(text, ''))
 """,
     "op6_url_filters": r"""
 WITH parts AS (
