@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandline.llm import bpe, exactdedup, langid, mixing, pii, quality, urlrules
+from strandline.llm import bpe, exactdedup, langid, licenses, mixing, pii, quality, urlrules
 
 BPE_FILE = "byte_bpe_50k.tiktoken"
 PIECE_FILE = "byte_bpe_multi_50k.tiktoken"
@@ -44,6 +44,10 @@ def op6_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urlrules.judge(table(spark, sf_dir, "pages"), rules)
 
 
+def op7_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"))
 
@@ -64,6 +68,7 @@ QUERIES = {
     "op2_mixing": op2_mixing,
     "op5_exact_dedup": op5_exact_dedup,
     "op6_url_filters": op6_url_filters,
+    "op7_licenses": op7_licenses,
     "op8_quality": op8_quality,
     "op9_byte_bpe": op9_byte_bpe,
     "op10_language_id": op10_language_id,
