@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandline.llm import bpe, exactdedup, langid, licenses, mixing, pii, quality, simhash, urlrules
+from strandline.llm import bpe, exactdedup, langid, licenses, mixing, pii, preference, quality, simhash, urlrules
 
 BPE_FILE = "byte_bpe_50k.tiktoken"
 PIECE_FILE = "byte_bpe_multi_50k.tiktoken"
@@ -38,6 +38,12 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.link(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op4_preference(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations 2k (chosen) and 2k + 1 (rejected) are the pair k."""
+    turns = table(spark, sf_dir, "conversations")
+    return preference.pairs(turns.select(F.floor(F.col("conv_id") / 2).alias("pair"), (F.col("conv_id") % 2 == 0).alias("chosen"), "turn", "role", "text"))
+
+
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     grouped = exactdedup.groups(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return grouped.select("doc_id", "keep_id", "group_size", exactdedup.kept().alias("kept"), F.lower(F.hex("digest")).alias("text_sha256"))
@@ -71,6 +77,7 @@ QUERIES = {
     "op1_pii": op1_pii,
     "op2_mixing": op2_mixing,
     "op3_simhash": op3_simhash,
+    "op4_preference": op4_preference,
     "op5_exact_dedup": op5_exact_dedup,
     "op6_url_filters": op6_url_filters,
     "op7_licenses": op7_licenses,
@@ -100,6 +107,28 @@ SELECT doc_id, size, source_size, target,
   ((floor(place * (target / source_size) + start) - floor((place - 1) * (target / source_size) + start)) * size)::BIGINT AS taken
 FROM (SELECT r.*, source_size, target, ('0x' || substr(md5('0/' || coalesce(r.source, '')), 1, 8))::UBIGINT / 4294967296.0 AS start
       FROM ranked r JOIN targets t ON r.source IS NOT DISTINCT FROM t.source)
+""",
+    "op4_preference": r"""
+WITH turns AS (
+  SELECT conv_id // 2 AS pair, conv_id % 2 = 0 AS chosen, coalesce(role, 'user') AS role, replace(coalesce(text, ''), '<|', '< |') AS text,
+         row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, 'user'), coalesce(text, '')) AS pos
+  FROM conversations WHERE conv_id IS NOT NULL),
+sizes AS (
+  SELECT pair, count(*) FILTER (chosen) AS c, count(*) FILTER (NOT chosen) AS r FROM turns GROUP BY pair HAVING c > 0 AND r > 0),
+common AS (
+  SELECT s.pair, coalesce(min(a.pos) FILTER (a.role <> b.role OR a.text <> b.text) - 1, any_value(least(s.c, s.r))) AS n
+  FROM sizes s JOIN turns a ON a.pair = s.pair AND a.chosen JOIN turns b ON b.pair = s.pair AND NOT b.chosen AND b.pos = a.pos GROUP BY s.pair),
+rendered AS (
+  SELECT t.*, n, '<|' || role || '|>' || chr(10) || text || '<|end|>' || chr(10) AS said,
+         coalesce(sum(length(role) + length(text) + 13) OVER (PARTITION BY t.pair, chosen, pos > n ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + length(role) + 5 AS begins
+  FROM turns t JOIN common USING (pair))
+SELECT pair, any_value(n) AS n_common,
+  coalesce(string_agg(said, '' ORDER BY pos) FILTER (chosen AND pos <= n), '') AS prompt,
+  coalesce(string_agg(said, '' ORDER BY pos) FILTER (chosen AND pos > n), '') AS chosen,
+  coalesce(string_agg(said, '' ORDER BY pos) FILTER (NOT chosen AND pos > n), '') AS rejected,
+  coalesce(string_agg(begins || ':' || begins + length(text) + 7, ',' ORDER BY pos) FILTER (chosen AND pos > n AND role = 'assistant'), '') AS chosen_mask,
+  coalesce(string_agg(begins || ':' || begins + length(text) + 7, ',' ORDER BY pos) FILTER (NOT chosen AND pos > n AND role = 'assistant'), '') AS rejected_mask
+FROM rendered GROUP BY pair
 """,
     "op5_exact_dedup": r"""
 SELECT doc_id, max(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size, doc_id = max(doc_id) OVER g AS kept, sha256(coalesce(text, '')) AS text_sha256
