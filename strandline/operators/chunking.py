@@ -61,7 +61,8 @@ def split_texts(texts: DataFrame, text: str = "text", size: int = CHUNK_TOKENS,
 
 def as_chunks(rows: DataFrame) -> DataFrame:
     """Rows with the file's columns and ``__chunks`` become rows of the chunks table."""
-    each = rows.select("*", F.posexplode("__chunks").alias("chunk_index", "content"))
+    # a plain explode has the optimizer test the list's size first, which packs each text a second time
+    each = rows.select("*", F.posexplode_outer("__chunks").alias("chunk_index", "content")).filter("chunk_index is not null")
     return each.select(
         paths.chunk_id("file_id", "chunk_index").alias("chunk_id"),
         "file_id",
@@ -91,7 +92,7 @@ def chunk_pages(files: DataFrame, pages: DataFrame) -> DataFrame:
     tokens = token_estimate(text)
     rich = pages.filter((text != "") & (tokens >= PAGE_TOKENS))
     rich = rich.withColumn("text", F.when(tokens <= CHUNK_TOKENS, text).otherwise(F.col("text")))
-    cut = split_texts(rich).select("file_id", "page_number", F.posexplode("__chunks").alias("at", "content"))
+    cut = split_texts(rich).select("file_id", "page_number", F.posexplode_outer("__chunks").alias("at", "content")).filter("at is not null")
     by_file = Window.partitionBy("file_id")
     numbered = cut.withColumn("chunk_index", F.row_number().over(by_file.orderBy("page_number", "at")) - 1).withColumn("total_chunks", F.count("*").over(by_file).cast("int"))
     some = pages.groupBy("file_id").agg(F.max(text != "").alias("some")).filter("some").select("file_id")
