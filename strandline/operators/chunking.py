@@ -62,7 +62,7 @@ def split_texts(texts: DataFrame, text: str = "text", size: int = CHUNK_TOKENS,
 def as_chunks(rows: DataFrame) -> DataFrame:
     """Rows with the file's columns and ``__chunks`` become rows of the chunks table."""
     # a plain explode has the optimizer test the list's size first, which packs each text a second time
-    each = rows.select("*", F.posexplode_outer("__chunks").alias("chunk_index", "content")).filter("chunk_index is not null")
+    each = rows.select("file_id", "path", "file_type", "__chunks", F.posexplode_outer("__chunks").alias("chunk_index", "content")).filter("chunk_index is not null")
     return each.select(
         paths.chunk_id("file_id", "chunk_index").alias("chunk_id"),
         "file_id",
