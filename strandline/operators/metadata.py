@@ -53,6 +53,24 @@ def agent_find_files(files: DataFrame, root: str = "", file_type: str = "", name
     return rows.withColumn("truncated", F.count("*").over(Window.partitionBy()) >= limit)  # at most 200 rows
 
 
+def get_file(files: DataFrame, file_id: str = "", path: str = "") -> DataFrame:
+    """The file with this id, or else this path."""
+    return files.filter(F.col("file_id") == file_id if file_id else F.col("path") == path)
+
+
+def all_files(files: DataFrame) -> DataFrame:
+    return files.orderBy("path")
+
+
+def get_chunk(chunks: DataFrame, chunk_id: str) -> DataFrame:
+    return chunks.filter(F.col("chunk_id") == chunk_id)
+
+
+def newest_indexes(indexes: DataFrame, today: Column | str) -> DataFrame:
+    """Indexes (index_name, last_modified), newest first, with the bucket of their age."""
+    return indexes.withColumn("bucket", paths.age_bucket("last_modified", today)).orderBy(F.desc("last_modified"), "index_name")
+
+
 def file_chunks(files: DataFrame, chunks: DataFrame, path: str, content_type: str = "") -> DataFrame:
     found = chunks.join(files.filter(F.col("path") == path).select("file_id"), "file_id", "left_semi")
     found = found.filter(F.col("content_type") == content_type) if content_type else found

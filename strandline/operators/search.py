@@ -101,6 +101,20 @@ def rerank(results: DataFrame, query: str, k: int | None = None, score: Scorer =
     return best.limit(k) if k else best
 
 
+def ranked(results: DataFrame, id_col: str = "chunk_id") -> DataFrame:
+    """The few rows of a result with their place from 1."""
+    from pyspark.sql import Window
+
+    return results.withColumn("rank", F.row_number().over(Window.orderBy("distance", id_col)))
+
+
+def rank_change(before: DataFrame, after: DataFrame, id_col: str = "chunk_id") -> DataFrame:
+    """Each reranked hit's place before and now, and how far it rose."""
+    old = ranked(before, id_col).select(id_col, F.col("rank").alias("was"))
+    new = ranked(after, id_col).select(id_col, F.col("rank").alias("now"))
+    return new.join(old, id_col).select(id_col, "was", "now", (F.col("was") - F.col("now")).alias("rose"))
+
+
 def search(chunks: DataFrame, embeddings: DataFrame, query: str, k: int, strategy: str = "semantic", content_type: str = "", embed: Callable[[Column], Column] | None = None, dimension: int = 64) -> DataFrame:
     """Any strategy by name: keyword, hybrid, or else semantic."""
     vector = (embed or (lambda text: vectors.hash_embedding(text, dimension)))(F.lit(query))

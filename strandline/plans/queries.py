@@ -516,3 +516,25 @@ def chat_history_tail(spark, sf_dir):
     last = Window.partitionBy("conv_id").orderBy(F.desc("turn"))
     turns = read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", F.length("text").cast("bigint").alias("n_chars"))
     return turns.withColumn("rank", F.row_number().over(last).cast("bigint")).filter("rank <= 3")
+
+
+@query(f"""WITH {_CHUNKS}, {_NEAR}, found AS (SELECT chunk_id, content, distance FROM {_keyword_sql("license", 2 * TOP)}),
+scored AS (SELECT chunk_id, distance, least(list_sum(list_transform(range(0, 32), lambda i: (substr(sha256('license'), (2 * i + 1)::INT, 2) = substr(sha256(content), (2 * i + 1)::INT, 2))::INT)) / 32.0::DOUBLE
+  + (('0x' || substr(sha256(content), 1, 8))::UBIGINT % 100) / 1000.0::DOUBLE, 1.0::DOUBLE) AS score FROM found),
+r AS (SELECT chunk_id, row_number() OVER (ORDER BY distance, chunk_id) AS was, row_number() OVER (ORDER BY score DESC, chunk_id) AS now FROM scored)
+SELECT chunk_id, was::INT AS was, now::INT AS now, (was - now)::INT AS rose FROM r""")
+def rerank_rank_change(spark, sf_dir):
+    found = search.keyword(chunks_of(spark, sf_dir), "license", 2 * TOP)
+    return search.rank_change(found, search.rerank(found, "license"))
+
+
+@query(f"WITH {_FILES} SELECT file_id, path, size FROM files WHERE path = '/src1/1.txt'")
+def file_by_path(spark, sf_dir):
+    return metadata.get_file(files_of(spark, sf_dir), path="/src1/1.txt").select("file_id", "path", "size")
+
+
+@query("SELECT conv_id, to_json(list({'role': role, 'n': length(text)} ORDER BY turn))::VARCHAR AS body FROM conversations GROUP BY conv_id")
+def json_results(spark, sf_dir):
+    turns = read(spark, sf_dir, "conversations").select("conv_id", F.struct("turn", "role", F.length("text").alias("n")).alias("t"))
+    lists = turns.groupBy("conv_id").agg(F.array_sort(F.collect_list("t")).alias("t"))
+    return lists.select("conv_id", F.to_json(F.transform("t", lambda t: F.struct(t["role"].alias("role"), t["n"].alias("n")))).alias("body"))

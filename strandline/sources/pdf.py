@@ -79,6 +79,24 @@ def read_images(files: DataFrame, reader: Callable[[bytes], list[tuple[int, str,
     return files.select("file_id", "content").mapInPandas(run, PDF_IMAGES)
 
 
+def render_pages(pages: DataFrame, renderer: Callable[[bytes, int], str | None] | None = None) -> DataFrame:
+    """Base64 pictures of pages (file_id, page_number, content) by an outside renderer; a failure gives none."""
+    if renderer is None:
+        raise PdfUnavailable("pass a renderer, for instance around pdftoppm")
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            rows = []
+            for file_id, page, content in frame.itertuples(index=False, name=None):
+                try:
+                    rows.append((file_id, page, renderer(bytes(content), page)))
+                except Exception:  # the page stays without a picture
+                    continue
+            yield pd.DataFrame(rows, columns=["file_id", "page_number", "base64"])
+
+    return pages.select("file_id", "page_number", "content").mapInPandas(run, "file_id string, page_number int, base64 string")
+
+
 def document_metadata(info: DataFrame) -> DataFrame:
     """Titles and dates from a reader's raw fields: the file's name stands in for a missing title."""
     return info.select("file_id", F.coalesce(F.nullif(F.trim("title"), F.lit("")), paths.basename("path")).alias("title"), "creator", paths.pdf_date("created").alias("created"), paths.pdf_date("modified").alias("modified"), "page_count")
