@@ -65,10 +65,11 @@ def _counts(docs: DataFrame) -> DataFrame:
 
 def common_words(docs: DataFrame) -> DataFrame:
     """(lang, common): the most frequent words of each language over all documents, at most COMMON_WORDS."""
-    each = docs.select(F.coalesce("lang", F.lit("")).alias("lang"), F.explode(words(F.lower(whole("text")))).alias("word"))
-    counts = each.groupBy("lang", "word").agg(F.count("*").alias("n"))
+    # a plain explode has the optimizer test the list's size first, which splits each text a second time
+    each = docs.select(F.coalesce("lang", F.lit("")).alias("lang"), F.explode_outer(words(F.lower(whole("text")))).alias("word")).filter("word is not null")
+    counts = materialize(each.groupBy("lang", "word").agg(F.count("*").alias("n")), "quality-vocabulary")
     totals = counts.groupBy("lang").agg(F.sum("n").alias("total"))
-    frequent = counts.join(totals, "lang").filter(F.col("n") >= F.col("total") * RARE)
+    frequent = counts.join(_per_language(totals, totals.count()), "lang").filter(F.col("n") >= F.col("total") * RARE)
     ranked = frequent.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "word"))).filter(F.col("rank") <= COMMON_WORDS)
     return ranked.groupBy("lang").agg(F.array_sort(F.collect_list("word")).alias("common"))
 
