@@ -19,10 +19,14 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from strandline.workspace import materialize
+
 WORD = regex.compile(r"\p{L}+")
 UNDETERMINED = "und"
 #: A worker's cache of word scores starts again when it has grown beyond this size.
 CACHED_WORDS = 200_000
+#: Totals of so many languages are sent to all executors; of more they are joined by a shuffle.
+SENT_LANGUAGES = 1000
 #: Texts are scored together until they have so many words.
 WORDS_TOGETHER = 200_000
 #: Bytes of words that no sum can underflow for.
@@ -153,9 +157,10 @@ def word_counts(docs: DataFrame, rare: float = 1 / 20_000) -> DataFrame:
     So at most 1 / rare words a language remain, whatever the size of the input.
     """
     words = docs.select("lang", F.explode(F.split(F.lower("text"), r"[^\p{L}]+")).alias("word")).filter("word <> ''")
-    counts = words.groupBy("lang", "word").agg(F.count("*").alias("n"))
+    counts = materialize(words.groupBy("lang", "word").agg(F.count("*").alias("n")), "langid-vocabulary")
     totals = counts.groupBy("lang").agg(F.sum("n").alias("total"))
-    return counts.join(F.broadcast(totals), "lang").filter(F.col("n") >= F.col("total") * rare).select("lang", "word", "n")
+    totals = F.broadcast(totals) if totals.count() <= SENT_LANGUAGES else totals
+    return counts.join(totals, "lang").filter(F.col("n") >= F.col("total") * rare).select("lang", "word", "n")
 
 
 def fit(counts: dict[str, dict[str, int]], pieces: set[bytes], longest: int, rounds: int = 3, added: float = 0.1) -> PieceModel:
