@@ -50,7 +50,8 @@ def _spell(text: str) -> list[str]:
     return re.findall(r"[a-z0-9]+", text.lower())
 
 
-def _prepare() -> list[dict]:
+def prepare() -> list[dict]:
+    """The templates as words, with their key phrases and where these begin."""
     out = []
     for label, text, key in TEMPLATES:
         tokens, phrase = _spell(text), _spell(key)
@@ -80,7 +81,7 @@ def scan(docs: DataFrame) -> DataFrame:
     ids each give their row; other columns are not read. Document frequencies are
     taken over all rows; ties in rarity go by the word. No row is shuffled.
     """
-    templates = _prepare()
+    templates = prepare()
     vocabulary = sorted({w for t in templates for w in t["words"]})
     rows = docs.select("doc_id", license_words(whole("text")).alias("words"))
     frequency, total = document_frequencies(rows, vocabulary)

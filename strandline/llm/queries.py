@@ -55,7 +55,7 @@ def op6_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return licenses.scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return licenses.scan(table(spark, sf_dir, "documents").select("doc_id", "text")).withColumn("score", F.round("score", 6))
 
 
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -74,6 +74,41 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(docs.select("doc_id", held_out, "text"), model, keep=("doc_id", "held_out"))
 
 
+def _listed(words: list[str]) -> str:
+    return "[" + ", ".join(f"'{w}'" for w in words) + "]"
+
+
+def _licenses_sql() -> str:
+    """The scan of ``licenses`` over its own templates and phrases."""
+    prepared = licenses.prepare()
+    templates = ",\n  ".join(f"({n}, '{t['label']}', {_listed(t['words'])}, {_listed(t['key'])}, {t['key_at']})" for n, t in enumerate(prepared))
+    phrases = ", ".join(f"('{label}', {_listed(phrase.split())})" for label, phrase in licenses.PHRASES.items())
+    keys = _listed(sorted({w for t in prepared for w in t["key"]}))
+    return rf"""
+WITH templates(n, label, ws, key, key_at) AS (VALUES
+  {templates}),
+phrases(label, ws) AS (VALUES {phrases}),
+d AS (
+  SELECT row_number() OVER () AS k, doc_id,
+         list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda w: w <> '') AS ws FROM documents),
+slots AS (SELECT n, unnest(ws) AS word, generate_subscripts(ws, 1) - 1 AS p FROM templates),
+own AS (SELECT DISTINCT word FROM slots),
+held AS (SELECT k, unnest(list_distinct(ws)) AS word FROM d),
+idf AS (SELECT own.word, ln(((SELECT count(*) FROM d) + 1) / (count(held.k) + 1)) + 1e-6::DOUBLE AS idf FROM own LEFT JOIN held USING (word) GROUP BY own.word),
+rare AS (SELECT k, word FROM (SELECT k, word, row_number() OVER (PARTITION BY k ORDER BY idf DESC, word) AS r FROM held JOIN idf USING (word) JOIN d USING (k) WHERE list_has_any(ws, {keys})) WHERE r <= {licenses.LOOKED_UP}),
+found AS (SELECT k, unnest(ws) AS word, generate_subscripts(ws, 1) - 1 AS i FROM d WHERE list_has_any(ws, {keys})),
+begins AS (SELECT DISTINCT found.k, slots.n, found.i - slots.p AS o FROM found JOIN rare USING (k, word) JOIN slots USING (word)),
+sure AS (SELECT b.k, b.n, b.o, t.label, d.ws FROM begins b JOIN templates t USING (n) JOIN d USING (k) WHERE b.o + t.key_at >= 0 AND list_slice(d.ws, b.o + t.key_at + 1, b.o + t.key_at + len(t.key)) = t.key),
+scored AS (SELECT k, label, n, o, sum(CASE WHEN s.o + p >= 0 AND s.ws[(s.o + p + 1)::INT] = word THEN idf ELSE 0 END) / sum(idf) AS score FROM sure s JOIN slots USING (n) JOIN idf USING (word) GROUP BY k, label, n, o),
+best AS (SELECT k, list(DISTINCT label) AS labels, max(score) AS score FROM scored WHERE score >= {licenses.MIN_SCORE} GROUP BY k),
+places AS (SELECT d.k, f.label, i.i FROM d, phrases f, LATERAL (SELECT unnest(range(0, len(d.ws))) AS i) i WHERE list_has_any(d.ws, {keys}) AND list_slice(d.ws, i.i + 1, i.i + len(f.ws)) = f.ws),
+base AS (SELECT k, count(*) AS n, min(i) AS first_word, max(i) AS last_word, list(DISTINCT label) AS labels FROM places GROUP BY k)
+SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(base.n, 0) AS n_base, first_word, last_word, coalesce(array_to_string(list_sort(base.labels), ','), '') AS base_labels,
+       coalesce(array_to_string(list_sort(list_distinct(coalesce(base.labels, []) || coalesce(best.labels, []))), ','), '') AS labels, round(least(coalesce(best.score, 0), 1), 6) AS score
+FROM d LEFT JOIN base USING (k) LEFT JOIN best USING (k)
+"""
+
+
 QUERIES = {
     "op1_pii": op1_pii,
     "op2_mixing": op2_mixing,
@@ -182,4 +217,5 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, coalesce(covered.n,
        NOT (n_words < 20 OR 100 * coalesce(covered.n, 0) > 30 * n_words) AND NOT coalesce(n_words >= 50 AND (cd > 0.3 OR wd > 0.45), false) AS kept, round(cd, 6) AS class_distance, round(wd, 6) AS word_distance
 FROM j LEFT JOIN covered USING (k)
 """,
+    "op7_licenses": _licenses_sql(),
 }
