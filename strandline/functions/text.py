@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 #: Words that a keyword query leaves out, and what is trimmed from its words.
 STOP_WORDS = "the a an and or but in on at to for of with by is are was were be been".split()
 WORD_EDGES = ".,!?;:()[]{}\"'"
+#: Fixed value: Unicode's white space.
+WHITE_SPACE = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 #: A sentence ends at . ! or ? before a space or the end; line ends count as ". ".
 SENTENCE = r"(?s).*?[.!?](?: |\z)|.+\z"
 
@@ -23,7 +25,7 @@ def token_estimate(text: Column | str) -> Column:
 
 def trim_space(text: Column | str) -> Column:
     """Without Unicode white space at both ends."""
-    return F.regexp_replace(as_column(text), r"(?U)^\s+|\s+\z", "")
+    return F.btrim(as_column(text), F.lit(WHITE_SPACE))
 
 
 def clean_text(text: Column | str) -> Column:
