@@ -25,7 +25,7 @@ SENT_DIGESTS = 200_000
 _ROCKSDB = {
     "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
     "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
-    "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "200",
+    "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "64",
     # else each partition's store sets aside megabytes for its logs before it has a row
     "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
 }

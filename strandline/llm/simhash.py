@@ -11,7 +11,7 @@ a key to join on, the third prunes candidates before the full Hamming check.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from itertools import repeat
 
 import numpy as np
@@ -38,10 +38,10 @@ def shingles(text: str) -> list[bytes]:
     return [b" ".join(three) for three in zip(words, words[1:], words[2:])]
 
 
-def fingerprints_of(texts: list[str | None]) -> np.ndarray:
-    """One signed 64-bit fingerprint for each text; 0 for a text without words."""
-    votes = np.zeros((len(texts), BITS), np.int64)
-    sizes = np.zeros(len(texts), np.int64)
+def fingerprints_of(texts: Iterable[str | None], count: int) -> np.ndarray:
+    """One signed 64-bit fingerprint for each of ``count`` texts, looked at one by one; 0 for a text without words."""
+    votes = np.zeros((count, BITS), np.int64)
+    sizes = np.zeros(count, np.int64)
     hashes: list[int] = []
     owners: list[tuple[int, int]] = []  # document and where its part of ``hashes`` begins
 
@@ -72,7 +72,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fps = fingerprints_of([value.as_py() for value in batch.column(1)])
+            fps = fingerprints_of((value.as_py() for value in batch.column(1)), batch.num_rows)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps, pa.int64())], names=["doc_id", "fp"])
 
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {id_type}, fp long")

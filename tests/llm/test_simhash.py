@@ -44,13 +44,13 @@ def plain_components(rows):
 
 @pytest.mark.parametrize("text", [None, "", " \t\n", "One", "One two", "One two three", "a b c d a b c d", "É é Ü ß ok", "x y \x1c z", "w " * 70_000])
 def test_fingerprint_of_a_text(text):
-    assert int(simhash.fingerprints_of([text])[0]) & (2**64 - 1) == plain_fingerprint(text)
+    assert int(simhash.fingerprints_of([text], 1)[0]) & (2**64 - 1) == plain_fingerprint(text)
 
 
 def test_many_texts_at_once():
     rng = random.Random(3)
     texts = [" ".join(rng.choice("abcdefgh") * rng.randint(1, 3) for _ in range(rng.choice([0, 1, 2, 3, 50, 400]))) for _ in range(300)]
-    got = [int(x) & (2**64 - 1) for x in simhash.fingerprints_of(texts)]
+    got = [int(x) & (2**64 - 1) for x in simhash.fingerprints_of(texts, len(texts))]
     assert got == [plain_fingerprint(t) for t in texts]
 
 
