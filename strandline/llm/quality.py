@@ -47,7 +47,7 @@ def _counts(docs: DataFrame) -> DataFrame:
     rows = rows.withColumn("__places", F.expr(f"array_sort(transform({twice}, x -> x.i))"))
     # each repeat covers WINDOW words, or what lies before the next repeat
     covered = f"aggregate(transform(__places, (x, i) -> least({WINDOW}, coalesce(get(__places, i + 1) - x, {WINDOW}))), 0, (a, b) -> a + b)"
-    lengths = {name: F.length(text) - F.length(F.regexp_replace(text, chars, "")) for name, chars in (CLASSES | {"rule": r"[#*$%&|<>]"}).items()}
+    lengths = {name: F.length(text) - F.length(F.regexp_replace(text, f"{chars}+", "")) for name, chars in (CLASSES | {"rule": r"[#*$%&|<>]"}).items()}
     word_chars = F.length(F.array_join("__words", ""))
     classes = [lengths[name] for name in CLASSES]
     return rows.select(
@@ -59,7 +59,7 @@ def _counts(docs: DataFrame) -> DataFrame:
         (F.size("__lines") - F.size(F.array_distinct("__lines"))).cast("long").alias("n_dup_lines"),
         F.coalesce(F.expr(covered), F.lit(0)).cast("long").alias("n_repeat_words"),
         F.array(*classes).alias("classes"),
-        F.concat(F.lit(" "), F.array_join(words(F.lower(text)), "  "), F.lit(" ")).alias("__spaced"),
+        F.concat(F.lit(" "), F.lower(F.array_join("__words", "  ")), F.lit(" ")).alias("__spaced"),
     )
 
 
