@@ -100,7 +100,8 @@ def judge(docs: DataFrame) -> DataFrame:
     """
     lists = materialize(common_words(docs), "quality-words")
     languages = lists.count()
-    count = lambda w: ((F.length("__spaced") - F.length(F.replace(F.col("__spaced"), F.concat(F.lit(" "), w, F.lit(" ")), F.lit("")))) / (F.length(w) + 2)).cast("long")
+    quoted = lambda w: F.concat(F.lit(r" \Q"), F.replace(w, F.lit(r"\E"), F.lit(r"\E\\E\Q")), F.lit(r"\E "))
+    count = lambda w: F.size(F.regexp_extract_all("__spaced", quoted(w), 0)).cast("long")
     found = _counts(docs).join(_per_language(lists, languages), "lang", "left").withColumn("common", F.transform("common", count)).drop("__spaced")
     found = materialize(found, "quality-counts")
 
