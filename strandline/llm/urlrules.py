@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Keys looked at to choose the ranges; they only say where ranges begin, all rows are judged.
+#: About so many keys, picked by a hash, are looked at to choose the ranges; they only say where ranges begin, all rows are judged.
 KEYS_FOR_RANGES = 4096
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: First the text before the first ://, then host and path.
@@ -82,7 +82,8 @@ def judge(pages: DataFrame, rules: DataFrame, default: str = "allow", id_col: st
     # \x01 sorts below all that a longer host can go on with
     keyed = parts.select("row_id", "host", "path", reversed_host(F.col("host")).alias("key"), "salt").withColumn("place", F.concat("key", F.lit("\x01"), "salt"))
     ranges = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    picked = sorted(r[0] for r in keyed.select("place", "salt").orderBy("salt", "place").limit(KEYS_FOR_RANGES).select("place").collect())
+    every = max(1, pages.count() // KEYS_FOR_RANGES)
+    picked = sorted(r[0] for r in keyed.filter(F.pmod(F.xxhash64(F.lit("ranges"), "row_id", "key", "path"), F.lit(every)) == 0).select("place").collect())
     bounds = sorted({picked[i * len(picked) // ranges] for i in range(1, ranges)}) if picked else []
     begins = F.array(*map(F.lit, bounds)) if bounds else F.expr("cast(array() as array<string>)")
 
