@@ -88,8 +88,10 @@ def scan(docs: DataFrame) -> DataFrame:
     idf = {w: math.log((total + 1) / (n + 1)) + 1e-6 for w, n in frequency.items()}
     rarest = sorted(vocabulary, key=lambda w: (-idf[w], w))
 
-    keys = sorted({w for t in templates for w in t["key"]})
-    worth = F.arrays_overlap("words", F.array(*map(F.lit, keys)))
+    # a phrase can only stand where its rarest word does
+    phrases = [t["key"] for t in templates] + [_spell(p) for p in PHRASES.values()]
+    anchors = sorted({max(phrase, key=lambda w: (idf[w], w)) for phrase in phrases})
+    worth = F.arrays_overlap("words", F.array(*map(F.lit, anchors)))
     # places where a base phrase begins
     starts = {}
     for label, phrase in PHRASES.items():
