@@ -1,11 +1,12 @@
 """License scans with a positional index of rare words.
 
-Templates are short licence texts. Of each document the licence words that are
-rarest in the corpus (highest inverse document frequency) are looked up in the
-templates' postings; a document position less a template position says where the
-template would begin. At each such beginning the template's mandatory key phrase
-has to stand in its place; then the share of the template's weight (summed IDF)
-that stands where it should is the score.
+Templates are short licence texts. Of each document the words that are the rarest
+in the corpus (highest inverse document frequency) of some template's key phrase
+are looked up in the templates' postings; a document position less a template
+position says where the template would begin. At each such beginning the
+template's mandatory key phrase has to stand in its place, so none is missed;
+then the share of the template's weight (summed IDF) that stands where it should
+is the score.
 """
 
 from __future__ import annotations
@@ -33,7 +34,7 @@ TEMPLATES = [
     ("cc", "This work is licensed under a Creative Commons Attribution 4.0 International License", "creative commons attribution"),
     ("mpl", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0", "mozilla public license"),
 ]
-#: The rarest licence words of a document that are looked up.
+#: The rarest licence words of a document that the SQL of the query looks up; ``scan`` has no such limit.
 LOOKED_UP = 12
 #: A template of which less stands in its place is no label.
 MIN_SCORE = 0.3
@@ -86,7 +87,6 @@ def scan(docs: DataFrame) -> DataFrame:
     rows = docs.select("doc_id", license_words(whole("text")).alias("words"))
     frequency, total = document_frequencies(rows, vocabulary)
     idf = {w: math.log((total + 1) / (n + 1)) + 1e-6 for w, n in frequency.items()}
-    rarest = sorted(vocabulary, key=lambda w: (-idf[w], w))
 
     # a phrase can only stand where its rarest word does
     phrases = [t["key"] for t in templates] + [_spell(p) for p in PHRASES.values()]
@@ -97,8 +97,9 @@ def scan(docs: DataFrame) -> DataFrame:
     for label, phrase in PHRASES.items():
         same = " AND ".join(f"get(words, i + {k}) <=> '{w}'" for k, w in enumerate(_spell(phrase)))
         starts[f"b_{label}"] = F.when(worth, F.expr(f"filter(sequence(0, size(words) - 1), i -> {same})"))
-    # the document's rarest licence words, in this order since array_intersect keeps the first list's
-    rare = F.when(worth, F.slice(F.array_intersect(F.array(*map(F.lit, rarest)), "words"), 1, LOOKED_UP))
+    # a template can only begin where the rarest word of its key phrase stands in its place
+    keyed = sorted({max(t["key"], key=lambda w: (idf[w], w)) for t in templates})
+    rare = F.when(worth, F.array_intersect(F.array(*map(F.lit, keyed)), "words"))
     rows = rows.withColumns(starts | {"rare": rare})
     occurs = "filter(transform(words, (w, i) -> named_struct('w', w, 'i', i)), x -> array_contains(rare, x.w))"
     rows = rows.withColumn("hits", F.when(F.col("rare").isNotNull(), F.expr(occurs)))

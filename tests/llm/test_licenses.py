@@ -46,3 +46,11 @@ def test_base_matches_a_plain_scan(spark):
     for r in licenses.scan(df).collect():
         assert (r.n_words, r.n_base, r.first_word, r.last_word, r.base_labels) == base(texts[r.doc_id])
     assert licenses.scan(df.limit(0)).count() == 0
+
+
+def test_templates_beyond_twelve_rare_words(spark):
+    notice = "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files. " + "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met. " + "Licensed under CC BY-NC 4.0"
+    plain = "Licensed under CC BY-NC 4.0 and other words of the work"
+    df = spark.createDataFrame([(0, notice)] + [(i, plain) for i in range(1, 9)], "doc_id long, text string")
+    found = {r.doc_id: r.labels for r in licenses.scan(df).collect()}
+    assert found == {0: "bsd,cc,mit"} | {i: "cc" for i in range(1, 9)}
