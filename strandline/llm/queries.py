@@ -185,30 +185,29 @@ fits AS (
 SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM fits
 """,
     "op8_quality": r"""
-WITH d AS (SELECT row_number() OVER () AS k, doc_id, coalesce(lang, '') AS lang, coalesce(text, '') AS text FROM documents),
+WITH d AS (SELECT row_number() OVER () AS k, doc_id, lang, coalesce(text, '') AS text FROM documents),
 w AS (
   SELECT k, doc_id, lang, text, list_filter(regexp_split_to_array(text, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws,
          list_filter(regexp_split_to_array(lower(text), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS low,
          list_filter(string_split(text, chr(10)), lambda l: regexp_matches(l, '[^\x20\x09-\x0D]')) AS lines FROM d),
 counts AS (SELECT lang, word, count(*) AS n FROM (SELECT lang, unnest(low) AS word FROM w) GROUP BY lang, word),
-frequent AS (SELECT lang, word, n FROM (SELECT *, sum(n) OVER (PARTITION BY lang) AS total FROM counts) WHERE n >= total * 0.00025::DOUBLE),
-lists AS (SELECT lang, list(word ORDER BY word) AS common FROM (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY n DESC, word) AS r FROM frequent) WHERE r <= 24 GROUP BY lang),
+lists AS (SELECT lang, list(word ORDER BY word) AS common FROM (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY n DESC, word) AS r FROM counts) WHERE r <= 24 GROUP BY lang),
 grams AS (SELECT k, i, list(word) OVER (PARTITION BY k ORDER BY i ROWS BETWEEN CURRENT ROW AND 7 FOLLOWING) AS g FROM (SELECT k, unnest(ws) AS word, generate_subscripts(ws, 1) AS i FROM w)),
 again AS (SELECT k, i FROM (SELECT k, i, count(*) OVER (PARTITION BY k, g) AS c FROM grams WHERE len(g) = 8) WHERE c > 1),
 covered AS (SELECT k, sum(c)::BIGINT AS n FROM (SELECT k, least(8, coalesce(lead(i) OVER (PARTITION BY k ORDER BY i) - i, 8)) AS c FROM again) GROUP BY k),
 f AS (
-  SELECT k, doc_id, lang, len(ws)::BIGINT AS n_words, coalesce(list_sum(list_transform(ws, lambda x: length(x))), 0)::BIGINT AS word_chars,
+  SELECT k, doc_id, w.lang, len(ws)::BIGINT AS n_words, coalesce(list_sum(list_transform(ws, lambda x: length(x))), 0)::BIGINT AS word_chars,
          (length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')))::BIGINT AS n_symbols, (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines,
          list_transform(['[a-z]', '[A-Z]', '[0-9]', '[.,;:!?]', '[\x22-\x2B\x2D\x2F\x3C-\x3E\x40\x5B-\x60\x7B-\x7E]'], lambda c: length(text) - length(regexp_replace(text, c, '', 'g'))) AS classes,
          list_transform(common, lambda c: len(list_filter(low, lambda x: x = c))) AS common
-  FROM w LEFT JOIN lists USING (lang)),
+  FROM w LEFT JOIN lists ON w.lang IS NOT DISTINCT FROM lists.lang),
 u AS (
   SELECT lang, list_transform(range(1, 6), lambda i: list_sum(list_transform(cs, lambda x: x[i]))) AS uc, list_transform(range(1, any_common + 1), lambda i: list_sum(list_transform(ws, lambda x: x[i]))) AS uw, chars, words
   FROM (SELECT lang, list(classes) AS cs, list(common) AS ws, max(len(common)) AS any_common, sum(word_chars) AS chars, sum(n_words) AS words FROM f GROUP BY lang)),
 h AS (
   SELECT f.*, list_transform(classes || [word_chars - list_sum(classes)], lambda x: x / nullif(word_chars, 0)) AS p, list_transform(uc || [chars - list_sum(uc)], lambda x: x / nullif(chars, 0)) AS q,
          list_transform(common || [n_words - list_sum(common)], lambda x: x / nullif(n_words, 0)) AS pw, list_transform(uw || [words - list_sum(uw)], lambda x: x / nullif(words, 0)) AS qw
-  FROM f JOIN u USING (lang)),
+  FROM f JOIN u ON f.lang IS NOT DISTINCT FROM u.lang),
 j AS (
   SELECT h.*, CASE WHEN n_words > 0 THEN sqrt(greatest(list_sum(list_transform(range(1, len(p) + 1), lambda i: CASE WHEN p[i] > 0 THEN p[i] * log2(2 * p[i] / (p[i] + q[i])) ELSE 0 END + CASE WHEN q[i] > 0 THEN q[i] * log2(2 * q[i] / (p[i] + q[i])) ELSE 0 END)) / 2, 0)) END AS cd,
          CASE WHEN n_words > 0 THEN sqrt(greatest(list_sum(list_transform(range(1, len(pw) + 1), lambda i: CASE WHEN pw[i] > 0 THEN pw[i] * log2(2 * pw[i] / (pw[i] + qw[i])) ELSE 0 END + CASE WHEN qw[i] > 0 THEN qw[i] * log2(2 * qw[i] / (pw[i] + qw[i])) ELSE 0 END)) / 2, 0)) END AS wd

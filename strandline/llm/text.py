@@ -16,5 +16,12 @@ def whole(text: str | Column) -> Column:
 
 
 def words(text: Column) -> Column:
-    """Runs of anything but white space."""
-    return F.array_remove(F.split(text, SPACE, -1), "")
+    """Runs of anything but white space.
+
+    Where spaces and line breaks are all the white space there is, no regular expression is needed.
+    """
+    other = F.lit(False)
+    for c in "\t\x0b\x0c\r":
+        other = other | text.contains(c)
+    plain = F.split(F.replace(text, F.lit("\n"), F.lit(" ")), " ", -1)
+    return F.array_remove(F.when(other, F.split(text, SPACE, -1)).otherwise(plain), "")

@@ -38,6 +38,32 @@ def test_base_figures(spark):
         assert not (r.base_failed and r.kept)
 
 
+def test_windows_whose_hashes_clash(spark):
+    rng = random.Random(11)
+    texts = [" ".join(rng.choice("abcd") for _ in range(rng.randint(20, 90))) for _ in range(200)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").withColumn("lang", F.lit("en"))
+    rows = quality.judge(df, lambda parts: f"pmod({quality.window_hash(parts)}, 5)").collect()
+    assert [r.n_repeat_words for r in sorted(rows, key=lambda r: r.doc_id)] == [base(t)[4] for t in texts]
+
+
+def test_no_language_is_not_the_empty_one(spark):
+    rng = random.Random(12)
+    said = {None: "uno dos tres cuatro".split(), "": "one two three four".split()}
+    rows = [(i, " ".join(rng.choice(said[lang]) + rng.choice("abcdefgh") * rng.randint(0, 1) for _ in range(100)), lang) for i, lang in enumerate([None, ""] * 20)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    lists = {r.lang: r.common for r in quality.common_words(df).collect()}
+    assert set(lists) == {None, ""} and "uno" in lists[None] and "one" in lists[""] and not set(lists[None]) & set(lists[""])
+    assert all(r.word_distance < 0.3 for r in quality.judge(df).collect())
+
+
+def test_rare_words_fill_the_list(spark):
+    """A language whose words are all rare has its list of common words too."""
+    words = ["".join(chr(97 + i // 26**k % 26) for k in range(4)) for i in range(6000)]
+    df = spark.createDataFrame([(i, " ".join(words[i * 100 : i * 100 + 100]), "xx") for i in range(60)], "doc_id long, text string, lang string")
+    assert [len(r.common) for r in quality.common_words(df).collect()] == [quality.COMMON_WORDS]
+    assert all(r.word_distance is not None for r in quality.judge(df).collect())
+
+
 def test_distance(spark):
     def plain(p, q):
         p, q = ([x / sum(v) for x in v] for v in (p, q))
@@ -45,8 +71,11 @@ def test_distance(spark):
         return math.sqrt(sum(term(x, y) + term(y, x) for x, y in zip(p, q, strict=True)) / 2)
 
     cases = [([1.0, 2.0, 0.0], [3.0, 0.0, 4.0]), ([1.0, 0.0], [0.0, 1.0]), ([5.0, 5.0], [1.0, 1.0])]
-    df = spark.createDataFrame(cases, "p array<double>, q array<double>")
-    got = [r.d for r in df.select(quality._distance(F.col("p"), F.col("q")).alias("d")).collect()]
+    got = []
+    for p, q in cases:
+        names = [[f"{side}{i}" for i in range(len(p))] for side in "pq"]
+        row = spark.createDataFrame([(*p, *q, sum(p), sum(q))], ", ".join(f"{c} double" for c in [*names[0], *names[1], "ps", "qs"]))
+        got.append(row.select(quality._distance(names[0], "ps", names[1], "qs").alias("d")).first().d)
     assert got == pytest.approx([plain(*c) for c in cases]) and got[1] == pytest.approx(1)
 
 
