@@ -1,44 +1,36 @@
 """License scans with a positional index of rare words.
 
-Templates are short licence texts. Of each document the words that are the rarest
-in the corpus (highest inverse document frequency) of some template's key phrase
-are looked up in the templates' postings; a document position less a template
-position says where the template would begin. At each such beginning the
-template's mandatory key phrase has to stand in its place, so none is missed;
-then the share of the template's weight (summed IDF) that stands where it should
-is the score.
+Templates are licence lines and whole licence texts, each with a mandatory key
+phrase. The index lists, for the rarest word (highest inverse document
+frequency in the corpus) of each key phrase, the templates and the places where
+it stands in them. Each document's words that the index knows are looked up
+there; a document position less a template position says where the template
+would begin. There the words of its key phrase all have to stand in their
+places, so no template is missed; then the share of the template's weight
+(summed IDF) that stands where it should is its score.
 """
 
 from __future__ import annotations
 
+import json
 import math
 import re
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from strandline.llm.license_texts import LINES, TEXTS
 from strandline.llm.text import LOWER, UPPER, whole
 
 #: What the base rule looks for.
 PHRASES = {"mit": "mit license", "apache": "apache license", "gpl": "general public license"}
-#: Label, text and mandatory key phrase of each template.
-TEMPLATES = [
-    ("mit", "Released under the MIT License", "mit license"),
-    ("mit", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files", "permission is hereby granted free of charge"),
-    ("apache", "Licensed under the Apache License, Version 2.0", "apache license"),
-    ("gpl", "This work is licensed under the GNU General Public License, version 3", "general public license"),
-    ("gpl", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License", "general public license"),
-    ("bsd", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met", "redistribution and use in source and binary forms"),
-    ("bsd", "Released under the BSD License", "bsd license"),
-    ("cc", "Licensed under CC BY-NC 4.0", "cc by"),
-    ("cc", "This work is licensed under a Creative Commons Attribution 4.0 International License", "creative commons attribution"),
-    ("mpl", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0", "mozilla public license"),
-]
-#: The rarest licence words of a document that the SQL of the query looks up; ``scan`` has no such limit.
-LOOKED_UP = 12
+#: Label, text and key phrase of each template.
+TEMPLATES = LINES + TEXTS
 #: A template of which less stands in its place is no label.
 MIN_SCORE = 0.3
 _BREAK = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+_INDEX = "map<string, array<struct<label: string, at: int, key_at: int, key: array<string>, words: array<string>, weights: array<double>, total: double>>>"
 
 
 def license_words(text: Column) -> Column:
@@ -51,10 +43,10 @@ def _spell(text: str) -> list[str]:
     return re.findall(r"[a-z0-9]+", text.lower())
 
 
-def prepare() -> list[dict]:
+def prepare(templates: Sequence[tuple[str, str, str]] = TEMPLATES) -> list[dict]:
     """The templates as words, with their key phrases and where these begin."""
     out = []
-    for label, text, key in TEMPLATES:
+    for label, text, key in templates:
         tokens, phrase = _spell(text), _spell(key)
         at = next(i for i in range(len(tokens)) if tokens[i : i + len(phrase)] == phrase)
         out.append({"label": label, "words": tokens, "key": phrase, "key_at": at})
@@ -69,57 +61,56 @@ def document_frequencies(words: DataFrame, vocabulary: list[str]) -> tuple[dict[
     return {w: counts.get(w, 0) for w in vocabulary}, counts.get("", 0)
 
 
-def _strings(values: list[str]) -> str:
-    return "array(" + ", ".join(f"'{v}'" for v in values) + ")"
+def index(templates: list[dict], idf: dict[str, float]) -> Column:
+    """The postings: for the rarest word of each key phrase the templates with its place in them."""
+    postings: dict[str, list[dict]] = {}
+    for t in templates:
+        word = max(t["key"], key=lambda w: (idf[w], w))
+        weights = [idf[w] for w in t["words"]]
+        postings.setdefault(word, []).append(t | {"at": t["key_at"] + t["key"].index(word), "weights": weights, "total": sum(weights)})
+    return F.from_json(F.lit(json.dumps(postings)), _INDEX)
 
 
-def scan(docs: DataFrame) -> DataFrame:
-    """Licence labels of each row of ``docs`` (doc_id, text).
+def scan(docs: DataFrame, templates: Sequence[tuple[str, str, str]] = TEMPLATES) -> DataFrame:
+    """Licence labels of each row of ``docs`` (doc_id, text) by ``templates`` (label, text, key phrase).
 
     Returns doc_id, n_words, n_base, first_word, last_word, base_labels, labels and
     score (the best template's, 0 without one). A null or empty text has no words;
     label lists are then empty strings and the places null. Repeated rows and null
     ids each give their row; other columns are not read. Document frequencies are
-    taken over all rows; ties in rarity go by the word. No row is shuffled.
+    taken over all rows; ties in rarity go by the word. No row is shuffled; the
+    templates' words with their frequencies reach the driver and, as the index, all tasks.
     """
-    templates = prepare()
-    vocabulary = sorted({w for t in templates for w in t["words"]})
+    prepared = prepare(templates)
+    vocabulary = sorted({w for t in prepared for w in t["words"]} | {w for p in PHRASES.values() for w in _spell(p)})
     rows = docs.select("doc_id", license_words(whole("text")).alias("words"))
     frequency, total = document_frequencies(rows, vocabulary)
     idf = {w: math.log((total + 1) / (n + 1)) + 1e-6 for w, n in frequency.items()}
+    rarest = lambda phrase: max(phrase, key=lambda w: (idf[w], w))
 
-    # a phrase can only stand where its rarest word does
-    phrases = [t["key"] for t in templates] + [_spell(p) for p in PHRASES.values()]
-    anchors = sorted({max(phrase, key=lambda w: (idf[w], w)) for phrase in phrases})
-    worth = F.arrays_overlap("words", F.array(*map(F.lit, anchors)))
-    # places where a base phrase begins
-    starts = {}
-    for label, phrase in PHRASES.items():
-        same = " AND ".join(f"get(words, i + {k}) <=> '{w}'" for k, w in enumerate(_spell(phrase)))
-        starts[f"b_{label}"] = F.when(worth, F.expr(f"filter(sequence(0, size(words) - 1), i -> {same})"))
-    # a template can only begin where the rarest word of its key phrase stands in its place
-    keyed = sorted({max(t["key"], key=lambda w: (idf[w], w)) for t in templates})
-    rare = F.when(worth, F.array_intersect(F.array(*map(F.lit, keyed)), "words"))
-    rows = rows.withColumns(starts | {"rare": rare})
+    # each document's words that the index or a base phrase is looked up by, with their places
+    phrases = {label: _spell(p) for label, p in PHRASES.items()}
+    looked_up = sorted({rarest(p) for p in (*phrases.values(), *(t["key"] for t in prepared))})
+    rows = rows.withColumn("rare", F.array_intersect(F.array(*map(F.lit, looked_up)), "words"))
     occurs = "filter(transform(words, (w, i) -> named_struct('w', w, 'i', i)), x -> array_contains(rare, x.w))"
-    rows = rows.withColumn("hits", F.when(F.col("rare").isNotNull(), F.expr(occurs)))
-
-    verified = {}
-    for n, t in enumerate(templates):
-        postings = "array(" + ", ".join(f"named_struct('w', '{w}', 'p', {p})" for p, w in enumerate(t["words"])) + ")"
-        begins = f"array_distinct(flatten(transform(hits, h -> transform(filter({postings}, p -> p.w = h.w), p -> h.i - p.p))))"
-        key = f"o + {t['key_at']} >= 0 AND slice(words, o + {t['key_at']} + 1, {len(t['key'])}) = {_strings(t['key'])}"
-        weight = sum(idf[w] for w in t["words"])
-        stands = " + ".join(f"IF(o + {p} >= 0 AND get(words, o + {p}) <=> '{w}', {idf[w]!r}D, 0D)" for p, w in enumerate(t["words"]))
-        verified[f"s_{n}"] = F.when(F.col("hits").isNotNull(), F.expr(f"array_max(transform(filter({begins}, o -> {key}), o -> ({stands}) / {weight!r}D))"))
-    rows = rows.withColumns(verified)
-
-    at = [f"b_{label}" for label in PHRASES]
+    rows = rows.withColumn("hits", F.when(F.size("rare") > 0, F.expr(occurs)))
+
+    found = {}
+    for label, phrase in phrases.items():
+        at = phrase.index(rarest(phrase))
+        same = " AND ".join(f"get(words, x.i + {k - at}) <=> '{w}'" for k, w in enumerate(phrase))
+        found[f"b_{label}"] = F.expr(f"transform(filter(hits, x -> {same}), x -> x.i - {at})")
+    # a template begins at h.i - t.at
+    stands = "slice(words, h.i - t.at + t.key_at + 1, size(t.key)) = t.key"
+    weight = "aggregate(sequence(0, size(t.words) - 1), 0D, (s, p) -> s + IF(get(words, h.i - t.at + p) <=> t.words[p], t.weights[p], 0D))"
+    verified = f"transform(filter(coalesce(element_at(postings, h.w), array()), t -> h.i - t.at + t.key_at >= 0 AND {stands}), t -> named_struct('label', t.label, 'score', {weight} / t.total))"
+    rows = rows.withColumn("postings", index(prepared, idf))
+    rows = rows.withColumns(found | {"own": F.expr(f"filter(flatten(transform(hits, h -> {verified})), m -> m.score >= {MIN_SCORE!r}D)")})
+
     none = F.expr("cast(array() as array<int>)")
-    base = F.concat(*[F.coalesce(F.col(b), none) for b in at])
+    base = F.concat(*[F.coalesce(F.col(f"b_{label}"), none) for label in PHRASES])
     base_labels = F.array_compact(F.array(*[F.when(F.size(F.coalesce(F.col(f"b_{label}"), none)) > 0, label) for label in PHRASES]))
-    own_labels = F.array_compact(F.array(*[F.when(F.col(f"s_{n}") >= MIN_SCORE, t["label"]) for n, t in enumerate(templates)]))
-    scores = F.array(F.lit(0.0), *[F.when(F.col(f"s_{n}") >= MIN_SCORE, F.col(f"s_{n}")) for n in range(len(templates))])
+    own_labels = F.coalesce(F.transform("own", lambda m: m["label"]), F.expr("cast(array() as array<string>)"))
     joined = lambda labels: F.array_join(F.array_sort(F.array_distinct(labels)), ",")
     return rows.select(
         "doc_id",
@@ -129,5 +120,5 @@ def scan(docs: DataFrame) -> DataFrame:
         F.array_max(base).cast("long").alias("last_word"),
         joined(base_labels).alias("base_labels"),
         joined(F.concat(base_labels, own_labels)).alias("labels"),
-        F.least(F.array_max(scores), F.lit(1.0)).alias("score"),
+        F.least(F.coalesce(F.array_max(F.transform("own", lambda m: m["score"])), F.lit(0.0)), F.lit(1.0)).alias("score"),
     )

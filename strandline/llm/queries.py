@@ -95,9 +95,8 @@ slots AS (SELECT n, unnest(ws) AS word, generate_subscripts(ws, 1) - 1 AS p FROM
 own AS (SELECT DISTINCT word FROM slots),
 held AS (SELECT k, unnest(list_distinct(ws)) AS word FROM d),
 idf AS (SELECT own.word, ln(((SELECT count(*) FROM d) + 1) / (count(held.k) + 1)) + 1e-6::DOUBLE AS idf FROM own LEFT JOIN held USING (word) GROUP BY own.word),
-rare AS (SELECT k, word FROM (SELECT k, word, row_number() OVER (PARTITION BY k ORDER BY idf DESC, word) AS r FROM held JOIN idf USING (word) JOIN d USING (k) WHERE list_has_any(ws, {keys})) WHERE r <= {licenses.LOOKED_UP}),
 found AS (SELECT k, unnest(ws) AS word, generate_subscripts(ws, 1) - 1 AS i FROM d WHERE list_has_any(ws, {keys})),
-begins AS (SELECT DISTINCT found.k, slots.n, found.i - slots.p AS o FROM found JOIN rare USING (k, word) JOIN slots USING (word)),
+begins AS (SELECT DISTINCT found.k, t.n, found.i - t.key_at AS o FROM found JOIN templates t ON found.word = t.key[1]),
 sure AS (SELECT b.k, b.n, b.o, t.label, d.ws FROM begins b JOIN templates t USING (n) JOIN d USING (k) WHERE b.o + t.key_at >= 0 AND list_slice(d.ws, b.o + t.key_at + 1, b.o + t.key_at + len(t.key)) = t.key),
 scored AS (SELECT k, label, n, o, sum(CASE WHEN s.o + p >= 0 AND s.ws[(s.o + p + 1)::INT] = word THEN idf ELSE 0 END) / sum(idf) AS score FROM sure s JOIN slots USING (n) JOIN idf USING (word) GROUP BY k, label, n, o),
 best AS (SELECT k, list(DISTINCT label) AS labels, max(score) AS score FROM scored WHERE score >= {licenses.MIN_SCORE} GROUP BY k),

@@ -1,3 +1,4 @@
+import math
 import random
 import re
 
@@ -54,3 +55,49 @@ def test_templates_beyond_twelve_rare_words(spark):
     df = spark.createDataFrame([(0, notice)] + [(i, plain) for i in range(1, 9)], "doc_id long, text string")
     found = {r.doc_id: r.labels for r in licenses.scan(df).collect()}
     assert found == {0: "bsd,cc,mit"} | {i: "cc" for i in range(1, 9)}
+
+
+def plain_scan(texts):
+    """Every template at every place: labels and score of each text."""
+    split = [re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", "".join(c.lower() if "A" <= c <= "Z" else c for c in t or "")) for t in texts]
+    templates = licenses.prepare()
+    idf = {w: math.log((len(split) + 1) / (sum(w in d for d in map(set, split)) + 1)) + 1e-6 for t in templates for w in t["words"]}
+    out = []
+    for words, text in zip(split, texts):
+        labels, best = set(filter(None, base(text)[4].split(","))), 0.0
+        for t in templates:
+            key, at = t["key"], t["key_at"]
+            for i in range(len(words)):
+                if words[i : i + len(key)] == key:
+                    score = sum(idf[w] for p, w in enumerate(t["words"]) if 0 <= i - at + p < len(words) and words[i - at + p] == w) / sum(idf[w] for w in t["words"])
+                    if score >= licenses.MIN_SCORE:
+                        labels.add(t["label"])
+                        best = max(best, score)
+        out.append((",".join(sorted(labels)), min(best, 1.0)))
+    return out
+
+
+def test_any_mix_of_templates_keeps_all_labels(spark):
+    rng = random.Random(21)
+    filler = "some other words of the work that nobody licensed to any person".split()
+    texts = [" ".join(t for _, t, _ in licenses.TEMPLATES), "mit license " * 2000]
+    for _ in range(150):
+        parts = []
+        for _, text, _ in rng.sample(licenses.TEMPLATES, rng.randint(0, 6)):
+            words = text.split()
+            if rng.random() < 0.5:
+                words = [w if rng.random() < 0.9 else rng.choice(filler) for w in words]
+            parts += words[rng.randint(0, 4) : len(words) - rng.randint(0, 4)] + rng.choices(filler, k=rng.randint(0, 8))
+        texts.append(" ".join(parts))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    want = plain_scan(texts)
+    for r in licenses.scan(df).collect():
+        assert (r.labels, round(r.score, 9)) == (want[r.doc_id][0], round(want[r.doc_id][1], 9)), texts[r.doc_id][:200]
+    assert set(want[0][0].split(",")) == {label for label, *_ in licenses.TEMPLATES}
+
+
+def test_many_templates(spark):
+    names = ["".join(chr(97 + i // 26**k % 26) for k in range(3)) for i in range(600)]
+    own = [(f"l{i}", f"This text is under the {name} terms of use", f"{name} terms") for i, name in enumerate(names)]
+    df = spark.createDataFrame([(i, f"It is said that this text is under the {names[i]} terms of use, and no other") for i in range(0, 600, 7)], "doc_id long, text string")
+    assert all(r.labels == f"l{r.doc_id}" and r.score > 0.9 for r in licenses.scan(df, own).collect())
