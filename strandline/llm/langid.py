@@ -3,14 +3,16 @@
 Each language has a probability for every piece of a fixed public vocabulary. A
 word's probability is the sum, over all ways to cut it into pieces, of the
 product of the pieces' probabilities; the forward algorithm gives that sum, and
-expectation-maximisation over the same sums fits the pieces. A text's log
-probability is the sum over its words; the language with the largest one wins.
+expectation-maximisation over the same sums fits the pieces, each round one pass
+over all training words. A text's log probability is the sum over its words; the
+language with the largest one wins.
 """
 
 from __future__ import annotations
 
 import base64
-from collections.abc import Iterable, Iterator
+from collections import Counter
+from collections.abc import Iterable, Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -19,188 +21,298 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandline.workspace import materialize
+from strandline.workspace import discard, materialize
 
-WORD = regex.compile(r"\p{L}+")
 UNDETERMINED = "und"
+WORD = regex.compile(r"\p{L}+")
 #: A worker's cache of word scores starts again when it has grown beyond this size.
-CACHED_WORDS = 200_000
-#: Totals of so many languages are sent to all executors; of more they are joined by a shuffle.
-SENT_LANGUAGES = 1000
-#: Texts are scored together until they have so many words.
-WORDS_TOGETHER = 200_000
+CACHED_WORDS = 400_000
+#: Languages that are fitted and scored together, so what is sent to all executors has at most 8 bytes x pieces x this.
+TOGETHER = 32
+#: Texts are scored together until they have so many words; distinct words until they have so many bytes.
+WORDS_TOGETHER, BYTES_TOGETHER = 200_000, 200_000
 #: Bytes of words that no sum can underflow for.
 _SHORT = 36
 _TINY = 1e-180
 
 
+def spaced(text: str | None) -> list[str]:
+    """What stands between white space in the lower-cased text; each is then cut into words once, however often it stands there."""
+    return text.lower().split() if text else []
+
+
+def _words(run: str) -> list[str]:
+    """Runs of letters."""
+    return [run] if run.isalpha() else WORD.findall(run)
+
+
+def _spell(word: str) -> bytes:
+    return b" " + word.encode("utf-8", "replace")
+
+
+def read_pieces(path: str) -> list[bytes]:
+    """All pieces of the vocabulary and every single byte, in order."""
+    with open(path, "rb") as lines:
+        return sorted({base64.b64decode(line.split()[0]) for line in lines} | {bytes([b]) for b in range(256)})
+
+
 @dataclass
-class PieceModel:
-    """Piece probabilities: the rows of ``probs`` follow ``pieces``, its columns ``langs``.
+class Lattice:
+    """All pieces in some words: where they start and end, among the words' boundaries laid end to end.
 
-    ``keys`` has each piece as a number (see ``_key``), in order, and ``probs`` a
-    last row of zeros for what is no piece.
+    ``steps`` cuts them by how far from their word's beginning they start.
     """
 
-    langs: list[str]
+    firsts: np.ndarray
+    sizes: np.ndarray
+    starts: np.ndarray
+    ends: np.ndarray
+    rows: np.ndarray
+    words: np.ndarray
+    steps: np.ndarray
     longest: int
-    keys: np.ndarray
+
+    def forward(self, probs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The sum over all cuts up to each boundary, one column for each of ``probs``, and the logarithm of its scale."""
+        size = int(self.sizes.sum()) + len(self.sizes)
+        sums, scale = np.zeros((size, probs.shape[1])), np.zeros((size, probs.shape[1]))
+        sums[self.firsts] = 1.0
+        long = np.flatnonzero(self.sizes > _SHORT)
+        for t in range(len(self.steps) - 1):
+            if len(long) and t:
+                long = long[self.sizes[long] >= t]
+                at = self.firsts[long] + t
+                scale[at] = scale[at - 1]
+                for k in np.flatnonzero(((sums[at] < _TINY) & (sums[at] > 0)).any(axis=1)):
+                    low = np.where((sums[at[k]] < _TINY) & (sums[at[k]] > 0), _TINY, 1.0)
+                    sums[at[k] : at[k] + min(self.longest, self.sizes[long[k]] - t) + 1] /= low
+                    scale[at[k]] += np.log(low)
+            part = slice(self.steps[t], self.steps[t + 1])
+            sums[self.ends[part]] += sums[self.starts[part]] * probs[part]
+        last = self.firsts[long] + self.sizes[long]
+        scale[last] = scale[last - 1]
+        return sums, scale
+
+    def log_sums(self, probs: np.ndarray) -> np.ndarray:
+        """log P of each word in each column."""
+        sums, scale = self.forward(probs)
+        last = self.firsts + self.sizes
+        return np.log(np.maximum(sums[last], 5e-324)) + scale[last]
+
+    def expected(self, probs: np.ndarray) -> np.ndarray:
+        """How often each piece is used in a cut of its word, by the posterior of the cuts; ``probs`` has one column."""
+        sums, scale = (x[:, 0] for x in self.forward(probs))
+        with np.errstate(divide="ignore", invalid="ignore"):
+            share = sums[self.starts] * probs[:, 0] / sums[self.ends] * np.exp(scale[self.starts] - scale[self.ends])
+        share = np.where(np.isfinite(share), share, 0.0)
+        reached, used = np.zeros(len(sums)), np.empty(len(share))
+        last = self.firsts + self.sizes
+        reached[last] = sums[last] > 0
+        for t in range(len(self.steps) - 2, -1, -1):
+            part = slice(self.steps[t], self.steps[t + 1])
+            used[part] = reached[self.ends[part]] * share[part]
+            np.add.at(reached, self.starts[part], used[part])
+        return used
+
+
+class Pieces:
+    """A vocabulary as a tree of bytes; a piece's row is its place in ``pieces``."""
+
+    def __init__(self, pieces: Sequence[bytes]):
+        nodes = {b"": 0}
+        for piece in pieces:
+            for n in range(1, len(piece) + 1):
+                nodes.setdefault(piece[:n], len(nodes))
+        edges = sorted((nodes[prefix[:-1]] << 8 | prefix[-1], node) for prefix, node in nodes.items() if prefix)
+        self.keys = np.array([k for k, _ in edges], np.int64)
+        self.below = np.array([node for _, node in edges], np.int64)
+        self.row = np.full(len(nodes), -1, np.int64)
+        self.row[[nodes[p] for p in pieces]] = np.arange(len(pieces))
+        self.count = len(pieces)
+        self.longest = max(map(len, pieces), default=0)
+
+    def lattice(self, words: Sequence[bytes]) -> Lattice:
+        sizes = np.array([len(w) for w in words], np.int64)
+        data = np.frombuffer(b"".join(words), np.uint8).astype(np.int64)
+        word = np.repeat(np.arange(len(words)), sizes)
+        begins = np.cumsum(sizes) - sizes
+        stops = (begins + sizes)[word]
+        at = np.arange(len(data))
+        node, found = np.zeros(len(data), np.int64), []
+        for n in range(1, self.longest + 1):
+            key = node << 8 | data[at + n - 1]
+            edge = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+            alive = self.keys[edge] == key
+            at, node = at[alive], self.below[edge[alive]]
+            row = self.row[node]
+            some = row >= 0
+            found.append((at[some], np.full(int(some.sum()), n), row[some]))
+            more = at + n < stops[at]
+            at, node = at[more], node[more]
+            if not len(at):
+                break
+        start, length, rows = (np.concatenate(x) for x in zip(*found)) if found else (np.zeros(0, np.int64),) * 3
+        offset = start - begins[word[start]]
+        order = np.argsort(offset, kind="stable")
+        start, length, rows, offset = start[order], length[order], rows[order], offset[order]
+        steps = np.searchsorted(offset, np.arange(int(sizes.max(initial=0)) + 1))
+        boundary = start + word[start]
+        return Lattice(begins + np.arange(len(words)), sizes, boundary, boundary + length, rows, word[start], steps, self.longest)
+
+
+def _batches(words: Sequence[bytes]) -> Iterator[slice]:
+    """Slices of ``words`` with about BYTES_TOGETHER bytes each."""
+    first, size = 0, 0
+    for i, word in enumerate(words):
+        size += len(word)
+        if size >= BYTES_TOGETHER:
+            yield slice(first, i + 1)
+            first, size = i + 1, 0
+    if first < len(words):
+        yield slice(first, len(words))
+
+
+@dataclass
+class PieceModel:
+    """Piece probabilities: ``probs`` has a row for each piece and a column for each of ``langs``."""
+
+    langs: list[str]
+    pieces: Pieces
     probs: np.ndarray
 
-    def _rows_of(self, keys: np.ndarray) -> np.ndarray:
-        at = np.searchsorted(self.keys, keys)
-        at[at == len(self.keys)] = 0
-        return np.where(self.keys[at] == keys, at, len(self.keys))
-
-    def _scores_alike(self, words: np.ndarray) -> np.ndarray:
-        """log P of words of equal length, one in each row of bytes, by the forward algorithm over all of them at once."""
-        count, size = words.shape
-        wide = words.astype(np.uint64)
-        forward = [np.ones((count, len(self.langs)))] + [np.zeros((count, len(self.langs))) for _ in range(size)]
-        for start in range(size):
-            key = np.zeros(count, np.uint64)
-            for n in range(1, min(self.longest, size - start) + 1):
-                key |= wide[:, start + n - 1] << np.uint64(64 - 8 * n)
-                forward[start + n] += forward[start] * self.probs[self._rows_of(key | np.uint64(n))]
-        return np.log(np.maximum(forward[-1], 5e-324))
-
-    def _score_long(self, data: bytes) -> np.ndarray:
-        """The same for one word of any length: the last sums are scaled up before they get too small."""
-        shift = np.zeros(len(self.langs))
-        window = [np.ones(len(self.langs))]
-        for end in range(1, len(data) + 1):
-            first = max(0, end - self.longest)
-            rows = self._rows_of(np.array([_key(data[start:end]) for start in range(first, end)], np.uint64))
-            window = window[-(end - first) :]
-            window.append(sum(before * self.probs[row] for before, row in zip(window, rows, strict=True)))
-            low = window[-1] < _TINY
-            if low.any():
-                window = [np.where(low, x / _TINY, x) for x in window]
-                shift += np.where(low, np.log(_TINY), 0.0)
-        return np.log(np.maximum(window[-1], 5e-324)) + shift
-
-    def word_scores(self, words: list[str]) -> np.ndarray:
+    def word_scores(self, words: Sequence[str]) -> np.ndarray:
         """log P of each word in each language."""
-        out = np.empty((len(words), len(self.langs)))
-        by_size: dict[int, list[int]] = {}
         data = [_spell(w) for w in words]
-        for i, d in enumerate(data):
-            by_size.setdefault(len(d), []).append(i)
-        for size, at in by_size.items():
-            if size <= _SHORT:
-                out[at] = self._scores_alike(np.frombuffer(b"".join(data[i] for i in at), np.uint8).reshape(len(at), size))
-            else:
-                for i in at:
-                    out[i] = self._score_long(data[i])
+        out = np.empty((len(words), len(self.langs)))
+        for part in _batches(data):
+            lattice = self.pieces.lattice(data[part])
+            out[part] = lattice.log_sums(self.probs[lattice.rows])
         return out
 
+    def expected(self, langs: np.ndarray, words: Sequence[bytes], counts: np.ndarray) -> np.ndarray:
+        """How often each piece is expected in ``words`` (spelled), each of a language by its number and so many times."""
+        out = np.zeros_like(self.probs)
+        for part in _batches(words):
+            lattice = self.pieces.lattice(words[part])
+            lang = langs[part][lattice.words]
+            used = lattice.expected(self.probs[lattice.rows, lang][:, None]) * counts[part][lattice.words]
+            np.add.at(out, (lattice.rows, lang), used)
+        return out
+
+
+def uniform(pieces: Sequence[bytes], langs: Sequence[str]) -> PieceModel:
+    return PieceModel(list(langs), Pieces(pieces), np.full((len(pieces), len(langs)), 1.0 / max(len(pieces), 1)))
+
+
+def improved(model: PieceModel, expected: np.ndarray, added: float) -> PieceModel:
+    """The model whose probabilities are the expected counts, each with ``added``."""
+    smooth = expected + added
+    return PieceModel(model.langs, model.pieces, smooth / smooth.sum(axis=0))
+
 
 class Scorer:
-    """Predictions of a model, with the scores of words it has met; starts them again when they are many."""
+    """Sums of a model's word scores, with those of words it has met; starts them again when they are many."""
 
     def __init__(self, model: PieceModel, cached: int = CACHED_WORDS):
         self.model, self.cached = model, cached
         self.rows: dict[str, int] = {}
         self.scores = np.empty((0, len(model.langs)))
 
-    def _learn(self, words: list[str]) -> None:
-        self.rows.update(zip(words, range(len(self.rows), len(self.rows) + len(words)), strict=True))
-        self.scores = np.concatenate([self.scores[: len(self.rows) - len(words)], self.model.word_scores(words)])
-
-    def predict(self, texts: Iterable[str | None]) -> Iterator[tuple[str, float]]:
-        """A (language, score) for each text, in order; a few texts are looked at together."""
+    def _learn(self, runs: list[str]) -> None:
+        """Words are scored; a run of several, or of none, is the sum over them."""
+        apart = {run: WORD.findall(run) for run in runs if not run.isalpha()}
+        alone = [run for run in runs if run not in apart]
+        words = sorted({*alone, *(w for own in apart.values() for w in own if w not in self.rows)})
+        self._add(words, self.model.word_scores(words))
+        sums = np.zeros((len(apart), len(self.model.langs)))
+        at = [self.rows[w] for own in apart.values() for w in own]
+        np.add.at(sums, np.repeat(np.arange(len(apart)), [len(own) for own in apart.values()]), self.scores[at])
+        self._add(list(apart), sums)
+
+    def _add(self, runs: list[str], scores: np.ndarray) -> None:
+        known = len(self.rows)
+        self.rows.update(zip(runs, range(known, known + len(runs)), strict=True))
+        self.scores = np.concatenate([self.scores[:known], scores])
+
+    def totals(self, texts: Iterable[str | None]) -> Iterator[np.ndarray | None]:
+        """log P of each text in each language, in order, or nothing if it has no letter; a few texts are looked at together."""
         waiting: list[list[str]] = []
         many = 0
         for text in texts:
-            waiting.append(WORD.findall(text.lower()) if text else [])
+            waiting.append(spaced(text))
             many += len(waiting[-1])
             if many >= WORDS_TOGETHER:
-                yield from self._judge(waiting)
+                yield from self._sum(waiting)
                 waiting, many = [], 0
-        yield from self._judge(waiting)
+        yield from self._sum(waiting)
 
-    def _judge(self, texts: list[list[str]]) -> Iterator[tuple[str, float]]:
-        langs = self.model.langs
+    def _sum(self, texts: list[list[str]]) -> Iterator[np.ndarray | None]:
         if len(self.rows) > self.cached:
             self.rows, self.scores = {}, self.scores[:0]
-        fresh = {w for words in texts for w in words if w not in self.rows} if langs else ()
+        fresh = {run for runs in texts for run in runs if run not in self.rows}
         if fresh:
             self._learn(sorted(fresh))
-        for words in texts:
-            if not words or not langs:
-                yield UNDETERMINED, 0.0
-                continue
-            total = self.scores[list(map(self.rows.__getitem__, words))].sum(axis=0)
-            best = int(total.argmax())
-            yield langs[best], float(1.0 / np.exp(total - total[best]).sum())
-
-
-def _key(piece: bytes) -> int:
-    """A piece of at most seven bytes as a number: its bytes, then its length."""
-    return int.from_bytes(piece.ljust(7, b"\0"), "big") << 8 | len(piece)
-
-
-def _spell(word: str) -> bytes:
-    return b" " + word.encode("utf-8", "replace")
-
-
-def read_pieces(path: str, longest: int) -> set[bytes]:
-    """The vocabulary's pieces of at most ``longest`` (7 or less) bytes; every single byte is among them."""
-    with open(path, "rb") as lines:
-        pieces = {base64.b64decode(line.split()[0]) for line in lines}
-    return {p for p in pieces if len(p) <= longest} | {bytes([b]) for b in range(256)}
+        for runs in texts:
+            known = any(run.isalpha() or WORD.search(run) for run in runs)
+            yield self.scores[list(map(self.rows.__getitem__, runs))].sum(axis=0) if known and self.model.langs else None
 
 
-def word_counts(docs: DataFrame, rare: float = 1 / 20_000) -> DataFrame:
-    """(lang, word, n) over all given rows, without words under ``rare`` of their language's words.
+def word_counts(docs: DataFrame) -> DataFrame:
+    """(lang, word, n) over all given rows of lang and text."""
 
-    So at most 1 / rare words a language remain, whatever the size of the input.
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            counts: dict[str, Counter] = {}
+            size = 0
+            for lang, text in zip(batch.column(0).to_pylist(), batch.column(1)):
+                counts.setdefault(lang, Counter()).update(runs := spaced(text.as_py()))
+                size += len(runs)
+                if size >= WORDS_TOGETHER * 5:
+                    yield put_out(counts)
+                    counts, size = {}, 0
+            yield put_out(counts)
+
+    def put_out(counts: dict[str, Counter]) -> pa.RecordBatch:
+        langs, words, ns = [], [], []
+        for lang, own in counts.items():
+            cut: Counter = Counter()
+            for run, n in own.items():
+                for word in _words(run):
+                    cut[word] += n
+            langs += [lang] * len(cut)
+            words += cut.keys()
+            ns += cut.values()
+        return pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array(words, pa.string()), pa.array(ns, pa.int64())], names=["lang", "word", "n"])
+
+    return docs.select("lang", "text").mapInArrow(run, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
+
+
+def fit(counts: DataFrame, pieces: Sequence[bytes], langs: Sequence[str], rounds: int = 3, added: float = 0.1) -> PieceModel:
+    """Expectation-maximisation of the piece probabilities of ``langs`` over all words of theirs in ``counts`` (lang, word, n).
+
+    Each round sums what the tasks expect; the driver sees one number a piece and language.
     """
-    words = docs.select("lang", F.explode(F.split(F.lower("text"), r"[^\p{L}]+")).alias("word")).filter("word <> ''")
-    counts = materialize(words.groupBy("lang", "word").agg(F.count("*").alias("n")), "langid-vocabulary")
-    totals = counts.groupBy("lang").agg(F.sum("n").alias("total"))
-    totals = F.broadcast(totals) if totals.count() <= SENT_LANGUAGES else totals
-    return counts.join(totals, "lang").filter(F.col("n") >= F.col("total") * rare).select("lang", "word", "n")
-
-
-def fit(counts: dict[str, dict[str, int]], pieces: set[bytes], longest: int, rounds: int = 3, added: float = 0.1) -> PieceModel:
-    """Expectation-maximisation of each language's piece probabilities over weighted words."""
-    langs = sorted(counts)
-    tables, floors = [], []
-    for lang in langs:
-        lattices, used = [], {}
-        for word, n in sorted(counts[lang].items()):
-            data = _spell(word)[:64]
-            spans = []
-            for end in range(1, len(data) + 1):
-                for start in range(max(0, end - longest), end):
-                    if (piece := data[start:end]) in pieces:
-                        spans.append((start, end, used.setdefault(piece, len(used))))
-            lattices.append((len(data), spans, n))
-        probs = [1.0 / max(len(pieces), 1)] * len(used)
-        for _ in range(rounds):
-            expected = [added] * len(used)
-            for size, spans, n in lattices:
-                forward, backward = [0.0] * (size + 1), [0.0] * (size + 1)
-                forward[0] = backward[size] = 1.0
-                for start, end, piece in spans:
-                    forward[end] += forward[start] * probs[piece]
-                if forward[size] <= 0.0:
-                    continue
-                for start, end, piece in reversed(spans):
-                    backward[start] += backward[end] * probs[piece]
-                weight = n / forward[size]
-                for start, end, piece in spans:
-                    expected[piece] += weight * forward[start] * probs[piece] * backward[end]
-            total = sum(expected) + added * (len(pieces) - len(used))
-            probs = [e / total for e in expected]
-        floors.append(added / total if counts[lang] else 1.0 / max(len(pieces), 1))
-        tables.append({piece: probs[i] for piece, i in used.items()})
-    ordered = sorted(pieces, key=_key)
-    probs = np.zeros((len(ordered) + 1, len(langs)))
-    for i, (own, floor) in enumerate(zip(tables, floors, strict=True)):
-        probs[:-1, i] = [own.get(p, floor) for p in ordered]
-    return PieceModel(langs, longest, np.array([_key(p) for p in ordered], np.uint64), probs)
+    spark = counts.sparkSession
+    model = uniform(pieces, langs)
+    for _ in range(rounds):
+        sent = spark.sparkContext.broadcast(model)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            now = sent.value  # noqa: B023
+            number = {lang: i for i, lang in enumerate(now.langs)}
+            total = np.zeros_like(now.probs)
+            for batch in batches:
+                numbers = np.array([number[lang] for lang in batch.column(0).to_pylist()], np.int64)
+                total += now.expected(numbers, [_spell(w) for w in batch.column(1).to_pylist()], batch.column(2).to_numpy())
+            at, lang = np.nonzero(total)
+            yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(lang), pa.array(total[at, lang])], names=["piece", "lang", "n"])
+
+        found = counts.select("lang", "word", "n").mapInArrow(run, "piece long, lang long, n double").groupBy("piece", "lang").agg(F.sum("n").alias("n")).toArrow()
+        expected = np.zeros_like(model.probs)
+        expected[found["piece"].to_numpy(), found["lang"].to_numpy()] = found["n"].to_numpy()
+        model = improved(model, expected, added)
+        sent.destroy()
+    return model
 
 
 def fold(id_col: str = "doc_id"):
@@ -208,34 +320,61 @@ def fold(id_col: str = "doc_id"):
     return F.crc32(F.col(id_col).cast("string")) % 5
 
 
-def train(docs: DataFrame, path: str, longest: int = 7, rare: float = 1 / 20_000) -> PieceModel:
-    """Fit on the rows whose ``fold`` is not 0, with a language and a text; all of them are counted.
+def train(docs: DataFrame, path: str, together: int = TOGETHER) -> list[PieceModel]:
+    """Fit on all rows whose ``fold`` is not 0, with a language and a text; languages of one model are at most ``together``."""
+    counts = materialize(word_counts(docs.filter(fold() != 0).filter("lang is not null and text is not null")), "langid-vocabulary")
+    pieces = read_pieces(path)
+    langs = sorted(r[0] for r in counts.select("lang").distinct().collect())
+    groups = [langs[i : i + together] for i in range(0, len(langs), together)]
+    models = [fit(counts if len(groups) == 1 else counts.filter(F.col("lang").isin(group)), pieces, group) for group in groups]
+    discard(counts)
+    return models
 
-    The driver gets the (language, word) counts of ``word_counts``: at most
-    1 / rare a language.
-    """
-    rows = word_counts(docs.filter(fold() != 0).filter("lang is not null and text is not null"), rare).collect()
-    counts: dict[str, dict[str, int]] = {}
-    for lang, word, n in rows:
-        counts.setdefault(lang, {})[word] = n
-    return fit(counts, read_pieces(path, longest), longest)
 
-
-def identify(docs: DataFrame, model: PieceModel, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+def identify(docs: DataFrame, models: Sequence[PieceModel], keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """Columns ``keep``, lang_pred and score for each row; only ``text`` is looked at.
 
     A text that is null, empty or has no letter, and any text where nothing could
     be learned, gives ``und`` with score 0. The score is the winner's posterior
-    under equal priors; of equal languages the first by name wins. No shuffle.
+    under equal priors; of equal languages the first by name wins. No shuffle; one
+    pass over the texts for each model.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(model)
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema)
+    score = F.when(F.col("__lang") == UNDETERMINED, 0.0).otherwise(F.exp(F.col("__best") - F.col("__all")))
+    return _judged(docs, models, keep).select(*[F.col(f"__k{i}").alias(c) for i, c in enumerate(keep)], F.col("__lang").alias("lang_pred"), F.least(score, F.lit(1.0)).alias("score"))
+
+
+def determined(docs: DataFrame, models: Sequence[PieceModel]) -> DataFrame:
+    """The rows of ``docs`` whose language can be told, with all their columns, whatever these are called."""
+    rows = _judged(docs, models, docs.columns).filter(F.col("__lang") != UNDETERMINED)
+    return rows.select(*[F.col(f"__k{i}").alias(c) for i, c in enumerate(docs.columns)])
+
+
+def _judged(docs: DataFrame, models: Sequence[PieceModel], keep: Sequence[str]) -> DataFrame:
+    rows = docs.select(*[F.col(f"`{c}`").alias(f"__k{i}") for i, c in enumerate(keep)], F.col("text").alias("__text"))
+    rows = rows.select("*", F.lit(UNDETERMINED).alias("__lang"), F.lit(0.0).alias("__best"), F.lit(0.0).alias("__all"))
+    for model in models:
+        rows = _better(rows, model)
+    return rows
+
+
+def _better(rows: DataFrame, model: PieceModel) -> DataFrame:
+    """``rows`` with the best language so far, its log probability, and that of all languages together."""
+    sent = rows.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = Scorer(shared.value)
+        scorer = Scorer(sent.value)
+        langs = scorer.model.langs
         for batch in batches:
-            found = list(scorer.predict(value.as_py() for value in batch.column(batch.num_columns - 1)))
-            columns = [*batch.columns[:-1], pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())]
-            yield pa.RecordBatch.from_arrays(columns, names=[*keep, "lang_pred", "score"])
-
-    return docs.select(*keep, F.col("text").alias("__text")).mapInArrow(run, f"{schema}, lang_pred string, score double")
+            *kept, texts, lang, best, every = batch.columns
+            lang, best, every = lang.to_pylist(), best.to_pylist(), every.to_pylist()
+            for i, total in enumerate(scorer.totals(value.as_py() for value in texts)):
+                if total is None:
+                    continue
+                top = int(total.argmax())
+                now = float(total[top] + np.log(np.exp(total - total[top]).sum()))
+                every[i] = now if lang[i] == UNDETERMINED else float(np.logaddexp(every[i], now))
+                if lang[i] == UNDETERMINED or total[top] > best[i]:
+                    lang[i], best[i] = langs[top], float(total[top])
+            yield pa.RecordBatch.from_arrays([*kept, texts, pa.array(lang, pa.string()), pa.array(best, pa.float64()), pa.array(every, pa.float64())], names=batch.schema.names)
+
+    return rows.mapInArrow(run, rows.schema)

@@ -22,34 +22,77 @@ def all_cuts(data, pieces):
 
 
 def test_forward_is_the_sum_over_all_segmentations():
-    pieces = {b" ", b"a", b"b", b"c", b"ab", b" a", b"bc", b"abc", b"ca"}
-    model = langid.fit({"x": {"abc": 5, "cab": 2}, "y": {"bca": 7, "a": 1}}, pieces, 7)
-    index = {p: i for i, p in enumerate(sorted(pieces, key=langid._key))}
-    for word in ("abcabc", "c", "bbcaab"):
-        want = [math.log(sum(math.prod(model.probs[index[p], lang] for p in cut) for cut in all_cuts(langid._spell(word), pieces))) for lang in (0, 1)]
-        assert model.word_scores([word])[0] == pytest.approx(want)
-        assert model._score_long(langid._spell(word)) == pytest.approx(want)
-    assert np.isfinite(model.word_scores(["a" * 5000, "ab" * 10])).all()
-    assert model.probs[:-1].sum(axis=0) == pytest.approx([1, 1])
+    pieces = sorted([b" ", b"a", b"b", b"c", b"ab", b" a", b"bc", b"abc", b"ca", b"abcabcab"])
+    rng = np.random.default_rng(3)
+    model = langid.PieceModel(["x", "y"], langid.Pieces(pieces), rng.dirichlet(np.ones(len(pieces)), 2).T)
+    index = {p: i for i, p in enumerate(pieces)}
+    words = ["abcabc", "c", "bbcaab", "", "abcabcabca"]
+    product = lambda cut, lang: math.prod(model.probs[index[p], lang] for p in cut)
+    sums = np.array([[sum(product(cut, lang) for cut in all_cuts(langid._spell(w), pieces)) for lang in (0, 1)] for w in words])
+    assert model.word_scores(words) == pytest.approx(np.log(sums))
+    # expectation by listing all cuts
+    counts, langs = np.array([5, 2, 7, 1, 3]), np.array([0, 1, 1, 0, 0])
+    want = np.zeros_like(model.probs)
+    for word, n, lang, total in zip(words, counts, langs, sums):
+        for cut in all_cuts(langid._spell(word), pieces):
+            for p in cut:
+                want[index[p], lang] += n * product(cut, lang) / total[lang]
+    spelled = [langid._spell(w) for w in words]
+    assert model.expected(langs, spelled, counts) == pytest.approx(want)
+    assert langid.improved(model, want, 0.1).probs.sum(axis=0) == pytest.approx([1, 1])
+
+
+def test_long_words_are_scored_whole():
+    pieces = langid.read_pieces(PATH)
+    model = langid.uniform(pieces, ["x", "y"])
+    words = ["a" * 5000, "ab" * 10, "\u4e2d\u6587" * 3000, "the"]
+    together, alone = model.word_scores(words), np.concatenate([model.word_scores([w]) for w in words])
+    assert np.isfinite(together).all() and together == pytest.approx(alone)
+    one = langid.PieceModel(["x"], langid.Pieces([b" ", b"a"]), np.array([[0.25], [0.75]]))
+    assert one.word_scores(["a" * 4000])[0, 0] == pytest.approx(math.log(0.25) + 4000 * math.log(0.75))
+    used = one.expected(np.zeros(1, np.int64), [langid._spell("a" * 4000)], np.array([2]))
+    assert used[:, 0] == pytest.approx([2, 8000])
+
+
+def test_every_piece_takes_part():
+    pieces = langid.read_pieces(PATH)
+    assert len(pieces) == 50_256
+    table = langid.Pieces(pieces)
+    assert sorted(table.row[table.row >= 0]) == list(range(len(pieces)))
+    sample = [p for p in pieces if len(p) > 7][::50]
+    for piece in sample:
+        lattice = table.lattice([piece])
+        whole = (lattice.starts == 0) & (lattice.ends == len(piece))
+        assert pieces[lattice.rows[whole][0]] == piece
 
 
 def test_cache_of_any_size_gives_the_same():
-    pieces = langid.read_pieces(PATH, 7)
-    model = langid.fit({"en": {"the": 9, "and": 5}, "de": {"der": 8, "und": 6}}, pieces, 7)
-    texts = ["the and the", "der und die", "xyz", None, "", "12 !", "und the der"] * 5
-    assert list(langid.Scorer(model, cached=1).predict(texts)) == list(langid.Scorer(model).predict(texts))
+    pieces = langid.read_pieces(PATH)
+    model = langid.uniform(pieces, ["en", "de"])
+    model.probs[:] = np.random.default_rng(1).dirichlet(np.ones(len(pieces)), 2).T
+    texts = ["the and the", "der und die", "xyz", None, "", "12 !", "x\u00b2y und the der", "\u00bd \u00b2"] * 5
+    plain = lambda totals: [None if t is None else list(t) for t in totals]
+    got = plain(langid.Scorer(model, cached=1).totals(texts))
+    assert got == plain(langid.Scorer(model).totals(texts))
+    for text, total in zip(texts, got):
+        words = langid.WORD.findall(text.lower()) if text else []
+        assert (total is None) == (not words) and (not words or total == pytest.approx(list(model.word_scores(words).sum(axis=0))))
 
 
 def test_rows(spark):
     train = [(i, "the cat and the dog of the house", "en") for i in range(30)] + [(100 + i, "der hund und die katze des hauses", "de") for i in range(30)]
     docs = spark.createDataFrame([*train, (None, "the dog", "en"), (900, None, "en"), (901, "123 ...", "de"), (902, "", None), (903, "die katze " * 30_000, None)], "doc_id long, text string, lang string")
     model = langid.train(docs, PATH)
-    assert model.langs == ["de", "en"]
+    assert [m.langs for m in model] == [["de", "en"]]
     got = {(r.doc_id): (r.lang_pred, r.score) for r in langid.identify(docs.withColumn("score", docs.lang), model).collect()}
+    apart = langid.train(docs, PATH, together=1)
+    assert [m.langs for m in apart] == [["de"], ["en"]]
+    for r in langid.identify(docs, apart).collect():
+        assert (r.lang_pred, r.score) == (got[r.doc_id][0], pytest.approx(got[r.doc_id][1]))
     assert got[None][0] == "en" and got[900] == got[901] == got[902] == ("und", 0.0) and got[903][0] == "de"
     assert all(got[i][0] == "en" and 0.5 < got[i][1] <= 1 for i in range(30))
     empty = langid.train(docs.limit(0), PATH)
-    assert empty.langs == [] and {r.lang_pred for r in langid.identify(docs, empty).collect()} == {"und"}
+    assert empty == [] and {r.lang_pred for r in langid.identify(docs, empty).collect()} == {"und"}
 
 
 @pytest.mark.skipif(not os.path.exists(SF), reason="no test data")
