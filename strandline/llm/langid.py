@@ -11,9 +11,11 @@ language with the largest one wins.
 from __future__ import annotations
 
 import base64
+import uuid
 from collections import Counter
 from collections.abc import Iterable, Iterator, Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, field
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -26,11 +28,11 @@ from strandline.workspace import discard, materialize
 UNDETERMINED = "und"
 WORD = regex.compile(r"\p{L}+")
 #: A worker's cache of word scores starts again when it has grown beyond this size.
-CACHED_WORDS = 400_000
+CACHED_WORDS = 600_000
 #: Languages that are fitted and scored together, so what is sent to all executors has at most 8 bytes x pieces x this.
 TOGETHER = 32
 #: Texts are scored together until they have so many words; distinct words until they have so many bytes.
-WORDS_TOGETHER, BYTES_TOGETHER = 200_000, 200_000
+WORDS_TOGETHER, BYTES_TOGETHER = 200_000, 100_000
 #: Bytes of words that no sum can underflow for.
 _SHORT = 36
 _TINY = 1e-180
@@ -124,21 +126,21 @@ class Pieces:
             for n in range(1, len(piece) + 1):
                 nodes.setdefault(piece[:n], len(nodes))
         edges = sorted((nodes[prefix[:-1]] << 8 | prefix[-1], node) for prefix, node in nodes.items() if prefix)
-        self.keys = np.array([k for k, _ in edges], np.int64)
-        self.below = np.array([node for _, node in edges], np.int64)
-        self.row = np.full(len(nodes), -1, np.int64)
+        self.keys = np.array([k for k, _ in edges], np.int32)
+        self.below = np.array([node for _, node in edges], np.int32)
+        self.row = np.full(len(nodes), -1, np.int32)
         self.row[[nodes[p] for p in pieces]] = np.arange(len(pieces))
         self.count = len(pieces)
         self.longest = max(map(len, pieces), default=0)
 
     def lattice(self, words: Sequence[bytes]) -> Lattice:
         sizes = np.array([len(w) for w in words], np.int64)
-        data = np.frombuffer(b"".join(words), np.uint8).astype(np.int64)
-        word = np.repeat(np.arange(len(words)), sizes)
+        data = np.frombuffer(b"".join(words), np.uint8).astype(np.int32)
+        word = np.repeat(np.arange(len(words), dtype=np.int32), sizes)
         begins = np.cumsum(sizes) - sizes
         stops = (begins + sizes)[word]
-        at = np.arange(len(data))
-        node, found = np.zeros(len(data), np.int64), []
+        at = np.arange(len(data), dtype=np.int32)
+        node, found = np.zeros(len(data), np.int32), []
         for n in range(1, self.longest + 1):
             key = node << 8 | data[at + n - 1]
             edge = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
@@ -146,14 +148,15 @@ class Pieces:
             at, node = at[alive], self.below[edge[alive]]
             row = self.row[node]
             some = row >= 0
-            found.append((at[some], np.full(int(some.sum()), n), row[some]))
+            found.append((at[some], np.full(int(some.sum()), n, np.int32), row[some]))
             more = at + n < stops[at]
             at, node = at[more], node[more]
             if not len(at):
                 break
-        start, length, rows = (np.concatenate(x) for x in zip(*found)) if found else (np.zeros(0, np.int64),) * 3
+        start, length, rows = (np.concatenate(x) for x in zip(*found)) if found else (np.zeros(0, np.int32),) * 3
         offset = start - begins[word[start]]
-        order = np.argsort(offset, kind="stable")
+        # short numbers are sorted by their digits
+        order = np.argsort(offset.astype(np.uint16) if sizes.max(initial=0) < 1 << 16 else offset, kind="stable")
         start, length, rows, offset = start[order], length[order], rows[order], offset[order]
         steps = np.searchsorted(offset, np.arange(int(sizes.max(initial=0)) + 1))
         boundary = start + word[start]
@@ -179,6 +182,8 @@ class PieceModel:
     langs: list[str]
     pieces: Pieces
     probs: np.ndarray
+    #: Tells models apart that one worker meets.
+    number: str = field(default_factory=lambda: uuid.uuid4().hex)
 
     def word_scores(self, words: Sequence[str]) -> np.ndarray:
         """log P of each word in each language."""
@@ -249,12 +254,26 @@ class Scorer:
     def _sum(self, texts: list[list[str]]) -> Iterator[np.ndarray | None]:
         if len(self.rows) > self.cached:
             self.rows, self.scores = {}, self.scores[:0]
-        fresh = {run for runs in texts for run in runs if run not in self.rows}
+        fresh = set(chain.from_iterable(texts)).difference(self.rows)
         if fresh:
             self._learn(sorted(fresh))
-        for runs in texts:
+        sizes = [len(runs) for runs in texts]
+        at = np.fromiter(map(self.rows.__getitem__, chain.from_iterable(texts)), np.int64, sum(sizes))
+        ends = np.cumsum(sizes)
+        for runs, size, end in zip(texts, sizes, ends):
             known = any(run.isalpha() or WORD.search(run) for run in runs)
-            yield self.scores[list(map(self.rows.__getitem__, runs))].sum(axis=0) if known and self.model.langs else None
+            yield self.scores[at[end - size : end]].sum(axis=0) if known and self.model.langs else None
+
+
+#: The last scorer of this worker and the broadcast it belongs to: the next task of the same query goes on with its words.
+_KEPT: list[tuple[str, Scorer]] = []
+
+
+def _scorer(sent) -> Scorer:
+    """The worker's scorer for a broadcast model."""
+    if not _KEPT or _KEPT[0][0] != sent.value.number:
+        _KEPT[:] = [(sent.value.number, Scorer(sent.value))]
+    return _KEPT[0][1]
 
 
 def word_counts(docs: DataFrame) -> DataFrame:
@@ -362,7 +381,7 @@ def _better(rows: DataFrame, model: PieceModel) -> DataFrame:
     sent = rows.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = Scorer(sent.value)
+        scorer = _scorer(sent)
         langs = scorer.model.langs
         for batch in batches:
             *kept, texts, lang, best, every = batch.columns
