@@ -25,6 +25,8 @@ STRICT = KINDS[:4]
 LABELERS = ("form", "gazetteer", "context", "border")
 FEATURES = ("kind", *LABELERS, "long", "digits")
 CONTEXT = 24
+#: Matches whose places are added up together.
+BLOCK = 256
 
 #: Common given names and forms of address.
 GIVEN_NAMES = "James Mary John Patricia Robert Jennifer Michael Linda David Elizabeth William Barbara Richard Susan Joseph Jessica Thomas Sarah Hans Peter Klaus Ursula Sabine Pierre Jean Marie Claire Juan Carlos José Luis María Carmen Ana".split()
@@ -43,6 +45,8 @@ SPEAKS_FOR = {
     "secret": r"pass|token|secret|key",
     "name": r"name|author|by|from|dear|contact|signed",
 }
+#: How keys of well-known services begin, and what follows.
+KEY_SHAPES = "AKIA[0-9A-Z]{16} gh[opsur]_[A-Za-z0-9]{30,}+ github_pat_[A-Za-z0-9_]{30,}+ sk-[A-Za-z0-9_-]{20,}+ xox[abprs]-[A-Za-z0-9-]{10,}+ AIza[0-9A-Za-z_-]{35} eyJ[A-Za-z0-9_-]{8,}+\\.[A-Za-z0-9_-]{8,}+\\.[A-Za-z0-9_-]{8,}+".split()
 SPEAKS_AGAINST = r"version|isbn|order|invoice|serial|page|figure|table|chapter|section|vol"
 
 #: kind, pattern, cheap test. The strict ones find what their plain forms in the contract find; the
@@ -54,21 +58,29 @@ _PROPOSERS = (
     ("phone", r"\+[0-9][\x20().0-9-]+[0-9]", "+"),
     ("phone", r"(?=[(0-9])(?<![0-9+(.-])(?<!\+[0-9]{1,3}[ .-]{0,2})\(?[0-9]{3}\)?[ .-][0-9]{3}[ .-][0-9]{4}(?![0-9])", None),
     ("ssn", r"(?=[0-9])(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])", "-"),
-    ("secret", r"(?<=(?:pass|password|passwd|token|secret|api_key|apikey)\s{0,2}[=:]\s{0,2}[\"']?)[A-Za-z0-9+/_-]{8,256}", None),
-    ("name", rf"(?=[A-Z])(?<!\p{{L}})(?:(?:{'|'.join(ADDRESS)})\.? \p{{Lu}}\p{{L}}{{1,40}}|(?:{'|'.join(GIVEN_NAMES)}) \p{{Lu}}\p{{L}}{{1,40}})", None),
+    ("secret", rf"(?<![A-Za-z0-9_-])(?:{'|'.join(KEY_SHAPES)})(?![A-Za-z0-9])|(?<=(?:pass|password|passwd|token|secret|api_key|apikey)\s{{0,2}}[=:]\s{{0,2}}[\"']?)[A-Za-z0-9+/_-]{{8,}}+", None),
+    ("name", rf"(?=[A-Z])(?<!\p{{L}})(?:(?:{'|'.join(ADDRESS)})\.?|(?:{'|'.join(GIVEN_NAMES)})) \p{{Lu}}\p{{L}}++", None),
 )
 _DIGITS = {"card", "phone", "ssn", "ip"}
 
 
 def _found(at: int) -> Column:
-    """The matches of proposer ``at`` with their places in code points, from the columns m<at> and p<at>."""
+    """The matches of proposer ``at`` with their places in code points, from the columns m<at> and p<at>.
+
+    Places add up along the text. Lists grow by copying, so they are built BLOCK
+    matches at a time, each block from where it begins: the cost follows the number of matches.
+    """
     m, p = f"m{at}", f"p{at}"
+    step = f"length({p}[i]) + length({m}[i])"
     one = f"named_struct('start', acc.pos + length({p}[i]), 'match', {m}[i], 'left', right({p}[i], {CONTEXT}), 'right', left({p}[i + 1], 1))"
     none = "cast(array() as array<struct<start:int,match:string,left:string,right:string>>)"
-    return F.expr(
-        f"CASE WHEN size({m}) > 0 THEN aggregate(sequence(0, size({m}) - 1), named_struct('pos', 0, 'out', {none}), "
-        f"(acc, i) -> named_struct('pos', acc.pos + length({p}[i]) + length({m}[i]), 'out', concat(acc.out, array({one}))), acc -> acc.out) ELSE {none} END"
-    )
+    numbers = f"sequence(b * {BLOCK}, least((b + 1) * {BLOCK}, size({m})) - 1)"
+    blocks = f"sequence(0, (size({m}) - 1) div {BLOCK})"
+    sizes = f"transform({blocks}, b -> aggregate({numbers}, 0, (s, i) -> s + {step}))"
+    begins = f"aggregate({sizes}, array(0), (s, x) -> concat(s, array(element_at(s, -1) + x)))"
+    block = f"aggregate({numbers}, named_struct('pos', b0, 'out', {none}), (acc, i) -> named_struct('pos', acc.pos + {step}, 'out', concat(acc.out, array({one}))), acc -> acc.out)"
+    listed = f"flatten(transform(slice({begins}, 1, (size({m}) - 1) div {BLOCK} + 1), (b0, b) -> {block}))"
+    return F.expr(f"CASE WHEN size({m}) > 0 THEN {listed} ELSE {none} END")
 
 
 def _digits(match: Column) -> Column:
@@ -117,6 +129,7 @@ def _votes(kind: str, c: Column) -> dict[str, Column]:
         "ip": _sign(~match.rlike(r"^(0|10|127|192\.168|22[4-9]|2[3-5][0-9])\."), never),
         "card": _sign(match.rlike(CARD_BEGINS), F.lit(True)),
         "phone": _sign(match.rlike(DIAL_BEGINS) | match.rlike(r"^\(?[2-9]"), F.lit(True)),
+        "secret": _sign(match.rlike(f"^(?:{'|'.join(KEY_SHAPES)})$"), match.rlike("^[A-Z]?[a-z]+$")),
         "name": _sign(F.split(match, r"\.? ")[0].isin(GIVEN_NAMES), never),
     }.get(kind, F.lit(0))
     context = _sign(left.rlike(SPEAKS_FOR[kind]), left.rlike(SPEAKS_AGAINST))
@@ -161,17 +174,19 @@ def estimate(patterns: DataFrame, rounds: int = 10) -> dict:
 
     ``patterns`` has traits and n: one row for each combination that occurs, so it
     is bounded by the number of votes and feature values, not by the documents.
-    Each round is one aggregate over it; the driver sees only the sums.
+    A labeler that abstains says nothing either way, so kinds on which one never
+    votes are not told apart by that. Each round is one aggregate over the rows;
+    the driver sees only the sums.
     """
     votes = {name: F.col("traits")[FEATURES.index(name)] for name in LABELERS}
     prior = 0.5
-    trust = {name: {1: {1: 0.7, 0: 0.2, -1: 0.1}, 0: {1: 0.1, 0: 0.2, -1: 0.7}} for name in LABELERS}
+    trust = {name: {1: {1: 0.8, -1: 0.2}, 0: {1: 0.2, -1: 0.8}} for name in LABELERS}
 
     def posterior() -> Column:
         odds = F.lit(math.log(prior / (1 - prior)))
         for name, vote in votes.items():
             step = F.lit(0.0)
-            for v in (1, 0, -1):
+            for v in (1, -1):
                 step = F.when(vote == v, math.log(trust[name][1][v] / trust[name][0][v])).otherwise(step)
             odds = odds + step
         return 1 / (1 + F.exp(-odds))
@@ -184,16 +199,16 @@ def estimate(patterns: DataFrame, rounds: int = 10) -> dict:
         row = weighed.agg(F.sum("yes").alias("yes"), F.sum("n").alias("all"), *wanted).first()
         if not row["all"]:
             return None
-        totals = {1: row["yes"], 0: row["all"] - row["yes"]}
-        tables = {k: {y: {v: (row[f"{k}/{v}/{y}"] + 1.0) / (totals[y] + len(values[k])) for v in values[k]} for y in (1, 0)} for k in keys}
+        weight = lambda k, y: sum(row[f"{k}/{v}/{y}"] for v in values[k])
+        tables = {k: {y: {v: (row[f"{k}/{v}/{y}"] + 1.0) / (weight(k, y) + len(values[k])) for v in values[k]} for y in (1, 0)} for k in keys}
         return tables, (row["yes"] + 1.0) / (row["all"] + 2.0)
 
     for _ in range(rounds):
-        if (found := sums(votes, dict.fromkeys(LABELERS, (1, 0, -1)))) is None:
+        if (found := sums(votes, dict.fromkeys(LABELERS, (1, -1)))) is None:
             break
         trust, prior = found
     features = {name: F.col("traits")[i] for i, name in enumerate(FEATURES)}
-    values = dict.fromkeys(LABELERS, (1, 0, -1)) | {"kind": tuple(range(len(KINDS))), "long": (0, 1, 2, 3), "digits": (0, 1, 2, 3, 4)}
+    values = dict.fromkeys(LABELERS, (1, -1)) | {"kind": tuple(range(len(KINDS))), "long": (0, 1, 2, 3), "digits": (0, 1, 2, 3, 4)}
     trained = sums(features, values)
     return {"prior": trained[1], "tables": trained[0], "trust": trust} if trained else {"prior": prior, "tables": {}, "trust": trust}
 
@@ -204,7 +219,7 @@ def _odds(model: dict, traits: Column) -> Column:
     for i, name in enumerate(FEATURES):
         if table := model["tables"].get(name):
             low = min(table[1])
-            steps = F.array(*[F.lit(math.log(table[1][v] / table[0][v])) for v in sorted(table[1])])
+            steps = F.array(*[F.lit(math.log(table[1][v] / table[0][v]) if v in table[1] else 0.0) for v in range(low, max(table[1]) + 1)])
             odds = odds + F.get(steps, traits[i] - low)
     return odds
 
@@ -214,7 +229,8 @@ def detect(docs: DataFrame, rounds: int = 10) -> DataFrame:
 
     Returns doc_id, n_email, n_ip, n_card, n_phone, base_sha256 (over the strict
     spans), spans (strict ones and those that the classifier adds, as
-    kind:start:end by kind, then start, in code points) and n_added. A null or
+    kind:start:end by kind, then start, in code points), n_added and private
+    (whether there is any span). A null or
     empty text has no spans; repeated rows and null ids each give their row; other
     columns are not read. Fitted on all rows; only sums over vote patterns reach
     the driver, and no row is shuffled.
@@ -229,5 +245,5 @@ def detect(docs: DataFrame, rounds: int = 10) -> DataFrame:
     of_kind = F.transform(base, lambda c: c["k"])
     counts = [F.size(F.filter(of_kind, lambda k: k == F.lit(i))).cast("long").alias(f"n_{kind}") for i, kind in enumerate(STRICT)]
     return found.select("doc_id", ordered.alias("kept")).select(
-        "doc_id", *counts, F.sha2(named(base), 256).alias("base_sha256"), named(F.col("kept")).alias("spans"), (F.size("kept") - F.size(base)).cast("long").alias("n_added")
+        "doc_id", *counts, F.sha2(named(base), 256).alias("base_sha256"), named(F.col("kept")).alias("spans"), (F.size("kept") - F.size(base)).cast("long").alias("n_added"), (F.size("kept") > 0).alias("private")
     )

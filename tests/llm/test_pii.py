@@ -1,6 +1,9 @@
 import hashlib
+import math
 import random
 import re
+import time
+from collections import Counter
 
 from strandline.llm import pii
 
@@ -66,3 +69,97 @@ def test_estimates_and_odd_tables(spark):
     assert pii.detect(none).count() == 0
     rows = pii.detect(spark.createDataFrame([(None, "x@example.com"), (1, "x@example.com"), (1, "x@example.com")], "doc_id long, text string")).collect()
     assert [r.spans for r in rows] == ["email:0:13"] * 3
+
+
+def test_very_many_matches(spark):
+    """Places stay right over many blocks, and the time follows the number of matches."""
+    took = {}
+    for n in (20_000, 200_000):
+        text = "\u00e9 ".join(f"m{i}@example.com" for i in range(n))
+        df = spark.createDataFrame([(1, text)], "doc_id long, text string")
+        began = time.time()
+        row = pii.detect(df, rounds=1).first()
+        took[n] = time.time() - began
+        assert (row.n_email, row.base_sha256) == (n, base(text)[0][4]) and row.private
+    assert took[200_000] < 120, took
+
+
+def test_nothing_is_cut(spark):
+    secret, name = "a1" * 400, "Zz" + "y" * 90
+    text = f'token = "{secret}" and Dr. {name} said so'
+    spans = pii.propose(spark.createDataFrame([(1, text)], "doc_id long, text string")).first().found
+    kinds = {pii.KINDS[s.k]: text[s.start : s.stop] for s in spans}
+    assert kinds["secret"] == secret and kinds["name"] == f"Dr. {name}"
+
+
+def plain_model(patterns, rounds):
+    """Expectation-maximisation over vote patterns, then naive Bayes on its posteriors."""
+    at = {name: pii.FEATURES.index(name) for name in pii.FEATURES}
+    prior, trust = 0.5, {name: ({1: 0.2, -1: 0.8}, {1: 0.8, -1: 0.2}) for name in pii.LABELERS}
+
+    def weights():
+        out = []
+        for traits, n in patterns:
+            yes, no = prior, 1 - prior
+            for name in pii.LABELERS:
+                yes, no = yes * trust[name][1].get(traits[at[name]], 1), no * trust[name][0].get(traits[at[name]], 1)
+            out.append(n * yes / (yes + no))
+        return out
+
+    def tables(names, values, yes):
+        total = sum(n for _, n in patterns)
+        share = lambda name, v, side: sum((y if side else n - y) for (t, n), y in zip(patterns, yes) if t[at[name]] == v)
+        return {name: tuple({v: (share(name, v, side) + 1) / (sum(share(name, x, side) for x in values[name]) + len(values[name])) for v in values[name]} for side in (0, 1)) for name in names}, (sum(yes) + 1) / (total + 2)
+
+    votes = dict.fromkeys(pii.LABELERS, (1, -1))
+    for _ in range(rounds):
+        trust, prior = tables(pii.LABELERS, votes, weights())
+    values = votes | {"kind": range(len(pii.KINDS)), "long": range(4), "digits": range(5)}
+    found, share = tables(pii.FEATURES, values, weights())
+    return lambda traits: math.log(share / (1 - share)) + sum(math.log(found[f][1].get(traits[at[f]], 1) / found[f][0].get(traits[at[f]], 1)) for f in pii.FEATURES)
+
+
+def planted(rng):
+    """Texts with added kinds planted in them, with decoys of the same look; (text, true spans)."""
+    words = "the house of water stands near people who write letters and read them every day".split()
+    filler = lambda: " ".join(rng.choices(words, k=rng.randint(3, 9)))
+    digits = lambda n: "".join(rng.choices("0123456789", k=n))
+    hexed = lambda n: "".join(rng.choices("0123456789abcdef", k=n))
+    true = [
+        lambda: ("ssn", "ssn ", f"{rng.randint(100, 599)}-{digits(2)}-{digits(4)}"),
+        lambda: ("secret", rng.choice(["token = ", "password: ", "api_key="]), hexed(rng.randint(24, 40))),
+        lambda: ("secret", "we use ", rng.choice(["AKIA" + "".join(rng.choices("ABCDEFGH234567", k=16)), "ghp_" + hexed(36), "sk-" + hexed(32)])),
+        lambda: ("name", "signed by ", f"{rng.choice(pii.GIVEN_NAMES)} {rng.choice(['Meier', 'Smith', 'Dupont', 'Garc\u00eda'])}"),
+        lambda: ("email", "mail ", f"m{digits(3)}@example.com"),
+        lambda: ("phone", "call ", f"+1 ({digits(3)}) 555-{digits(4)}"),
+    ]
+    decoys = [lambda: ("ssn", "serial ", f"{rng.choice(['000', '666', '9' + digits(2)])}-{digits(2)}-{digits(4)}"), lambda: ("secret", "version pass: ", rng.choice(["everybody", "thefirstofmay", "untiltomorrow"])), lambda: ("card", "order ", "9" + digits(11))]
+    out = []
+    for _ in range(400):
+        text, spans = filler(), set()
+        for _ in range(rng.randint(0, 3)):
+            make = rng.choice(true if rng.random() < 0.7 else decoys)
+            kind, before, value = make()
+            text += " " + before
+            if make in true:
+                spans.add((kind, len(text), len(text) + len(value)))
+            text += value + " " + filler()
+        out.append((text, spans))
+    return out
+
+
+def test_additions_against_planted_spans_and_a_plain_model(spark):
+    cases = planted(random.Random(31))
+    df = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(cases)], "doc_id long, text string").repartition(4)
+    found = pii.propose(df).collect()
+    odds = plain_model(list(Counter(tuple(c.traits) for r in found for c in r.found).items()), 10)
+    want = {r.doc_id: {(pii.KINDS[c.k], c.start, c.stop) for c in r.found if c.strict or odds(c.traits) > 0} for r in found}
+    right = wrong = missed = 0
+    for r in pii.detect(df).collect():
+        got = {(k, int(a), int(b)) for k, a, b in (s.split(":") for s in filter(None, r.spans.split(",")))}
+        assert got == want[r.doc_id]
+        own = {s for s in got if s[0] in ("ssn", "secret", "name")}
+        true = {s for s in cases[r.doc_id][1] if s[0] in ("ssn", "secret", "name")}
+        right, wrong, missed = right + len(own & true), wrong + len(own - true), missed + len(true - own)
+    print("added kinds: precision", right / (right + wrong), "recall", right / (right + missed))
+    assert right / (right + wrong) >= 0.9 and right / (right + missed) >= 0.9
