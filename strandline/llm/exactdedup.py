@@ -1,24 +1,24 @@
 """Exact deduplication as a stateful stream.
 
 A stream of digests runs into keyed state that never expires and lies on disk
-(RocksDB): for each digest the number of texts seen, and the identifier and
-content locator (file and row) of the one that stays. A later stream that goes
-on with the same state folder meets all earlier digests. Digests that were hit
-are then checked on their full bytes; texts that share a digest but differ are
-told apart by the texts themselves.
+(RocksDB): for each digest the number of texts seen, the content locator (run,
+file and row) of the first one, and the identifier and locator of the one that
+stays. Each batch's digests that were hit are checked on their full bytes: the
+new texts against the one that the first locator leads to. Digests under which
+texts differ are remembered, and there the texts themselves decide. A later run
+with the same folder goes on with the state and meets all earlier texts.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
-from contextlib import contextmanager
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.errors import AnalysisException
 
 from strandline.llm.text import whole
-from strandline.workspace import fresh_path, materialize
+from strandline.workspace import exists, fresh_path, materialize
 
 #: Digests of at most this many hits are sent to all executors (32 bytes each); more are joined by a shuffle.
 SENT_DIGESTS = 200_000
@@ -29,22 +29,20 @@ _ROCKSDB = {
     # else each partition's store sets aside megabytes for its logs before it has a row
     "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
 }
+_AT = "struct<file: string, row: bigint>"
 
 
 def sha256(text: Column) -> Column:
     return F.unhex(F.sha2(text, 256))
 
 
-@contextmanager
-def _settings(spark: SparkSession, wanted: dict[str, str]):
-    before = {key: spark.conf.get(key, None) for key in wanted}
-    for key, value in wanted.items():
-        spark.conf.set(key, value)
-    try:
-        yield
-    finally:
-        for key, value in before.items():
-            spark.conf.unset(key) if value is None else spark.conf.set(key, value)
+def _stream_session(spark: SparkSession) -> SparkSession:
+    """A session of the stream's own, with the settings of ``spark`` and those of its state."""
+    own = spark.newSession()
+    for key, value in (spark.conf.getAll | _ROCKSDB).items():
+        if key in _ROCKSDB or spark.conf.isModifiable(key):
+            own.conf.set(key, value)
+    return own
 
 
 def located(docs: DataFrame) -> DataFrame:
@@ -59,60 +57,110 @@ def located(docs: DataFrame) -> DataFrame:
         return materialize(docs, "dedup-input").select("*", at)
 
 
-def ingest(arrivals: DataFrame, state_dir: str, out_dir: str) -> None:
-    """Run a stream of digest, doc_id and at through the state until all there is has been read.
+def read_back(places: DataFrame, digest: Callable[[Column], Column]) -> DataFrame:
+    """``places`` (digest and at) with the whole texts that stand there.
 
-    Writes digest, n and last (the largest id so far with its locator) for each
-    digest that a batch touches; both only grow.
+    Only the files named are read. A text that no longer has its digest is an error.
     """
-    state = arrivals.groupBy("digest").agg(F.count("*").alias("n"), F.max(F.struct("doc_id", "at")).alias("last"))
+    spark = places.sparkSession
+    places = materialize(places.select("digest", "at").distinct(), "dedup-places")
+    files = [r[0] for r in places.select("at.file").distinct().collect()]
+    if not files:
+        return places.select("digest", "at", F.lit("").alias("text"))
+    stored = located(spark.read.parquet(*files).select("text")).select(F.col("__at").alias("at"), whole("text").alias("text"))
+    found = places.join(stored, "at", "left")
+    changed = F.raise_error(F.concat(F.lit("no longer the text that was seen: "), F.to_json("at")))
+    return found.withColumn("text", F.when(digest(F.col("text")) == F.col("digest"), F.col("text")).otherwise(changed.cast("string")))
 
-    def write(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{out_dir}/batch={batch_id}")
 
-    with _settings(arrivals.sparkSession, _ROCKSDB):
-        state.writeStream.outputMode("update").option("checkpointLocation", state_dir).trigger(availableNow=True).foreachBatch(write).start().awaitTermination()
+def _arrivals(spark: SparkSession, folder: str) -> DataFrame:
+    """All rows that ever arrived, without their texts: digest, doc_id, at and the run they came with."""
+    return spark.read.parquet(f"{folder}/arrivals")
 
 
-def groups(docs: DataFrame, digest: Callable[[Column], Column] = sha256) -> DataFrame:
-    """Each row's doc_id, locator and digest with its group's keep_id, keep_at and group_size.
+def ingest(docs: DataFrame, folder: str, digest: Callable[[Column], Column] = sha256) -> int:
+    """Take the rows of ``docs`` (doc_id, text) into the state under ``folder``; returns the number of this run.
 
-    ``docs`` has doc_id and text. Texts are equal if all their bytes are; null
-    counts as empty. Of a group the row with the largest doc_id stays (null is
-    smaller than any), of rows with the same id the one that is last by locator.
+    A run that was lost on the way is finished first, from its locators. The
+    texts have to stay where they are, as column text, for as long as the folder is used.
     """
     spark = docs.sparkSession
+    run = 0
+    while exists(spark, f"{folder}/arrivals/run={run}"):
+        if not exists(spark, f"{folder}/done/run={run}"):
+            _advance(spark, folder, run, digest)
+        run += 1
     rows = located(docs.select("doc_id", "text")).select("doc_id", F.col("__at").alias("at"), whole("text").alias("text")).withColumn("digest", digest(F.col("text")))
-    seen = materialize(rows.select("digest", "doc_id", "at"), "dedup-digests")
-    if seen.isEmpty():
-        return seen.select("*", F.col("doc_id").alias("keep_id"), F.col("at").alias("keep_at"), F.lit(0).cast("long").alias("group_size"))
-    source = seen.inputFiles()[0].rsplit("/", 1)[0]
-    out_dir = fresh_path(spark, "dedup-groups")
-    ingest(spark.readStream.schema(seen.schema).parquet(source), fresh_path(spark, "dedup-state"), out_dir)
-    found = spark.read.parquet(out_dir).groupBy("digest").agg(F.max("n").alias("group_size"), F.max("last").alias("last"))
-    found = materialize(found.select("digest", "group_size", F.col("last.doc_id").alias("keep_id"), F.col("last.at").alias("keep_at")), "dedup-found")
-
-    hits = found.filter("group_size > 1").select("digest")
-    if hits.count() <= SENT_DIGESTS:
-        hits = F.broadcast(hits)
-    # texts of one digest are all equal if the least is the greatest
-    checked = rows.join(hits, "digest", "left_semi").groupBy("digest").agg((F.min("text") != F.max("text")).alias("differ"))
-    clashing = materialize(checked.filter("differ").select("digest"), "dedup-clashes")
-    grouped = seen.join(found, "digest")
+    rows.select("digest", "doc_id", "at").write.mode("overwrite").parquet(f"{folder}/arrivals/run={run}")
+    _advance(spark, folder, run, digest, rows)
+    return run
+
+
+def _advance(spark: SparkSession, folder: str, run: int, digest: Callable[[Column], Column], rows: DataFrame | None = None) -> None:
+    """Run what has arrived through the state and check the hits of ``run``, whose texts are in ``rows`` if at hand."""
+    schema = _arrivals(spark, folder).schema
+    arrivals = _stream_session(spark).readStream.schema(schema).parquet(f"{folder}/arrivals")
+    state = arrivals.groupBy("digest").agg(F.count("*").alias("n"), F.min(F.struct("run", "at")).alias("first"), F.max(F.struct("doc_id", "run", "at")).alias("last"))
+
+    def check(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{folder}/groups/batch={batch_id}")
+        hits = spark.read.parquet(f"{folder}/groups/batch={batch_id}").filter("n > 1").select("digest", "first")
+        sent = hits.select("digest")
+        if hits.count() <= SENT_DIGESTS:
+            sent = F.broadcast(sent)
+        if rows is None:
+            new = read_back(_arrivals(spark, folder).filter(F.col("run") == run).join(sent, "digest", "left_semi"), digest).select("digest", "text")
+        else:
+            new = rows.join(sent, "digest", "left_semi").select("digest", "text")
+        earlier = hits.filter(F.col("first.run") < run).select("digest", F.col("first.at").alias("at"))
+        texts = new if earlier.isEmpty() else new.unionByName(read_back(earlier, digest).select("digest", "text"))
+        # texts of one digest are all equal if the least is the greatest
+        checked = texts.groupBy("digest").agg((F.min("text") != F.max("text")).alias("differ"))
+        checked.filter("differ").select("digest").write.mode("overwrite").parquet(f"{folder}/clashes/batch={batch_id}")
+
+    query = state.writeStream.outputMode("update").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).foreachBatch(check).start()
+    query.awaitTermination()
+    spark.range(1).write.mode("overwrite").parquet(f"{folder}/done/run={run}")
+
+
+def state_of(spark: SparkSession, folder: str, digest: Callable[[Column], Column] = sha256) -> DataFrame:
+    """Each row that ever arrived: doc_id, at, run and digest with its group's keep_id, keep_at and group_size."""
+    if not exists(spark, f"{folder}/groups"):
+        empty = f"digest binary, doc_id bigint, at {_AT}, run int, keep_id bigint, keep_at {_AT}, group_size bigint"
+        return spark.createDataFrame([], empty)
+    newest = spark.read.parquet(f"{folder}/groups").groupBy("digest").agg(F.max("n").alias("group_size"), F.max("last").alias("last"))
+    newest = materialize(newest.select("digest", "group_size", F.col("last.doc_id").alias("keep_id"), F.col("last.at").alias("keep_at")), "dedup-found")
+    grouped = _arrivals(spark, folder).join(newest, "digest")
+    clashing = materialize(spark.read.parquet(f"{folder}/clashes").select("digest").distinct(), "dedup-clashes")
     if clashing.isEmpty():
         return grouped
-    apart = materialize(rows.join(clashing, "digest", "left_semi"), "dedup-apart")
-    by_text = apart.groupBy("digest", "text").agg(F.count("*").alias("group_size"), F.max(F.struct("doc_id", "at")).alias("last"))
+    members = _arrivals(spark, folder).join(clashing, "digest", "left_semi")
+    apart = materialize(members.join(read_back(members, digest), ["digest", "at"]), "dedup-apart")
+    by_text = apart.groupBy("digest", "text").agg(F.count("*").alias("group_size"), F.max(F.struct("doc_id", "run", "at")).alias("last"))
     by_text = by_text.select("digest", "text", "group_size", F.col("last.doc_id").alias("keep_id"), F.col("last.at").alias("keep_at"))
     return grouped.join(clashing, "digest", "left_anti").unionByName(apart.join(by_text, ["digest", "text"]).drop("text"))
 
 
+def groups(docs: DataFrame, digest: Callable[[Column], Column] = sha256) -> DataFrame:
+    """Each row's doc_id, locator ``at`` and digest with its group's keep_id, keep_at and group_size.
+
+    ``docs`` has doc_id and text. Texts are equal if all their bytes are; null
+    counts as empty. Of a group the row with the largest doc_id stays (null is
+    smaller than any), of rows with the same id the one that is last by locator.
+    An empty table gives no rows; very long texts are read whole; other columns are not read.
+    """
+    spark = docs.sparkSession
+    folder = fresh_path(spark, "dedup")
+    ingest(docs, folder, digest)
+    return state_of(spark, folder, digest).drop("run")
+
+
 def kept() -> Column:
     return F.col("at") == F.col("keep_at")
 
 
 def distinct(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that stay, with all their columns."""
+    """The rows of ``docs`` that stay, with all their columns, whatever these are called."""
     rows = located(docs)
     dropped = groups(rows.drop("__at")).filter(~kept()).select(F.col("at").alias("__at"))
     return rows.join(dropped, "__at", "left_anti").drop("__at")

@@ -1,5 +1,8 @@
 import hashlib
 
+import pyarrow as pa
+import pyarrow.parquet as pq
+import pytest
 from pyspark.sql import functions as F
 
 from strandline.llm import exactdedup
@@ -33,15 +36,50 @@ def test_texts_that_share_a_digest(spark):
     assert sum(r.kept for r in rows) == 7
 
 
-def test_state_goes_on(spark, tmp_path):
-    source, state, out = (str(tmp_path / x) for x in ("source", "state", "out"))
-    for texts in (["a", "b"], ["a", "c"]):
-        batch = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
-        batch.select(exactdedup.sha256(F.col("text")).alias("digest"), "doc_id", F.struct(F.lit("f").alias("file"), "doc_id").alias("at")).write.mode("append").parquet(source)
-        schema = "digest binary, doc_id long, at struct<file: string, doc_id: long>"
-        exactdedup.ingest(spark.readStream.schema(schema).parquet(source), state, out)
-    counts = spark.read.parquet(out).groupBy("digest").agg(F.max("n").alias("n")).collect()
-    assert sorted(r.n for r in counts) == [1, 1, 2]
+WEAK = lambda text: F.substring(exactdedup.sha256(text), 1, 0)  # noqa: E731  all the same
+
+
+@pytest.mark.parametrize("digest", [exactdedup.sha256, WEAK])
+@pytest.mark.parametrize("lost", [False, True])
+def test_state_goes_on(spark, tmp_path, digest, lost):
+    """Two runs into one state; the second's texts are compared with what the first's locators lead to."""
+    folder, seen = str(tmp_path / "strandline" / "state"), []
+    for run, texts in enumerate((["a", "b"], ["a", "c", "a"], ["d", "b"])):
+        rows = [(10 * run + i, t) for i, t in enumerate(texts)]
+        seen += rows
+        spark.createDataFrame(rows, "doc_id long, text string").coalesce(1).write.parquet(str(tmp_path / f"in{run}"))
+        docs = spark.read.parquet(str(tmp_path / f"in{run}"))
+        if lost and run == 1:
+            # only the arrivals were written before the run was lost
+            rows = exactdedup.located(docs).select("doc_id", F.col("__at").alias("at"), digest(F.col("text")).alias("digest"))
+            rows.select("digest", "doc_id", "at").write.parquet(f"{folder}/arrivals/run=1")
+        else:
+            assert exactdedup.ingest(docs, folder, digest) == run
+    groups = {}
+    for doc, text in seen:
+        groups.setdefault(text, []).append(doc)
+    found = exactdedup.state_of(spark, folder, digest).collect()
+    assert sorted((r.doc_id, r.keep_id, r.group_size) for r in found) == sorted((doc, max(groups[t]), len(groups[t])) for doc, t in seen)
+    clashes = spark.read.parquet(f"{folder}/clashes").count()
+    assert bool(clashes) == (digest is WEAK)
+
+
+def test_text_that_changed_behind_its_locator(spark, tmp_path):
+    folder = str(tmp_path / "strandline" / "state")
+    first = spark.createDataFrame([(1, "a")], "doc_id long, text string").coalesce(1)
+    first.write.parquet(str(tmp_path / "in"))
+    exactdedup.ingest(spark.read.parquet(str(tmp_path / "in")), folder)
+    file = next((tmp_path / "in").glob("*.parquet"))
+    pq.write_table(pa.table({"doc_id": [1], "text": ["x"]}), file)
+    (tmp_path / "in" / f".{file.name}.crc").unlink(missing_ok=True)
+    with pytest.raises(Exception, match="no longer the text"):
+        exactdedup.ingest(spark.createDataFrame([(2, "a")], "doc_id long, text string"), folder)
+
+
+def test_settings_stay(spark):
+    before = spark.conf.getAll
+    exactdedup.groups(docs(spark)).count()
+    assert spark.conf.getAll == before
 
 
 def test_distinct_and_empty(spark):
