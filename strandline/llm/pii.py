@@ -16,7 +16,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strandline.llm.text import whole
+from strandline.llm.text import begins, whole
 from strandline.workspace import materialize
 
 KINDS = ("email", "ip", "card", "phone", "ssn", "secret", "name")
@@ -25,8 +25,6 @@ STRICT = KINDS[:4]
 LABELERS = ("form", "gazetteer", "context", "border")
 FEATURES = ("kind", *LABELERS, "long", "digits")
 CONTEXT = 24
-#: Matches whose places are added up together.
-BLOCK = 256
 
 #: Common given names and forms of address.
 GIVEN_NAMES = "James Mary John Patricia Robert Jennifer Michael Linda David Elizabeth William Barbara Richard Susan Joseph Jessica Thomas Sarah Hans Peter Klaus Ursula Sabine Pierre Jean Marie Claire Juan Carlos José Luis María Carmen Ana".split()
@@ -65,22 +63,13 @@ _DIGITS = {"card", "phone", "ssn", "ip"}
 
 
 def _found(at: int) -> Column:
-    """The matches of proposer ``at`` with their places in code points, from the columns m<at> and p<at>.
-
-    Places add up along the text. Lists grow by copying, so they are built BLOCK
-    matches at a time, each block from where it begins: the cost follows the number of matches.
-    """
-    m, p = f"m{at}", f"p{at}"
-    step = f"length({p}[i]) + length({m}[i])"
-    one = f"named_struct('start', acc.pos + length({p}[i]), 'match', {m}[i], 'left', right({p}[i], {CONTEXT}), 'right', left({p}[i + 1], 1))"
-    none = "cast(array() as array<struct<start:int,match:string,left:string,right:string>>)"
-    numbers = f"sequence(b * {BLOCK}, least((b + 1) * {BLOCK}, size({m})) - 1)"
-    blocks = f"sequence(0, (size({m}) - 1) div {BLOCK})"
-    sizes = f"transform({blocks}, b -> aggregate({numbers}, 0, (s, i) -> s + {step}))"
-    begins = f"aggregate({sizes}, array(0), (s, x) -> concat(s, array(element_at(s, -1) + x)))"
-    block = f"aggregate({numbers}, named_struct('pos', b0, 'out', {none}), (acc, i) -> named_struct('pos', acc.pos + {step}, 'out', concat(acc.out, array({one}))), acc -> acc.out)"
-    listed = f"flatten(transform(slice({begins}, 1, (size({m}) - 1) div {BLOCK} + 1), (b0, b) -> {block}))"
-    return F.expr(f"CASE WHEN size({m}) > 0 THEN {listed} ELSE {none} END")
+    """The matches of proposer ``at`` with their places in code points, from m<at>, the pieces around them p<at> and where each of these begins, b<at>."""
+    none = F.expr("cast(array() as array<struct<start:int,match:string,left:string,right:string>>)")
+    m, p, b = F.col(f"m{at}"), F.col(f"p{at}"), F.col(f"b{at}")
+    # side by side, so that no list is made again for each match; after the last match there is a piece more
+    beside = F.zip_with(F.zip_with(m, b, lambda x, y: F.struct(x.alias("m"), y.alias("b"))), F.zip_with(p, F.slice(p, F.lit(2), F.size(p)), lambda x, y: F.struct(x.alias("l"), y.alias("r"))), lambda x, y: F.struct(x["m"].alias("m"), x["b"].alias("b"), y["l"].alias("l"), y["r"].alias("r")))
+    found = F.transform(F.slice(beside, F.lit(1), F.size(m)), lambda x: F.struct((x["b"] + F.length(x["l"])).alias("start"), x["m"].alias("match"), F.right(x["l"], F.lit(CONTEXT)).alias("left"), F.left(x["r"], F.lit(1)).alias("right")))
+    return F.coalesce(found, none)
 
 
 def _digits(match: Column) -> Column:
@@ -164,6 +153,8 @@ def propose(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
         pieces[f"m{at}"] = F.when(F.col(f"h{at}"), F.regexp_extract_all(text, F.lit(pattern), 0))
         pieces[f"p{at}"] = F.when(F.col(f"h{at}"), F.split(text, pattern, -1))
     rows = rows.withColumns(some).withColumns(pieces).drop("__text", "__digit", *some)
+    rows = rows.withColumns({f"s{at}": F.expr(f"transform(m{at}, (x, i) -> length(p{at}[i]) + length(x))") for at in range(len(_PROPOSERS))})
+    rows = rows.withColumns({f"b{at}": F.when(F.col(f"s{at}").isNotNull(), begins(f"s{at}")) for at in range(len(_PROPOSERS))})
     rows = rows.withColumns({f"f{at}": _found(at) for at in range(len(_PROPOSERS))})
     lists = [F.transform(f"f{at}", _candidates(kind)) for at, (kind, *_) in enumerate(_PROPOSERS)]
     return rows.select(*keep, F.concat(*lists).alias("found"))

@@ -25,3 +25,17 @@ def words(text: Column) -> Column:
         other = other | text.contains(c)
     plain = F.split(F.replace(text, F.lit("\n"), F.lit(" ")), " ", -1)
     return F.array_remove(F.when(other, F.split(text, SPACE, -1)).otherwise(plain), "")
+
+
+def begins(sizes: str, block: int = 256) -> Column:
+    """Where each part begins if parts of ``sizes`` (the name of a column, array of int) are laid end to end.
+
+    Lists grow by copying, so they are built ``block`` parts at a time, each block
+    from where it begins: the cost follows the number of parts.
+    """
+    numbers = f"sequence(b * {block}, least((b + 1) * {block}, size({sizes})) - 1)"
+    blocks = f"sequence(0, (size({sizes}) - 1) div {block})"
+    totals = f"transform({blocks}, b -> aggregate({numbers}, 0, (s, i) -> s + {sizes}[i]))"
+    firsts = f"slice(aggregate({totals}, array(0), (s, x) -> concat(s, array(element_at(s, -1) + x))), 1, (size({sizes}) - 1) div {block} + 1)"
+    inside = f"slice(aggregate({numbers}, array(b0), (s, i) -> concat(s, array(element_at(s, -1) + {sizes}[i]))), 1, size({numbers}))"
+    return F.expr(f"CASE WHEN size({sizes}) > 0 THEN flatten(transform({firsts}, (b0, b) -> {inside})) ELSE cast(array() as array<int>) END")
