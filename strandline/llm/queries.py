@@ -145,7 +145,7 @@ FROM (SELECT r.*, source_size, target, ('0x' || substr(md5('0/' || coalesce(r.so
 """,
     "op4_preference": r"""
 WITH turns AS (
-  SELECT conv_id // 2 AS pair, conv_id % 2 = 0 AS chosen, coalesce(role, 'user') AS role, replace(coalesce(text, ''), '<|', '< |') AS text,
+  SELECT conv_id // 2 AS pair, conv_id % 2 = 0 AS chosen, coalesce(role, 'user') AS role, coalesce(text, '') AS text,
          row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, 'user'), coalesce(text, '')) AS pos
   FROM conversations WHERE conv_id IS NOT NULL),
 sizes AS (
@@ -153,10 +153,12 @@ sizes AS (
 common AS (
   SELECT s.pair, coalesce(min(a.pos) FILTER (a.role <> b.role OR a.text <> b.text) - 1, any_value(least(s.c, s.r))) AS n
   FROM sizes s JOIN turns a ON a.pair = s.pair AND a.chosen JOIN turns b ON b.pair = s.pair AND NOT b.chosen AND b.pos = a.pos GROUP BY s.pair),
+escaped AS (
+  SELECT pair, chosen, pos, regexp_replace(role, '<(\\*)\|', '<\\\1|', 'g') AS role, regexp_replace(text, '<(\\*)\|', '<\\\1|', 'g') AS text FROM turns),
 rendered AS (
   SELECT t.*, n, '<|' || role || '|>' || chr(10) || text || '<|end|>' || chr(10) AS said,
          coalesce(sum(length(role) + length(text) + 13) OVER (PARTITION BY t.pair, chosen, pos > n ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + length(role) + 5 AS begins
-  FROM turns t JOIN common USING (pair))
+  FROM escaped t JOIN common USING (pair))
 SELECT pair, any_value(n) AS n_common,
   coalesce(string_agg(said, '' ORDER BY pos) FILTER (chosen AND pos <= n), '') AS prompt,
   coalesce(string_agg(said, '' ORDER BY pos) FILTER (chosen AND pos > n), '') AS chosen,
