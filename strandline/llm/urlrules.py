@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 
 #: About so many keys, picked by a hash, are looked at to choose the ranges; they only say where ranges begin, all rows are judged.
 KEYS_FOR_RANGES = 4096
+#: Of a key so many characters are looked at for that.
+BOUND_LENGTH = 300
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: First the text before the first ://, then host and path.
 _PARTS = r"(?s)^.*?://([^/?#]*)([^?#]*)"
@@ -72,23 +74,30 @@ def judge(pages: DataFrame, rules: DataFrame, default: str = "allow", id_col: st
     without ://, has an empty host and path, which no rule fits. Repeated pages
     and null ids each give a row; other columns are not read.
 
-    A host with very many pages is spread over several ranges by a hash of the
-    row; a rule goes to each range that its interval meets. Nothing is broadcast.
+    Very long urls are taken whole.
+
+    A host with very many pages, equal ones among them, is spread over several
+    ranges by a number of the row; a rule goes to each range that its interval
+    meets. Nothing is broadcast; the driver gets at most 4 x KEYS_FOR_RANGES beginnings of keys.
     """
     spark = pages.sparkSession
     id_type = pages.schema[id_col].dataType.simpleString()
     url = F.col(url_col)
-    parts = pages.select(F.col(id_col).alias("row_id"), host_of(url).alias("host"), path_of(url).alias("path"), F.hex(F.xxhash64(F.col(id_col), url)).alias("salt"))
+    parts = pages.select(F.col(id_col).alias("row_id"), host_of(url).alias("host"), path_of(url).alias("path"), F.hex(F.xxhash64(F.monotonically_increasing_id())).alias("salt"))
     # \x01 sorts below all that a longer host can go on with
     keyed = parts.select("row_id", "host", "path", reversed_host(F.col("host")).alias("key"), "salt").withColumn("place", F.concat("key", F.lit("\x01"), "salt"))
     ranges = int(spark.conf.get("spark.sql.shuffle.partitions"))
     every = max(1, pages.count() // KEYS_FOR_RANGES)
-    picked = sorted(r[0] for r in keyed.filter(F.pmod(F.xxhash64(F.lit("ranges"), "row_id", "key", "path"), F.lit(every)) == 0).select("place").collect())
+    some = keyed.select(F.substring("place", 1, BOUND_LENGTH).alias("place"), "salt").filter(F.pmod(F.xxhash64(F.lit("ranges"), "salt"), F.lit(every)) == 0)
+    picked = sorted(r[0] for r in some.select("place").limit(4 * KEYS_FOR_RANGES).collect())
     bounds = sorted({picked[i * len(picked) // ranges] for i in range(1, ranges)}) if picked else []
     begins = F.array(*map(F.lit, bounds)) if bounds else F.expr("cast(array() as array<string>)")
 
+    halves = F.array(*[F.lit(1 << k) for k in reversed(range(max(len(bounds).bit_length(), 1)))])
+
     def range_of(place: Column) -> Column:
-        return F.size(F.filter(begins, lambda b: b <= place))
+        """The number of bounds up to ``place``, by halving."""
+        return F.aggregate(halves, F.lit(0), lambda low, step: F.when(F.coalesce(F.get(begins, low + step - 1) <= place, F.lit(False)), low + step).otherwise(low))
 
     events = "range_no", "key", "is_page", "row_id", "host", "path", "rule", "verdict"
     page_events = keyed.select(range_of(F.col("place")).alias("range_no"), "key", F.lit(True).alias("is_page"), "row_id", "host", "path", F.lit(None).cast("string").alias("rule"), F.lit(None).cast("string").alias("verdict"))

@@ -1,5 +1,7 @@
 import random
 
+from pyspark.sql import functions as F
+
 from strandline.llm import urlrules
 
 
@@ -44,3 +46,25 @@ def test_odd_rules_and_empty_tables(spark):
     assert [(r.rule, r.verdict) for r in urlrules.judge(pages, rules).collect()] == [("a.com/", "block")] * 3
     assert [(r.rule, r.verdict) for r in urlrules.judge(pages, rules.limit(0)).collect()] == [(None, "allow")] * 3
     assert urlrules.judge(pages.limit(0), rules).count() == 0
+
+
+def test_long_urls(spark):
+    rules = [("com", "/", "allow"), ("a.com", "/" + "x" * 5000, "block"), (".".join(["b"] * 3000) + ".com", "/", "block")]
+    hosts = [".".join(["b"] * n) + ".com" for n in (1, 2999, 3000, 3001)]
+    check(spark, ["http://a.com/" + "x" * n for n in (4999, 5000, 100_000)] + [f"http://{h}/" for h in hosts] + ["http://" + "h" * 100_000], rules)
+
+
+def test_equal_pages_are_spread(spark):
+    pages = spark.range(0, 200_000, 1, 8).select(F.lit(None).cast("long").alias("page_id"), F.lit("http://www.example.com/en/").alias("url"))
+    rules = spark.createDataFrame([("example.com", "/en/", "block")], "host string, path string, verdict string")
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "16")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        found = urlrules.judge(pages, rules)
+        sizes = [r["n"] for r in found.groupBy(F.spark_partition_id().alias("p")).agg(F.count("*").alias("n")).collect()]
+        assert sum(sizes) == 200_000 and len(sizes) >= 8 and max(sizes) < 60_000
+        assert found.filter("verdict = 'block'").count() == 200_000
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
