@@ -97,6 +97,9 @@ def _join(left: DataFrame, right: DataFrame, *keys: str) -> DataFrame:
     return left.join(renamed, same).drop(*[f"{k}_right" for k in keys])
 
 
-def emit(mixed: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """The mix itself: each row of ``mix`` as often as its copies say."""
-    return mixed.filter("copies > 0").withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(*columns)
+def emit(docs: DataFrame, weights: Sequence[int] = (1, 2, 3), most: int = 3, seed: int = 0) -> DataFrame:
+    """The mix itself: each row of ``docs`` as often as ``mix`` takes it, with all its columns, whatever these are called."""
+    own = {c: c if c in ("doc_id", "text", "source") else f"__own{i}" for i, c in enumerate(docs.columns)}
+    mixed = mix(docs.select(*[F.col(f"`{c}`").alias(k) for c, k in own.items()]), weights, most, seed)
+    taken = mixed.filter("copies > 0").withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
+    return taken.select(*[F.col(k).alias(c) for c, k in own.items()])
