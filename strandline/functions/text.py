@@ -79,11 +79,15 @@ def contains_all(content: Column | str, words: list[str]) -> Column:
     return test
 
 
-def first_bytes(text: Column | str, size: int, more: str) -> Column:
-    """The first ``size`` bytes as text, with ``more`` behind them if that isn't all."""
-    whole = as_column(text)
-    head = F.decode(F.substring(F.encode(whole, "UTF-8"), 1, size), "UTF-8")
-    return F.when(F.octet_length(whole) > size, F.concat(head, F.lit(more))).otherwise(whole)
+def first_bytes(text: Column | str, size: int, more: Column | str) -> Column:
+    """The first ``size`` bytes as text, with ``more`` behind them if that isn't all.
+
+    A character that the cut goes through is left out; bytes that are no UTF-8 become U+FFFD.
+    """
+    whole = F.make_valid_utf8(as_column(text))
+    data = F.encode(whole, "UTF-8")
+    head = F.coalesce(*[F.try_validate_utf8(F.substring(data, 1, size - less).cast("string")) for less in range(4)])
+    return F.when(F.octet_length(whole) > size, F.concat(head, F.lit(more) if isinstance(more, str) else more)).otherwise(whole)
 
 
 def preview(text: Column | str, size: int = 500) -> Column:
@@ -92,7 +96,8 @@ def preview(text: Column | str, size: int = 500) -> Column:
 
 def read_head(text: Column | str, size: int = 50 * 1024) -> Column:
     """What the file reader returns: the first 50 KB and a notice."""
-    return first_bytes(text, size, f"\n... (truncated at {size // 1024} KB)")
+    # fixed value: the notice
+    return first_bytes(text, size, F.concat(F.lit("\n\n[truncated — file is "), F.octet_length(as_column(text)), F.lit(f" bytes, showing first {size} bytes]")))
 
 
 def argument_preview(text: Column | str) -> Column:

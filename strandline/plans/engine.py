@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import hashlib
+import posixpath
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,12 +15,16 @@ from strandline.sources import folder, pdf
 from strandline.workspace import materialize
 
 
+#: Types that the file reader refuses.
+UNREADABLE = {".pdf", ".png", ".jpg", ".jpeg", ".gif", ".bmp", ".tiff", ".ico", ".webp", ".exe", ".dll", ".so", ".dylib", ".bin", ".zip", ".gz", ".tar", ".rar", ".7z"}
+
+
 class Index:
     """One folder's index under ``root``; the embedder can be replaced."""
 
     def __init__(self, spark: SparkSession, source: str, root: str, dimension: int = 64, embed: embedding.Embedder | None = None, model: str = "offline", pdf_reader: pdf.Pages | None = None):
         self.spark, self.source, self.embed, self.model, self.pdf_reader = spark, source.rstrip("/"), embed or embedding.offline(dimension), model, pdf_reader
-        self.store = store.Store(spark, f"{root.rstrip('/')}/{self.source.rsplit('/', 1)[-1]}-{abs(hash_name(self.source)):x}")
+        self.store = store.Store(spark, f"{root.rstrip('/')}/{self.source.rsplit('/', 1)[-1]}-{hash_name(self.source)}")
 
     def _listing(self) -> DataFrame:
         """The folder now; bytes are read only for what has to be hashed."""
@@ -39,6 +46,7 @@ class Index:
         counts = dict(compared.groupBy("reason").count().collect())
         if incremental and (counts.get("modified", 0) or counts.get("deleted", 0)):
             self.store.delete_files(outdated.select(paths.file_id("path").alias("file_id")))
+        self._forget_unrecorded(wanted)
         files = folder.contents(self.spark, self.source).join(wanted, "path", "left_semi").join(compared.select("path", "file_type", "size", "modified_at"), "path")
         files = files.withColumn("file_id", paths.file_id("path")).withColumn("kind", paths.kind("file_type"))
         alone = chunking.takes(mode, F.when(F.col("kind") == "image", "image").otherwise("text"), F.lit(False))
@@ -57,6 +65,12 @@ class Index:
             self.store.set_metadata(key, value)
         return {k: counts.get(k, 0) for k in ("new", "modified", "deleted")}
 
+    def _forget_unrecorded(self, wanted: DataFrame) -> None:
+        """Chunks and embeddings that a lost run left of the files to be done now: they would stand there twice."""
+        ids = wanted.select(paths.file_id("path").alias("file_id"))
+        if not self.store.read("chunks").join(ids, "file_id", "left_semi").isEmpty():
+            self.store.delete_files(materialize(ids, "unrecorded"))
+
     def _chunks(self, files: DataFrame) -> DataFrame:
         texts = files.filter("kind = 'text'").withColumn("text", folder.decode_text("content"))
         chunks = chunking.chunk_text_files(texts)
@@ -83,9 +97,12 @@ class Index:
         return changes.name_preview(self.compared())
 
     def read_file(self, path: str) -> str:
-        """The first 50 KB of a text file inside the folder."""
-        if not (path.lower() + "/").startswith(self.source.lower() + "/"):
+        """The first 50 KB of a text file inside the folder; ``..`` and ``.`` are resolved before the path is judged."""
+        path = posixpath.normpath(path)
+        if not (path.lower() + "/").startswith(posixpath.normpath(self.source).lower() + "/"):
             raise ValueError("the path is outside the index")
+        if posixpath.splitext(path)[1].lower() in UNREADABLE:
+            raise ValueError("files of this type are not read as text; use get_file_chunks")
         row = folder.contents(self.spark, path).select(read_head(folder.decode_text("content"))).first()
         if row is None:
             raise FileNotFoundError(path)
@@ -112,10 +129,8 @@ class Index:
         return getattr(self, tool)(**arguments)
 
 
-def hash_name(path: str) -> int:
-    """A whole folder path as a number, so that equal names of different folders don't meet."""
-    import zlib
-
-    return zlib.crc32(path.encode())
+def hash_name(path: str) -> str:
+    """A whole folder path in short, so that equal names of different folders don't meet."""
+    return hashlib.sha256(path.encode()).hexdigest()[:32]
 
 

@@ -223,11 +223,9 @@ def content_hash(spark, sf_dir):
     return docs.select("doc_id", paths.content_hash("text", kind, F.encode("source", "UTF-8")).alias("content_hash"))
 
 
-@query("SELECT doc_id, CASE WHEN strlen(text) > 500 THEN strlen(text) ELSE 0 END AS cut_from, substr(text, 1, 100) || CASE WHEN strlen(text) > 500 THEN '...' ELSE '' END AS shown FROM documents WHERE lang = 'en'")
+@query("SELECT doc_id, CASE WHEN strlen(text) > 500 THEN left(text, list_max(list_filter(range(0, 501), lambda n: strlen(left(text, n)) <= 500))) || '...' ELSE text END AS shown FROM documents")
 def preview_truncate(spark, sf_dir):
-    shown = text.preview("text")
-    more = F.when(shown.endswith("...") & (F.octet_length("text") > 500), "...").otherwise("")
-    return read(spark, sf_dir, "documents").filter("lang = 'en'").select("doc_id", F.when(F.octet_length("text") > 500, F.octet_length("text")).otherwise(0).cast("bigint").alias("cut_from"), F.concat(F.substring(shown, 1, 100), more).alias("shown"))
+    return read(spark, sf_dir, "documents").select("doc_id", text.preview("text").alias("shown"))
 
 
 @query(r"SELECT doc_id, trim(regexp_replace(text, '[\s\x0B\x{85}\p{Z}]+', ' ', 'g')) AS cleaned FROM documents")
@@ -293,22 +291,22 @@ def file_chunks(spark, sf_dir):
     return metadata.file_chunks(files, chunking.chunk_text_files(files), "/src0/0.txt").select("chunk_index", "content")
 
 
-@query(f"""WITH {_FILES}, counts AS (SELECT source, count(*) AS n, count(*) FILTER (lang = 'en') AS images FROM documents WHERE doc_id % 4 <> 1 GROUP BY source)
+@query(f"""WITH {_FILES}, counts AS (SELECT source, count(*) AS n, count(*) FILTER (lang = 'en') AS images FROM documents GROUP BY source)
 SELECT path, regexp_extract(path, '[^/]*$') AS file_name, file_type, size, coalesce(n, 0) AS chunk_count, CASE WHEN images > 0 THEN n - images END AS text_chunks, CASE WHEN images > 0 THEN images END AS image_chunks
 FROM files LEFT JOIN counts USING (source)""")
 def file_info(spark, sf_dir):
     """A file's chunks are played by the documents of its source, English ones as images."""
     files = files_of(spark, sf_dir).withColumn("file_id", F.col("source"))
-    chunks = read(spark, sf_dir, "documents").filter("doc_id % 4 <> 1").select(F.col("source").alias("file_id"), F.when(F.col("lang") == "en", "image").otherwise("text").alias("content_type"))
+    chunks = read(spark, sf_dir, "documents").select(F.col("source").alias("file_id"), F.when(F.col("lang") == "en", "image").otherwise("text").alias("content_type"))
     return metadata.file_info(files, chunks)
 
 
 @query(f"""WITH {_CUT}, names AS (SELECT DISTINCT source FROM documents)
-SELECT n.source AS index_name, '/' || n.source AS folder_path, count(c.doc_id) AS chunks FROM names n LEFT JOIN (SELECT doc_id, source FROM cut JOIN documents USING (doc_id) WHERE lang = 'de') c ON c.source = n.source GROUP BY n.source""")
+SELECT n.source AS index_name, '/' || n.source AS folder_path, count(c.doc_id) AS chunks FROM names n LEFT JOIN (SELECT doc_id, source FROM cut JOIN documents USING (doc_id)) c ON c.source = n.source GROUP BY n.source""")
 def list_indexes(spark, sf_dir):
     files = files_of(spark, sf_dir)
     indexes = files.select(F.col("source").alias("index_name"), F.concat(F.lit("/"), "source").alias("folder_path")).distinct()
-    chunks = chunking.chunk_text_files(files.filter("file_type = 'de'")).select(F.split("file_path", "/")[1].alias("index_name"))
+    chunks = chunking.chunk_text_files(files).select(F.split("file_path", "/")[1].alias("index_name"))
     return metadata.list_indexes(indexes, chunks)
 
 

@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from strandline.functions import paths
 
-#: Files beyond this many bytes are hashed and read as a stream elsewhere; here their content is null.
-READ_LIMIT = 50 * 1024 * 1024
+#: Bytes that a value can hold; larger files can't be read and are left out of the listing as well.
+READ_LIMIT = 2**31 - 2**20
 
 
 def _relative(path: Column, root: str) -> Column:
@@ -26,17 +26,18 @@ def scan(spark: SparkSession, root: str) -> DataFrame:
     base = root.removeprefix("file://").removeprefix("file:").rstrip("/")
     name = "/" + base.rsplit("/", 1)[-1]
     rows = files.select(plain.alias("path"), F.col("length").alias("size"), F.col("modificationTime").cast("timestamp_ntz").alias("modified_at"))
-    return rows.filter(paths.scanned(F.concat(F.lit(name), _relative(F.col("path"), base)))).withColumn("file_type", paths.file_type("path"))
+    return rows.filter(F.col("size") <= READ_LIMIT).filter(paths.scanned(F.concat(F.lit(name), _relative(F.col("path"), base)))).withColumn("file_type", paths.file_type("path"))
 
 
 def contents(spark: SparkSession, root: str) -> DataFrame:
-    """path, content and file_hash: bytes and their sha256 come from the same read."""
+    """path, content and file_hash: bytes and their sha256 come from the same read, whatever the file's size up to READ_LIMIT."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
     return files.filter(F.col("length") <= READ_LIMIT).select(F.regexp_replace("path", "^file:(//)?", "").alias("path"), "content", F.sha2("content", 256).alias("file_hash"))
 
 
 def decode_text(content: Column | str) -> Column:
-    return F.decode(content, "UTF-8")
+    """The bytes as UTF-8; what is none becomes U+FFFD."""
+    return F.make_valid_utf8((F.col(content) if isinstance(content, str) else content).cast("string"))
 
 
 def _number(data: Column, at: Column | int, size: int, little: bool = False) -> Column:

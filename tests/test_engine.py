@@ -60,3 +60,46 @@ def test_streams(spark, folder, tmp_path):
     events = [("c", 0, "thinking", "a"), ("c", 1, "thinking", "b"), ("c", 2, "tool_call", "search"), ("c", 3, "tool_result", "3 hits"), ("c", 4, "text", "done")]
     steps = ingest.chat_steps(spark.createDataFrame(events, "chat_id string, seq int, kind string, body string")).orderBy("step").collect()
     assert [(s.kind, s.body, s.result) for s in steps] == [("thinking", "ab", None), ("tool_call", "search", "3 hits"), ("text", "done", None)]
+
+
+def test_reads_stay_inside_and_whole(spark, folder, tmp_path):
+    (tmp_path / "secret.txt").write_text("not for you")
+    (folder / "blob.zip").write_bytes(b"PK")
+    (folder / "long.txt").write_text("a" + "é" * 60_000)
+    index = Index(spark, str(folder), str(tmp_path / "store"), dimension=16)
+    for path in (f"{folder}/../secret.txt", f"{folder}/docs/../../secret.txt", f"{folder}x/a.md"):
+        with pytest.raises(ValueError, match="outside"):
+            index.read_file(path)
+    with pytest.raises(ValueError, match="not read as text"):
+        index.read_file(f"{folder}/blob.zip")
+    head, notice = index.read_file(f"{folder}/docs/../long.txt").split("\n\n")
+    assert head == "a" + "é" * 25_599 and notice == "[truncated — file is 120001 bytes, showing first 51200 bytes]"
+
+
+def test_other_encodings_and_large_files(spark, folder, tmp_path):
+    (folder / "latin.txt").write_bytes("caf\u00e9 ol\u00e9".encode("latin-1"))
+    with open(folder / "large.txt", "wb") as large:
+        large.truncate(51 * 1024 * 1024)
+    index = Index(spark, str(folder), str(tmp_path / "store"), dimension=16)
+    assert index.update()["new"] == 6
+    assert index.update() == {"new": 0, "modified": 0, "deleted": 0}
+    assert index.get_file_chunks(str(folder / "latin.txt")).first().content == "caf\ufffd ol\ufffd"
+
+
+def test_run_lost_between_its_tables(spark, folder, tmp_path, monkeypatch):
+    index = Index(spark, str(folder), str(tmp_path / "store"), dimension=16)
+    append = index.store.append
+
+    def lost(table, rows):
+        if table == "files":
+            raise RuntimeError("lost")
+        append(table, rows)
+
+    monkeypatch.setattr(index.store, "append", lost)
+    with pytest.raises(RuntimeError):
+        index.update()
+    monkeypatch.undo()
+    assert index.update()["new"] == 4
+    for table, key in (("chunks", "chunk_id"), ("embeddings", "chunk_id"), ("files", "file_id")):
+        rows = index.store.read(table)
+        assert rows.count() == rows.select(key).distinct().count() == 4
