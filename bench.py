@@ -1,4 +1,4 @@
-"""Times the headline queries at $BENCH_SF_DIR on local[$BENCH_CPUS]; prints one JSON line."""
+"""Times the headline queries at $BENCH_SF_DIR on local[$BENCH_CPUS], and their SQL in DuckDB on as many threads; prints one JSON line."""
 
 from __future__ import annotations
 
@@ -6,15 +6,32 @@ import json
 import os
 import time
 
-from strandline.plans.queries import QUERIES
+import duckdb
+
+from strandline.plans.queries import QUERIES, SQL
 from strandline.session import local_session
 
 HEADLINE = ["semantic_topk", "semantic_topk_filtered", "keyword_search", "hybrid_search", "rerank_mock", "chunk_text", "sentence_split", "detect_changes", "index_status", "upsert_files", "cache_probe", "embed_batches", "find_files_all", "recent_searches"]
 
 
+def duckdb_times(sf_dir: str, cpus: int) -> dict[str, float]:
+    """Seconds of each headline query's SQL over the same files."""
+    db = duckdb.connect(config={"threads": cpus})
+    for file in sorted(os.listdir(sf_dir)):
+        if file.endswith(".parquet"):
+            db.execute(f"CREATE VIEW {file[:-8]} AS SELECT * FROM read_parquet('{sf_dir}/{file}')")
+    took = {}
+    for name in HEADLINE:
+        began = time.time()
+        db.execute(SQL[name]).fetchall()
+        took[name] = round(time.time() - began, 3)
+    return took
+
+
 def main() -> None:
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
-    spark = local_session(int(os.environ.get("BENCH_CPUS", "8")), "bench")
+    cpus = int(os.environ.get("BENCH_CPUS", "8"))
+    spark = local_session(cpus, "bench")
     spark.sparkContext.setLogLevel("OFF")
     run = lambda name: QUERIES[name](spark, sf_dir).write.format("noop").mode("overwrite").save()
     run("upsert_files")  # starts the engine; not counted
@@ -23,7 +40,7 @@ def main() -> None:
         began = time.time()
         run(name)
         took[name] = round(time.time() - began, 3)
-    print(json.dumps({"metric": "headline queries, total", "value": round(sum(took.values()), 3), "unit": "sec", "queries": took, "sf": os.path.basename(sf_dir.rstrip("/"))}))
+    print(json.dumps({"metric": "headline queries, total", "value": round(sum(took.values()), 3), "unit": "sec", "queries": took, "sf": os.path.basename(sf_dir.rstrip("/")), "duckdb": duckdb_times(sf_dir, cpus)}))
     spark.stop()
 
 
