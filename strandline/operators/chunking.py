@@ -126,6 +126,7 @@ def image_fits(width: Column | str, height: Column | str) -> Column:
 
 def image_chunks(files: DataFrame, images: DataFrame) -> DataFrame:
     """One chunk for each image of a PDF that fits, in no order yet (see ``merge_multimodal``)."""
+    # fixed value: the caption's format
     caption = F.format_string("Image from page %d (%dx%d, %s)", "page_number", "width", "height", "format")
     rows = images.filter(image_fits("width", "height")).join(files, "file_id")
     return rows.select(
@@ -137,6 +138,7 @@ def standalone_image_chunks(images: DataFrame) -> DataFrame:
     """One chunk for each image file (file_id, path, file_type, width, height, format, content)."""
     from strandline.functions.text import plain_base64
 
+    # fixed value: the caption's format
     caption = F.format_string("Image file: %s (%dx%d, %s)", paths.basename("path"), "width", "height", "format")
     return images.select(
         paths.chunk_id("file_id", F.lit(0)).alias("chunk_id"), "file_id", F.col("path").alias("file_path"), "file_type", F.lit(0).alias("chunk_index"), F.lit(1).alias("total_chunks"), caption.alias("content"), F.lit(None).cast("array<int>").alias("page_numbers"), F.lit("image").alias("content_type"), F.encode(plain_base64("content"), "UTF-8").alias("image_data")

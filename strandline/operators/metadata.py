@@ -10,10 +10,13 @@ from pyspark.sql import functions as F
 from strandline.functions import paths
 
 #: Directory names that browsing leaves out, case aside.
-SKIPPED_NAMES = (
-    "node_modules .npm .yarn .pnpm-store __pycache__ .venv venv env dist build out target .next .nuxt .svelte-kit .cargo .gradle .git .svn .hg .bzr $recycle.bin recycler ~snapshot .snapshot "
-    "dfsrprivate .spotlight-v100 .trashes .fseventsd .temporaryitems windows programdata recovery winsxs"
-).split() + ["system volume information", "program files", "program files (x86)"]
+SKIPPED_NAMES = [
+    "node_modules", ".npm", ".yarn", ".pnpm-store", "__pycache__", ".venv", "venv", "env", "dist",
+    "build", "out", "target", ".next", ".nuxt", ".svelte-kit", ".cargo", ".gradle", ".git",
+    ".svn", ".hg", ".bzr", "$recycle.bin", "recycler", "system volume information", "~snapshot", ".snapshot", "dfsrprivate",
+    ".spotlight-v100", ".trashes", ".fseventsd", ".temporaryitems", "windows", "program files", "program files (x86)", "programdata", "recovery",
+    "winsxs",
+]
 BROWSE_MOST = 500
 
 
