@@ -23,6 +23,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from strandline.llm.text import kept
 from strandline.workspace import discard, materialize
 
 UNDETERMINED = "und"
@@ -265,15 +266,9 @@ class Scorer:
             yield self.scores[at[end - size : end]].sum(axis=0) if known and self.model.langs else None
 
 
-#: The last scorer of this worker and the broadcast it belongs to: the next task of the same query goes on with its words.
-_KEPT: list[tuple[str, Scorer]] = []
-
-
 def _scorer(sent) -> Scorer:
-    """The worker's scorer for a broadcast model."""
-    if not _KEPT or _KEPT[0][0] != sent.value.number:
-        _KEPT[:] = [(sent.value.number, Scorer(sent.value))]
-    return _KEPT[0][1]
+    """The worker's scorer for a broadcast model: the next task of the same query goes on with its words."""
+    return kept(sent.value.number, lambda: Scorer(sent.value))
 
 
 def word_counts(docs: DataFrame) -> DataFrame:

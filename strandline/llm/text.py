@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -39,3 +41,20 @@ def begins(sizes: str, block: int = 256) -> Column:
     firsts = f"slice(aggregate({totals}, array(0), (s, x) -> concat(s, array(element_at(s, -1) + x))), 1, (size({sizes}) - 1) div {block} + 1)"
     inside = f"slice(aggregate({numbers}, array(b0), (s, i) -> concat(s, array(element_at(s, -1) + {sizes}[i]))), 1, size({numbers}))"
     return F.expr(f"CASE WHEN size({sizes}) > 0 THEN flatten(transform({firsts}, (b0, b) -> {inside})) ELSE cast(array() as array<int>) END")
+
+
+#: What the last operator of this Python worker keeps from one task to the next, and what it belongs to.
+_KEPT: list[tuple[object, object]] = []
+
+
+def kept(owner: object, make: Callable[[], object]):
+    """What this worker keeps for ``owner``, made if there is none; what it kept for another goes."""
+    if not _KEPT or _KEPT[0][0] != owner:
+        _KEPT.clear()
+        _KEPT.append((owner, make()))
+    return _KEPT[0][1]
+
+
+def release() -> None:
+    """What this worker keeps for an operator goes; tasks that need their memory call it first."""
+    _KEPT.clear()
