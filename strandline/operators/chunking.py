@@ -96,7 +96,7 @@ def chunk_pages(files: DataFrame, pages: DataFrame) -> DataFrame:
     by_file = Window.partitionBy("file_id")
     numbered = cut.withColumn("chunk_index", F.row_number().over(by_file.orderBy("page_number", "at")) - 1).withColumn("total_chunks", F.count("*").over(by_file).cast("int"))
     some = pages.groupBy("file_id").agg(F.max(text != "").alias("some")).filter("some").select("file_id")
-    rows = files.join(some, "file_id").join(numbered, "file_id", "left")
+    rows = files.select("file_id", "path", "file_type").join(some, "file_id").join(numbered, "file_id", "left")
     return rows.select(
         paths.chunk_id("file_id", F.coalesce("chunk_index", F.lit(0))).alias("chunk_id"),
         "file_id",
@@ -128,7 +128,7 @@ def image_chunks(files: DataFrame, images: DataFrame) -> DataFrame:
     """One chunk for each image of a PDF that fits, in no order yet (see ``merge_multimodal``)."""
     # fixed value: the caption's format
     caption = F.format_string("Image from page %d (%dx%d, %s)", "page_number", "width", "height", "format")
-    rows = images.filter(image_fits("width", "height")).join(files, "file_id")
+    rows = images.filter(image_fits("width", "height")).join(files.select("file_id", "path", "file_type"), "file_id")
     return rows.select(
         "file_id", F.col("path").alias("file_path"), "file_type", F.lit(0).alias("chunk_index"), caption.alias("content"), F.array("page_number").alias("page_numbers"), F.lit("image").alias("content_type"), F.encode("base64", "UTF-8").alias("image_data")
     )

@@ -20,10 +20,15 @@ UNREADABLE = {".pdf", ".png", ".jpg", ".jpeg", ".gif", ".bmp", ".tiff", ".ico",
 
 
 class Index:
-    """One folder's index under ``root``; the embedder can be replaced."""
+    """One folder's index under ``root``; the embedder can be replaced.
 
-    def __init__(self, spark: SparkSession, source: str, root: str, dimension: int = 64, embed: embedding.Embedder | None = None, model: str = "offline", pdf_reader: pdf.Pages | None = None):
+    PDFs take outside helpers: ``pdf_reader`` gives their pages' texts, ``pdf_images``
+    the images in them, ``renderer`` a picture of a whole page.
+    """
+
+    def __init__(self, spark: SparkSession, source: str, root: str, dimension: int = 64, embed: embedding.Embedder | None = None, model: str = "offline", pdf_reader: pdf.Pages | None = None, pdf_images: pdf.Images | None = None, renderer: pdf.Renderer | None = None):
         self.spark, self.source, self.embed, self.model, self.pdf_reader = spark, source.rstrip("/"), embed or embedding.offline(dimension), model, pdf_reader
+        self.pdf_images, self.renderer = pdf_images, renderer
         self.store = store.Store(spark, f"{root.rstrip('/')}/{self.source.rsplit('/', 1)[-1]}-{hash_name(self.source)}")
 
     def _listing(self) -> DataFrame:
@@ -51,7 +56,7 @@ class Index:
         files = files.withColumn("file_id", paths.file_id("path")).withColumn("kind", paths.kind("file_type"))
         alone = chunking.takes(mode, F.when(F.col("kind") == "image", "image").otherwise("text"), F.lit(False))
         files = materialize(files.filter(alone), "contents")
-        chunks = materialize(self._chunks(files), "chunks")
+        chunks = materialize(self._chunks(files, mode), "chunks")
         vectors, fresh = embedding.resolve(chunks, self.store.read("embedding_cache"), self.embed)
         vectors = materialize(vectors.select("chunk_id", "vector"), "vectors")
         # a file whose chunks failed is not recorded, so the next run takes it up again; an over-long text has a row without chunks
@@ -71,7 +76,7 @@ class Index:
         if not self.store.read("chunks").join(ids, "file_id", "left_semi").isEmpty():
             self.store.delete_files(materialize(ids, "unrecorded"))
 
-    def _chunks(self, files: DataFrame) -> DataFrame:
+    def _chunks(self, files: DataFrame, mode: str) -> DataFrame:
         texts = files.filter("kind = 'text'").withColumn("text", folder.decode_text("content"))
         chunks = chunking.chunk_text_files(texts)
         images = files.filter("kind = 'image'").withColumns({"format": folder.image_format("content"), "s": folder.image_size("content")}).filter("s is not null")
@@ -81,7 +86,29 @@ class Index:
             reader = self.pdf_reader or pdf.default_reader()
         except pdf.PdfUnavailable:
             return chunks  # PDFs stay unrecorded until a reader is there
-        return chunks.unionByName(chunking.chunk_pages(pdfs, pdf.read_pages(pdfs, reader)))
+        pages = materialize(pdf.read_pages(pdfs, reader), "pages")
+        of_pdfs = chunking.chunk_pages(pdfs, pages)
+        pictures = self._pictures(pdfs, pages) if chunking.MODES[mode][2] else None
+        if pictures is not None:
+            both = of_pdfs.unionByName(chunking.image_chunks(pdfs, pictures), allowMissingColumns=True)
+            of_pdfs = chunking.merge_multimodal(both, "content", "image_data")
+        return chunks.unionByName(chunking.filter_mode(of_pdfs, mode))
+
+    def _pictures(self, pdfs: DataFrame, pages: DataFrame) -> DataFrame | None:
+        """Pictures of sparse pages, and the images in all other pages of some class; a page that can't be drawn is read for its images."""
+        at, found = ["file_id", "page_number"], None
+        classed = chunking.page_class(pages).filter("page_class is not null")
+        if self.renderer:
+            sparse = classed.filter("page_class = 'sparse'").join(pdfs.select("file_id", "content"), "file_id")
+            drawn = materialize(pdf.render_pages(sparse, self.renderer).filter("base64 is not null"), "drawn")
+            data = F.unbase64("base64")
+            sized = drawn.withColumns({"format": folder.image_format(data), "s": folder.image_size(data)})
+            found = sized.select(*at, "format", "s.width", "s.height", "base64")
+            classed = classed.join(drawn, at, "left_anti")
+        if self.pdf_images:
+            inside = pdf.read_images(pdfs, self.pdf_images).join(classed.select(*at), at, "left_semi")
+            found = inside if found is None else found.unionByName(inside)
+        return found
 
     # what an agent can call
 

@@ -17,6 +17,9 @@ from strandline.functions import paths
 from strandline.schemas import PDF_IMAGES, PDF_PAGES
 
 Pages = Callable[[bytes], list[str]]
+#: (page, format, width, height, base64) of each image in a file; the base64 picture of one page, from 1, or nothing.
+Images = Callable[[bytes], list[tuple[int, str, int, int, str]]]
+Renderer = Callable[[bytes, int], str | None]
 
 
 class PdfUnavailable(RuntimeError):
@@ -63,7 +66,7 @@ def read_pages(files: DataFrame, reader: Pages | None = None) -> DataFrame:
     return files.select("file_id", "content").mapInPandas(run, PDF_PAGES)
 
 
-def read_images(files: DataFrame, reader: Callable[[bytes], list[tuple[int, str, int, int, str]]]) -> DataFrame:
+def read_images(files: DataFrame, reader: Images) -> DataFrame:
     """Images in PDFs by a reader that gives (page, format, width, height, base64) for each; errors give none."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -79,7 +82,7 @@ def read_images(files: DataFrame, reader: Callable[[bytes], list[tuple[int, str,
     return files.select("file_id", "content").mapInPandas(run, PDF_IMAGES)
 
 
-def render_pages(pages: DataFrame, renderer: Callable[[bytes, int], str | None] | None = None) -> DataFrame:
+def render_pages(pages: DataFrame, renderer: Renderer | None = None) -> DataFrame:
     """Base64 pictures of pages (file_id, page_number, content) by an outside renderer; a failure gives none."""
     if renderer is None:
         raise PdfUnavailable("pass a renderer, for instance around pdftoppm")

@@ -1,3 +1,5 @@
+import base64
+
 import pytest
 
 from strandline.plans.engine import Index
@@ -103,3 +105,36 @@ def test_run_lost_between_its_tables(spark, folder, tmp_path, monkeypatch):
     for table, key in (("chunks", "chunk_id"), ("embeddings", "chunk_id"), ("files", "file_id")):
         rows = index.store.read(table)
         assert rows.count() == rows.select(key).distinct().count() == 4
+
+
+def test_pdf_pages_images_and_pictures(spark, tmp_path):
+    source = tmp_path / "papers"
+    source.mkdir()
+    (source / "a.pdf").write_bytes(b"%PDF")
+    rich = "plenty of words on this page about rivers and boats. " * 6
+
+    def png(width, height):
+        return base64.b64encode(bytes.fromhex("89504E470D0A1A0A0000000D49484452") + width.to_bytes(4, "big") + height.to_bytes(4, "big")).decode()
+
+    def reader(data):
+        return [rich, "short", "torn"]
+
+    def images(data):
+        return [(page, "png", 600, 400, png(600, 400)) for page in (1, 2, 3)] + [(1, "png", 10, 10, png(10, 10))]
+
+    def renderer(data, page):
+        if page == 3:
+            raise ValueError("torn page")
+        return png(800, 900)
+
+    def contents(mode, **helpers):
+        index = Index(spark, str(source), str(tmp_path / f"{mode}{len(helpers)}"), dimension=8, pdf_reader=reader, **helpers)
+        index.update(mode)
+        rows = index.get_file_chunks(str(source / "a.pdf")).orderBy("chunk_index").collect()
+        assert [r.chunk_index for r in rows] == list(range(len(rows)))
+        return [r.content for r in rows]
+
+    inside = [f"Image from page {page} (600x400, png)" for page in (1, 2, 3)]
+    assert contents("both", pdf_images=images, renderer=renderer) == [rich.strip(), inside[0], "Image from page 2 (800x900, png)", inside[2]]
+    assert contents("text_pdfimages", pdf_images=images) == [rich.strip(), *inside]
+    assert contents("text_images", pdf_images=images) == [rich.strip()]
