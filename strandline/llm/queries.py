@@ -1,4 +1,4 @@
-"""The queries op1 to op10 over whole tables, and DuckDB SQL where it can express them."""
+"""The queries op1 to op13 over whole tables, and DuckDB SQL where it can express them."""
 
 from __future__ import annotations
 
@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandline.llm import bpe, exactdedup, langid, licenses, mixing, pii, preference, quality, simhash, urlrules
+from strandline.llm import bpe, exactdedup, infill, langid, licenses, mixing, pii, preference, quality, simhash, urlrules, vectorcodes
 
 BPE_FILE = "byte_bpe_50k.tiktoken"
 PIECE_FILE = "byte_bpe_multi_50k.tiktoken"
@@ -74,6 +74,17 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(docs.select("doc_id", held_out, "text"), model, keep=("doc_id", "held_out"))
 
 
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label")
+    books = vectorcodes.fit(rows)
+    coded = vectorcodes.with_group_error(vectorcodes.encode(rows, books, keep=("vec_id", "label")))
+    return coded.select("vec_id", "code", "error", "label_error", F.lit(books.sha256()).alias("codebooks_sha256"))
+
+
+def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return infill.digests(table(spark, sf_dir, "documents"))
+
+
 def _listed(words: list[str]) -> str:
     return "[" + ", ".join(f"'{w}'" for w in words) + "]"
 
@@ -108,6 +119,32 @@ FROM d LEFT JOIN base USING (k) LEFT JOIN best USING (k)
 """
 
 
+def _vector_codes_sql() -> str:
+    """The codebooks' rounds written out one after the other."""
+    assigned = """a{r} AS MATERIALIZED (
+  SELECT vec_id, label, part, arg_min(entry, (dist, entry)) AS entry, min(dist) AS dist FROM (
+    SELECT p.k, vec_id, label, p.part, entry, list_sum(list_transform(list_zip(p.v, b.v), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::BIGINT AS dist FROM parts p JOIN b{r} b ON p.part = b.part) GROUP BY k, vec_id, label, part)"""
+    refined = """s{r} AS MATERIALIZED (
+  SELECT part, entry, list(x ORDER BY i) AS v FROM (
+    SELECT a.part, a.entry, i, (sum(p.v[i]) - ((sum(p.v[i]) % count(*)) + count(*)) % count(*)) // count(*) AS x
+    FROM a{r} a JOIN parts p USING (vec_id, part), range(1, (SELECT max(len(v)) FROM parts) + 1) n(i) GROUP BY a.part, a.entry, i) GROUP BY part, entry),
+b{n} AS MATERIALIZED (SELECT b.part, b.entry, coalesce(s.v, b.v) AS v FROM b{r} b LEFT JOIN s{r} s ON b.part = s.part AND b.entry = s.entry)"""
+    steps = ",\n".join([assigned.format(r=0), refined.format(r=0, n=1), assigned.format(r=1), refined.format(r=1, n=2), assigned.format(r=2)])
+    return f"""
+WITH kept AS MATERIALIZED (
+  SELECT row_number() OVER (ORDER BY vec_id) AS k, vec_id, label, list_transform(embedding, lambda x: floor(x::DOUBLE * 256)::BIGINT) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+parts AS MATERIALIZED (SELECT k, vec_id, label, p AS part, list_slice(v, p * len(v) // 16 + 1, (p + 1) * len(v) // 16) AS v FROM kept, range(16) t(p)),
+b0 AS MATERIALIZED (SELECT part, k - 1 AS entry, v FROM parts WHERE k <= 64),
+{steps},
+coded AS (
+  SELECT vec_id, any_value(label) AS label, string_agg(lower(printf('%02x', entry)), '' ORDER BY part) AS code, sum(dist)::BIGINT AS error FROM a2 GROUP BY vec_id)
+SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error,
+       (SELECT sha256(string_agg(array_to_string(v, ','), ',' ORDER BY part, entry)) FROM b2) AS codebooks_sha256
+FROM coded
+"""
+
+
 QUERIES = {
     "op1_pii": op1_pii,
     "op2_mixing": op2_mixing,
@@ -119,6 +156,8 @@ QUERIES = {
     "op8_quality": op8_quality,
     "op9_byte_bpe": op9_byte_bpe,
     "op10_language_id": op10_language_id,
+    "op12_vector_codes": op12_vector_codes,
+    "op13_fill_in_middle": op13_fill_in_middle,
 }
 
 SQL = {
@@ -218,4 +257,20 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, coalesce(covered.n,
 FROM j LEFT JOIN covered USING (k)
 """,
     "op7_licenses": _licenses_sql(),
+    "op12_vector_codes": _vector_codes_sql(),
+    # the parts by their first and last characters, from running lengths of the units
+    "op13_fill_in_middle": r"""
+WITH d AS (
+  SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+') AS units, sha256('42:' || coalesce(doc_id::VARCHAR, '')) AS h FROM documents),
+e AS (
+  SELECT doc_id, text, len(units) AS n, list_transform(units, lambda u: length(u)) AS sizes, list_transform([0, 1, 2, 3], lambda i: ('0x' || substr(h, 8 * i + 1, 8))::UBIGINT) AS h FROM d),
+f AS (
+  SELECT *, CASE WHEN text = '' OR regexp_matches(text, '<[PSM]>') OR h[3] % 100 >= 50 THEN 'plain' WHEN h[4] % 100 < 80 THEN 'spm' ELSE 'psm' END AS form,
+         coalesce(list_sum(list_slice(sizes, 1, least(h[1] % (n + 1), h[2] % (n + 1))::BIGINT)), 0)::BIGINT AS a, coalesce(list_sum(list_slice(sizes, 1, greatest(h[1] % (n + 1), h[2] % (n + 1))::BIGINT)), 0)::BIGINT AS b FROM e)
+SELECT doc_id, n::BIGINT AS n, form, CASE WHEN form <> 'plain' THEN a END AS prefix_chars, CASE WHEN form <> 'plain' THEN b - a END AS middle_chars,
+       sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || substr(text, 1, a) || '<S>' || substr(text, b + 1) || '<M>' || substr(text, a + 1, b - a)
+                        ELSE '<S>' || substr(text, b + 1) || '<P>' || substr(text, 1, a) || '<M>' || substr(text, a + 1, b - a) END) AS output_sha256,
+       sha256(text) AS restored_sha256
+FROM f
+""",
 }
