@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandline.llm import bpe, exactdedup, infill, langid, licenses, mixing, pii, preference, quality, simhash, urlrules, vectorcodes
+from strandline.llm import bpe, exactdedup, infill, langid, licenses, mixing, pii, preference, quality, simhash, spotsigs, urlrules, vectorcodes
 
 BPE_FILE = "byte_bpe_50k.tiktoken"
 PIECE_FILE = "byte_bpe_multi_50k.tiktoken"
@@ -74,6 +74,12 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(docs.select("doc_id", held_out, "text"), model, keep=("doc_id", "held_out"))
 
 
+def op11_spotsigs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = spotsigs.compare(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    fingerprints = F.array_join("signatures", "").alias("fingerprint"), F.array_join("edited_signatures", "").alias("edited_fingerprint")
+    return rows.select("doc_id", "n_chars", "edited_sha256", *fingerprints, *(F.round(c, 6).alias(c) for c in ("near_edited", "near_next")))
+
+
 def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label")
     books = vectorcodes.fit(rows)
@@ -119,6 +125,28 @@ FROM d LEFT JOIN base USING (k) LEFT JOIN best USING (k)
 """
 
 
+def _spotsigs_sql() -> str:
+    anchors = ", ".join(f"'{w}'" for w in spotsigs.ANCHORS)
+    signatures = lambda text, name: rf"""{name} AS (
+  SELECT doc_id, CASE WHEN len(sigs) = 0 AND len(ws) > 0 THEN [left(md5(array_to_string(ws, ' ')), 16)] ELSE sigs END AS sigs FROM (
+    SELECT doc_id, ws, list_sort(list_distinct(list_filter(list_transform(units, lambda u, i: CASE WHEN contains(u, chr(2)) THEN
+             left(md5(array_to_string([u] || list_transform(units[i + 1:i + {spotsigs.CHAIN - 1}], lambda v: string_split(v, chr(2))[-1]), ' ')), 16) END), lambda s: s IS NOT NULL))) AS sigs
+    FROM (SELECT doc_id, ws, string_split(array_to_string(list_transform(ws, lambda w: w || CASE WHEN w IN ({anchors}) THEN chr(2) ELSE ' ' END), ''), ' ')[:-2] AS units
+          FROM (SELECT doc_id, list_filter(regexp_split_to_array(lower({text}), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda w: w <> '') AS ws FROM e))))"""
+    like = lambda a, b: f"CASE WHEN len({a}) = 0 AND len({b}) = 0 THEN 1.0 WHEN least(len({a}), len({b})) < {spotsigs.LEAST} * greatest(len({a}), len({b})) THEN 0.0 ELSE len(list_intersect({a}, {b})) / len(list_distinct({a} || {b})) END"
+    return f"""
+WITH d AS (
+  SELECT doc_id, coalesce(text, '') AS text, coalesce(lead(doc_id) OVER o, max(doc_id) OVER ()) AS next_id, coalesce(lead(coalesce(text, '')) OVER o, first_value(coalesce(text, '')) OVER o) AS next
+  FROM documents WINDOW o AS (ORDER BY doc_id DESC)),
+e AS (SELECT doc_id, next_id, text, substr(text, 1, length(text) - length(text) // 2) || substr(next, 1, length(text) // 2) AS edited FROM d),
+{signatures("text", "own")},
+{signatures("edited", "other")}
+SELECT e.doc_id, length(text)::BIGINT AS n_chars, sha256(edited) AS edited_sha256, array_to_string(own.sigs, '') AS fingerprint, array_to_string(other.sigs, '') AS edited_fingerprint,
+       round(({like("own.sigs", "other.sigs")})::DOUBLE, 6) AS near_edited, round(({like("own.sigs", "after.sigs")})::DOUBLE, 6) AS near_next
+FROM e JOIN own USING (doc_id) JOIN other USING (doc_id) JOIN own after ON after.doc_id = e.next_id
+"""
+
+
 def _vector_codes_sql() -> str:
     """The codebooks' rounds written out one after the other."""
     assigned = """a{r} AS MATERIALIZED (
@@ -156,6 +184,7 @@ QUERIES = {
     "op8_quality": op8_quality,
     "op9_byte_bpe": op9_byte_bpe,
     "op10_language_id": op10_language_id,
+    "op11_spotsigs": op11_spotsigs,
     "op12_vector_codes": op12_vector_codes,
     "op13_fill_in_middle": op13_fill_in_middle,
 }
@@ -257,6 +286,7 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, coalesce(covered.n,
 FROM j LEFT JOIN covered USING (k)
 """,
     "op7_licenses": _licenses_sql(),
+    "op11_spotsigs": _spotsigs_sql(),
     "op12_vector_codes": _vector_codes_sql(),
     # the parts by their first and last characters, from running lengths of the units
     "op13_fill_in_middle": r"""
