@@ -115,7 +115,14 @@ idf AS (SELECT own.word, ln(((SELECT count(*) FROM d) + 1) / (count(held.k) + 1)
 found AS (SELECT k, unnest(ws) AS word, generate_subscripts(ws, 1) - 1 AS i FROM d WHERE list_has_any(ws, {keys})),
 begins AS (SELECT DISTINCT found.k, t.n, found.i - t.key_at AS o FROM found JOIN templates t ON found.word = t.key[1]),
 sure AS (SELECT b.k, b.n, b.o, t.label, d.ws FROM begins b JOIN templates t USING (n) JOIN d USING (k) WHERE b.o + t.key_at >= 0 AND list_slice(d.ws, b.o + t.key_at + 1, b.o + t.key_at + len(t.key)) = t.key),
-scored AS (SELECT k, label, n, o, sum(CASE WHEN s.o + p >= 0 AND s.ws[(s.o + p + 1)::INT] = word THEN idf ELSE 0 END) / sum(idf) AS score FROM sure s JOIN slots USING (n) JOIN idf USING (word) GROUP BY k, label, n, o),
+weighted AS (SELECT n, ws AS slots, list(idf ORDER BY p) AS weights FROM templates JOIN slots USING (n) JOIN idf USING (word) GROUP BY n, ws),
+aligned AS (
+  SELECT k, label, n, o, weights, list_transform(range(0, len(slots)), lambda p: list_transform(range(0, {2 * licenses.SLACK + 1}), lambda q:
+           CASE WHEN o + p + q >= {licenses.SLACK} AND ws[(o + p + q - {licenses.SLACK - 1})::INT] = slots[p + 1] THEN weights[p + 1] ELSE 0::DOUBLE END)) AS hits
+  FROM sure JOIN weighted USING (n)),
+scored AS (
+  SELECT k, label, n, o, list_reduce(hits, lambda f, x: list_transform(range(1, {2 * licenses.SLACK + 2}), lambda q: list_max(list_transform(range(1, q + 1), lambda r: greatest(f[least(r + 1, {2 * licenses.SLACK + 1})], f[r] + x[r])))),
+           list_transform(range(0, {2 * licenses.SLACK + 1}), lambda q: 0::DOUBLE))[{2 * licenses.SLACK + 1}] / list_sum(weights) AS score FROM aligned),
 best AS (SELECT k, list(DISTINCT label) AS labels, max(score) AS score FROM scored WHERE score >= {licenses.MIN_SCORE} GROUP BY k),
 places AS (SELECT d.k, f.label, i.i FROM d, phrases f, LATERAL (SELECT unnest(range(0, len(d.ws))) AS i) i WHERE list_has_any(d.ws, {keys}) AND list_slice(d.ws, i.i + 1, i.i + len(f.ws)) = f.ws),
 base AS (SELECT k, count(*) AS n, min(i) AS first_word, max(i) AS last_word, list(DISTINCT label) AS labels FROM places GROUP BY k)

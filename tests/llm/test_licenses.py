@@ -57,8 +57,20 @@ def test_templates_beyond_twelve_rare_words(spark):
     assert found == {0: "bsd,cc,mit"} | {i: "cc" for i in range(1, 9)}
 
 
+def plain_alignment(template, weights, words, begin):
+    """The greatest weight of template words found in order, none more than SLACK off its place; all places are tried."""
+    best = [0.0] * (len(words) + 1)  # with the words up to there
+    for p, w in enumerate(template):
+        new = list(best)
+        for j, word in enumerate(words):
+            fits = word == w and abs(j - begin - p) <= licenses.SLACK
+            new[j + 1] = max(new[j], best[j + 1], best[j] + weights[p] if fits else 0.0)
+        best = new
+    return best[-1]
+
+
 def plain_scan(texts):
-    """Every template at every place: labels and score of each text."""
+    """Every template at every place of its key phrase: labels and score of each text."""
     split = [re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", "".join(c.lower() if "A" <= c <= "Z" else c for c in t or "")) for t in texts]
     templates = licenses.prepare()
     idf = {w: math.log((len(split) + 1) / (sum(w in d for d in map(set, split)) + 1)) + 1e-6 for t in templates for w in t["words"]}
@@ -67,9 +79,12 @@ def plain_scan(texts):
         labels, best = set(filter(None, base(text)[4].split(","))), 0.0
         for t in templates:
             key, at = t["key"], t["key_at"]
+            weights = [idf[w] for w in t["words"]]
             for i in range(len(words)):
                 if words[i : i + len(key)] == key:
-                    score = sum(idf[w] for p, w in enumerate(t["words"]) if 0 <= i - at + p < len(words) and words[i - at + p] == w) / sum(idf[w] for w in t["words"])
+                    low = max(i - at - licenses.SLACK - 1, 0)
+                    near = words[low : i - at + len(weights) + licenses.SLACK + 1]
+                    score = plain_alignment(t["words"], weights, near, i - at - low) / sum(weights)
                     if score >= licenses.MIN_SCORE:
                         labels.add(t["label"])
                         best = max(best, score)
@@ -77,6 +92,43 @@ def plain_scan(texts):
     return out
 
 
+def test_edits_outside_the_key_phrase_keep_the_label(spark):
+    """Up to three words inserted, dropped or changed at any places; and up to three at each one place of the longer texts."""
+    rng = random.Random(13)
+    templates = licenses.prepare()
+    cases = []
+    for t in templates:
+        words, key = t["words"], range(t["key_at"], t["key_at"] + len(t["key"]))
+        others = [p for p in range(len(words)) if p not in key]
+        edits = [[(kind, p)] * 3 for p in others[:: max(len(others) // 12, 1)] for kind in ("insert", "change")]
+        edits += [[(rng.choice(["insert", "drop", "change"]), p) for p in rng.sample(others, min(3, len(others)))] for _ in range(25)]
+        for chosen in edits:
+            out = [[w] for w in words]
+            for kind, p in chosen:
+                out[p] = {"insert": ["other", *out[p]], "drop": [], "change": ["changed"]}[kind]
+            cases.append((t["label"], " ".join(w for part in out for w in part)))
+    filler = ["some words of a work in the house by the river and for the people of this land " * 3] * 600
+    texts = [text for _, text in cases] + filler
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(8)
+    found = {r.doc_id: r.labels for r in licenses.scan(df).collect()}
+    lost = [(label, text) for i, (label, text) in enumerate(cases) if label not in found[i].split(",")]
+    assert not lost, lost[:3]
+    assert all(found[i] == "" for i in range(len(cases), len(texts)))
+
+
+def test_whole_texts_with_a_word_more(spark):
+    """The texts of which a single inserted word once took the label."""
+    cases = []
+    for label, text, _ in licenses.TEXTS:
+        words = text.split()
+        key = next(t for t in licenses.prepare() if t["words"] == licenses._spell(text))
+        cases += [(label, " ".join([*words[:at], "extra", *words[at:]])) for at in (1, 8, 12, 20, 30, 40) if not key["key_at"] <= at < key["key_at"] + len(key["key"])]
+    cases = [(label, text) for label, text in cases if len(text.split()) > 30]
+    df = spark.createDataFrame([(i, text) for i, (_, text) in enumerate(cases)] + [(1000 + i, "none of it") for i in range(100)], "doc_id long, text string")
+    rows = {r.doc_id: r for r in licenses.scan(df).collect()}
+    assert [i for i, (label, _) in enumerate(cases) if label not in rows[i].labels.split(",") or rows[i].score < 0.9] == []
+
+
 def test_any_mix_of_templates_keeps_all_labels(spark):
     rng = random.Random(21)
     filler = "some other words of the work that nobody licensed to any person".split()
