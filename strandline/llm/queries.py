@@ -199,7 +199,7 @@ QUERIES = {
 SQL = {
     "op2_mixing": r"""
 WITH sized AS (
-  SELECT doc_id, source, len(list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '')) AS size FROM documents),
+  SELECT doc_id, source, left(md5('0:' || coalesce(doc_id::VARCHAR, '') || ':' || coalesce(text, '')), 16) AS hash, len(list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '')) AS size FROM documents),
 sources AS (
   SELECT source, sum(size)::BIGINT AS source_size, (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1 AS weight FROM sized GROUP BY source),
 levels AS (
@@ -211,7 +211,7 @@ targets AS (
 ranked AS (
   SELECT doc_id, source, size, row_number() OVER (
     PARTITION BY source ORDER BY length(bin(size)) * 16 + list_reduce(list_transform(string_split(left(bin(size), 4), ''), lambda b: b::INT), lambda a, b: a * 2 + b),
-    ('0x' || substr(md5('0:' || coalesce(doc_id::VARCHAR, '')), 1, 8))::UBIGINT, doc_id, size) AS place
+    hash, doc_id, size) AS place
   FROM sized)
 SELECT doc_id, size, source_size, target,
   ((floor(place * (target / source_size) + start) - floor((place - 1) * (target / source_size) + start)) * size)::BIGINT AS taken

@@ -1,6 +1,8 @@
+import random
 from collections import defaultdict
 
 import pytest
+from pyspark.sql import functions as F
 
 from strandline.llm import mixing
 
@@ -51,3 +53,31 @@ def test_empty(spark):
     assert mixing.mix(none).count() == 0
     blank = spark.createDataFrame([(1, None, None)], "doc_id long, text string, source string")
     assert [tuple(r)[3:] for r in mixing.mix(blank).collect()] == [(0, 0, 0.0, 0, 0)]
+
+
+def test_many_rows_that_are_alike(spark, monkeypatch):
+    """Rows without ids and of one text fill many parts, and come out as one source's mix should."""
+    rows = spark.range(60_000).select(F.when(F.col("id") % 3 == 0, F.col("id")).alias("doc_id"), F.when(F.col("id") % 3 == 0, F.repeat(F.lit("w "), (F.col("id") % 9 + 1).cast("int"))).otherwise("a b c").alias("text"), F.lit("s").alias("source"))
+    rows = rows.unionByName(spark.range(3000).select((F.col("id") + 10**6).alias("doc_id"), F.lit("x y z").alias("text"), F.lit("other").alias("source")))
+    dealt = []
+    deal = mixing._deal_alike
+    monkeypatch.setattr(mixing, "_deal_alike", lambda *a: dealt.append(deal(*a)) or dealt[-1])
+    mixed = mixing.mix(rows).cache()
+    counts = dealt[0][0].groupBy("__source", "__class", *dealt[0][1]).count()
+    assert counts.count() > 10 and counts.agg(F.max("count")).first()[0] <= 2 * mixing.ALIKE * mixing.PART_ROWS
+    assert mixed.count() == 63_000
+    for r in mixed.groupBy("source").agg(F.sum("size").alias("size"), F.first("source_size").alias("source_size"), F.first("target").alias("target"), F.sum("taken").alias("taken"), F.max("copies").alias("copies")).collect():
+        assert r.size == r.source_size and abs(r.taken - r.target) <= 10 and r.copies <= 3
+    expected = shares({"s": mixed.filter("source = 's'").agg(F.sum("size")).first()[0], "other": 9000})
+    assert {r.source: r.target for r in mixed.select("source", "target").distinct().collect()} == pytest.approx(expected)
+
+
+def test_many_sources(spark):
+    """Names in order take their weights in turn; no window holds all of them, and shares match the plain rule."""
+    rng = random.Random(4)
+    sizes = {f"{rng.getrandbits(40):x}.example" + "é" * (i % 2): int(1.6 ** rng.randint(0, 30)) for i in range(3000)} | {None: 55, "": 3}
+    sources = spark.createDataFrame(list(sizes.items()), "source string, source_size long").repartition(7)
+    plan = mixing._by_name(sources)
+    assert [r.source for r in plan.orderBy("place").collect()] == sorted(n for n in sizes if n is not None) + [None]
+    got = {r.source: r.target for r in mixing.targets(sources, (1, 2, 3), 3).collect()}
+    assert got == pytest.approx(shares(sizes))
