@@ -19,7 +19,7 @@ from strandline.llm.text import whole, words
 from strandline.workspace import materialize
 
 #: Rows meant for one part of a size class, and at most so many bits that split a class into parts.
-PART_ROWS, MOST_BITS = 256, 20
+PART_ROWS, MOST_BITS = 512, 20
 #: A part with so many times the rows meant for it holds rows that are alike; those are dealt out by their place in the table.
 ALIKE = 16
 
@@ -88,9 +88,13 @@ def mix(docs: DataFrame, weights: Sequence[int] = (1, 2, 3), most: int = 3, seed
     count = docs.count()
     bits = min(MOST_BITS, max(0, math.ceil(math.log2(max(count, 1) / PART_ROWS))))
     rows = rows.withColumn("__part", F.expr(f"shiftright(cast(conv(substring(__hash, 1, 8), 16, 10) as long), {32 - bits})"))
-    rows, keys = _deal_alike(rows, ALIKE * max(PART_ROWS, count >> bits), bits)
-
-    parts = materialize(rows.groupBy("__source", "__class", *keys).agg(F.count("*").alias("n"), F.sum("size").alias("words")), "mix-parts")
+    summed = lambda rows, *keys: materialize(rows.groupBy("__source", "__class", *keys).agg(F.count("*").alias("n"), F.sum("size").alias("words")), "mix-parts")
+    parts, keys = summed(rows, "__part"), ["__part"]
+    limit = ALIKE * max(PART_ROWS, count >> bits)
+    large = parts.filter(F.col("n") > limit)
+    if not large.isEmpty():
+        rows, keys = _deal_alike(rows, large, limit, bits)
+        parts = summed(rows, *keys)
     earlier = lambda of, order: F.coalesce(F.sum("n").over(Window.partitionBy(*of).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     classes = parts.groupBy("__source", "__class").agg(F.sum("n").alias("n")).withColumn("__before_class", earlier(["__source"], ["__class"])).drop("n")
     within = parts.withColumn("__before_part", earlier(["__source", "__class"], keys)).drop("n", "words")
@@ -111,19 +115,16 @@ def mix(docs: DataFrame, weights: Sequence[int] = (1, 2, 3), most: int = 3, seed
     )
 
 
-def _deal_alike(rows: DataFrame, limit: int, bits: int) -> tuple[DataFrame, list[str]]:
+def _deal_alike(rows: DataFrame, large: DataFrame, limit: int, bits: int) -> tuple[DataFrame, list[str]]:
     """``rows`` with what splits a size class, and these columns; no part has many times ``limit`` rows.
 
-    Hashes follow id and text, so a part beyond ``limit`` holds one hash very often.
-    Such hashes, no more than there are parts and halves of ``limit`` in the table,
-    are looked for in these parts alone and get parts of their own, by the rows' places.
+    Hashes follow id and text, so the ``large`` parts, those beyond ``limit``, hold one hash
+    very often. Such hashes are looked for in these parts alone and get parts of their
+    own, by the rows' places. Both lists are short: their rows have to be in the table.
     """
     place = ["__source", "__class", "__part"]
-    large = rows.groupBy(*place).agg(F.count("*").alias("n")).filter(F.col("n") > limit)
-    large = materialize(large.select(*[F.col(c).alias(f"l{c}") for c in place]), "mix-large")
-    if large.isEmpty():
-        return rows, ["__part"]
-    inside = rows.select(*place, "__hash").join(F.broadcast(large), F.expr(" AND ".join(f"{c} <=> l{c}" for c in place)), "left_semi")
+    told = F.broadcast(large.select(*[F.col(c).alias(f"l{c}") for c in place]))
+    inside = rows.select(*place, "__hash").join(told, F.expr(" AND ".join(f"{c} <=> l{c}" for c in place)), "left_semi")
     often = inside.groupBy("__source", "__class", "__hash").agg(F.ceil(F.count("*") / limit).cast("int").alias("__slices")).filter("__slices > 1")
     often = materialize(often.withColumnsRenamed({c: f"l{c}" for c in ("__source", "__class", "__hash")}), "mix-alike")
     same = F.expr(" AND ".join(f"{c} <=> l{c}" for c in ("__source", "__class", "__hash")))
