@@ -94,10 +94,10 @@ def preview(text: Column | str, size: int = 500) -> Column:
     return first_bytes(text, size, "...")
 
 
-def read_head(text: Column | str, size: int = 50 * 1024) -> Column:
-    """What the file reader returns: the first 50 KB and a notice."""
+def read_head(text: Column | str, size: int = 50 * 1024, total: Column | None = None) -> Column:
+    """What the file reader returns: the first 50 KB and a notice; ``total`` are the file's bytes where the text is its beginning alone."""
     # fixed value: the notice
-    return first_bytes(text, size, F.concat(F.lit("\n\n[truncated — file is "), F.octet_length(as_column(text)), F.lit(f" bytes, showing first {size} bytes]")))
+    return first_bytes(text, size, F.concat(F.lit("\n\n[truncated — file is "), F.octet_length(as_column(text)) if total is None else total, F.lit(f" bytes, showing first {size} bytes]")))
 
 
 def argument_preview(text: Column | str) -> Column:

@@ -1,42 +1,163 @@
-"""Optional approximate nearest vectors: signs of random projections, in bands.
+"""Approximate nearest vectors: lists of vectors around trained centers.
 
-The exact search stays the default. A vector's signs against a fixed set of
-random directions give one bucket a band; a query looks only at vectors that
-share a bucket with it, whose distances are then exact.
+The exact search stays the default. Centers are fitted by k-means over at most
+SAMPLE vectors at length one; every vector is dealt to the list of its nearest
+center. Lists are written apart from each other, so a search that looks into a few
+lists reads these alone; distances inside them are exact. Vectors that come later
+go to the lists of the present centers until these are trained again.
 """
 
 from __future__ import annotations
 
-import random
+import math
+from collections.abc import Iterator
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pyarrow as pa
+from pyspark.ml.clustering import KMeans
+from pyspark.ml.functions import array_to_vector
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandline.functions import vectors
+from strandline.schemas import CENTERS
 
-BANDS, BITS = 12, 6
+#: Vectors that centers are fitted to at most, and lists at most; both bound what one task and the driver hold.
+SAMPLE, MOST_LISTS = 200_000, 4096
+#: So many vectors are looked for to choose how many lists a search looks into, so that this share of the so many nearest is found.
+ASKED, NEAREST, FOUND = 128, 10, 0.95
+#: Vectors that are dealt together.
+_TOGETHER = 1024
+_ROUNDS = 10
 
 
-def buckets(vector: Column, dimension: int, bands: int = BANDS, bits: int = BITS, seed: int = 17) -> Column:
-    """An array of one number for each band, band and signs together."""
-    rng = random.Random(seed)
-    out = []
-    for band in range(bands):
-        signs = F.lit(band << bits)
-        for bit in range(bits):
-            plane = F.array(*[F.lit(rng.gauss(0, 1)) for _ in range(dimension)])
-            signs = signs + F.when(vectors.dot(vector, plane) > 0, 1 << bit).otherwise(0)
-        out.append(signs)
-    return F.array(*out)
+def list_count(total: int) -> int:
+    return max(1, min(MOST_LISTS, math.isqrt(total)))
 
 
-def build(embeddings: DataFrame, dimension: int) -> DataFrame:
-    """The index table: chunk_id, vector and bucket, one row a band; write it partitioned or bucketed by bucket."""
-    return embeddings.select("chunk_id", "vector", F.explode(buckets(F.col("vector"), dimension)).alias("bucket"))
+def train(embeddings: DataFrame, total: int | None = None, seed: int = 1) -> DataFrame:
+    """The centers (list, center) for ``embeddings`` (vector); of few vectors there is one list, whose center has no values."""
+    total = embeddings.count() if total is None else total
+    some = embeddings.filter("vector is not null").select(vectors.unit("vector").alias("vector"))
+    some = some if total <= SAMPLE else some.sample(SAMPLE / total, seed)
+    rows = some.select(array_to_vector("vector").alias("features")).persist()
+    try:
+        if list_count(total) == 1 or rows.isEmpty():
+            found = [[]]
+        else:
+            found = [list(map(float, c)) for c in KMeans(k=list_count(total), maxIter=_ROUNDS, seed=seed).fit(rows).clusterCenters()]
+    finally:
+        rows.unpersist()
+    return embeddings.sparkSession.createDataFrame(list(enumerate(found)), CENTERS)
 
 
-def nearest(index: DataFrame, query: Column, dimension: int, k: int) -> DataFrame:
-    """The k nearest of the vectors that share a bucket with the query; the bucket filter reaches the scan."""
-    wanted = index.sparkSession.range(1).select(buckets(query, dimension).alias("b")).first().b
-    found = index.filter(F.col("bucket").isin(wanted)).dropDuplicates(["chunk_id"])
+def _matrix(centers: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """List numbers and centers at length one; at most MOST_LISTS rows."""
+    rows = sorted(centers.collect())
+    matrix = np.array([r.center for r in rows], np.float64).reshape(len(rows), -1)
+    size = np.linalg.norm(matrix, axis=1, keepdims=True)
+    return np.array([r.list for r in rows], np.int32), np.divide(matrix, size, out=np.zeros_like(matrix), where=size > 0)
+
+
+def deal(embeddings: DataFrame, centers: DataFrame) -> DataFrame:
+    """chunk_id, vector and list of each row of ``embeddings`` that has a vector; no shuffle."""
+    told = embeddings.sparkSession.sparkContext.broadcast(_matrix(centers))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        numbers, matrix = told.value
+        for batch in batches:
+            for begin in range(0, batch.num_rows, _TOGETHER):
+                some = batch.slice(begin, _TOGETHER)
+                values = np.nan_to_num(some.column(1).flatten().to_numpy(zero_copy_only=False).reshape(some.num_rows, -1).astype(np.float64))
+                nearest_center = _order(values, matrix)[:, 0]
+                yield pa.RecordBatch.from_arrays([*some.columns, pa.array(numbers[nearest_center], pa.int32())], names=["chunk_id", "vector", "list"])
+
+    rows = embeddings.select("chunk_id", "vector").filter("vector is not null")
+    return rows.mapInArrow(run, rows.withColumn("list", F.lit(0)).schema)
+
+
+def _order(values: np.ndarray, matrix: np.ndarray) -> np.ndarray:
+    """For each row of ``values`` the centers' places, nearest first."""
+    if not matrix.shape[1]:
+        return np.zeros((len(values), 1), np.int64)
+    return np.argsort(-(values @ matrix.T), axis=1, kind="stable")
+
+
+def calibrate(dealt: DataFrame, centers: DataFrame, asked: int = ASKED, k: int = NEAREST, found: float = FOUND) -> int:
+    """How many lists hold ``found`` of the k nearest vectors, as ``asked`` vectors see it, picked by a hash of their ids.
+
+    Each task holds these few against its vectors in blocks and passes on its k nearest of each.
+    """
+    numbers, matrix = _matrix(centers)
+    picked = [r.vector for r in dealt.orderBy(F.xxhash64("chunk_id"), "chunk_id").select("vector").limit(asked).collect()]
+    if not picked or len(numbers) == 1:
+        return 1
+    queries = np.nan_to_num(np.array(picked, np.float64))
+    told = dealt.sparkSession.sparkContext.broadcast(queries)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best, lists = np.full((len(told.value), 0), 0.0), np.full((len(told.value), 0), 0, np.int32)
+        for batch in batches:
+            for begin in range(0, batch.num_rows, _TOGETHER):
+                some = batch.slice(begin, _TOGETHER)
+                values = np.nan_to_num(some.column(0).flatten().to_numpy(zero_copy_only=False).reshape(some.num_rows, -1).astype(np.float64))
+                size = np.linalg.norm(values, axis=1)
+                close = np.divide(told.value @ values.T, size, out=np.zeros((len(told.value), some.num_rows)), where=size > 0)
+                best = np.concatenate([best, close], axis=1)
+                lists = np.concatenate([lists, np.broadcast_to(some.column(1).to_numpy(), close.shape)], axis=1)
+                keep = np.argsort(-best, axis=1, kind="stable")[:, :k]
+                best, lists = np.take_along_axis(best, keep, 1), np.take_along_axis(lists, keep, 1)
+        if best.shape[1]:
+            query = np.repeat(np.arange(len(best)), best.shape[1])
+            yield pa.RecordBatch.from_arrays([pa.array(query), pa.array(best.ravel()), pa.array(lists.ravel())], names=["query", "close", "list"])
+
+    hits = dealt.select("vector", "list").mapInArrow(run, "query long, close double, list int")
+    rank = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("close")))
+    rows = hits.withColumn("rank", rank).filter(F.col("rank") <= k).select("query", "list").collect()  # asked x k
+    order = _order(queries, matrix)
+    place = np.empty_like(order)
+    np.put_along_axis(place, order, np.arange(order.shape[1])[None, :].repeat(len(order), 0), 1)
+    at = {number: i for i, number in enumerate(numbers.tolist())}
+    needed = sorted(int(place[r.query, at[r.list]]) + 1 for r in rows)
+    return needed[min(math.ceil(found * len(needed)), len(needed)) - 1]
+
+
+def nearest(dealt: DataFrame, centers: DataFrame, query: Column, k: int, probes: int) -> DataFrame:
+    """chunk_id and distance of the k nearest vectors in the ``probes`` lists nearest to the query; the lists' filter prunes the scan."""
+    ranked = centers.select("list", vectors.cosine_distance("center", query).alias("distance")).orderBy(F.asc_nulls_last("distance"), "list")
+    wanted = [r.list for r in ranked.limit(probes).collect()]
+    found = dealt.filter(F.col("list").isin(wanted))
     return found.select("chunk_id", vectors.cosine_distance("vector", query).alias("distance")).orderBy(F.asc_nulls_last("distance"), "chunk_id").limit(k)
+
+
+def nearest_of_many(dealt: DataFrame, centers: DataFrame, queries: DataFrame, k: int, probes: int) -> DataFrame:
+    """query_id, chunk_id, distance and rank (from 1) for each of ``queries`` (query_id, vector).
+
+    Queries are dealt to the lists they look into and meet the vectors there. Each
+    list's and task's own k best are cut before a query's hits meet.
+    """
+    numbers, matrix = _matrix(centers)
+    told = dealt.sparkSession.sparkContext.broadcast((numbers, matrix))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        numbers, matrix = told.value
+        for batch in batches:
+            for begin in range(0, batch.num_rows, _TOGETHER):
+                some = batch.slice(begin, _TOGETHER)
+                values = np.nan_to_num(some.column(1).flatten().to_numpy(zero_copy_only=False).reshape(some.num_rows, -1).astype(np.float64))
+                near = _order(values, matrix)[:, :probes]
+                rows = some.take(pa.array(np.repeat(np.arange(some.num_rows), near.shape[1])))
+                yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(numbers[near.ravel()], pa.int32())], names=["query_id", "wanted", "list"])
+
+    asked = queries.select("query_id", F.col("vector").alias("wanted")).filter("wanted is not null")
+    asked = asked.mapInArrow(run, asked.withColumn("list", F.lit(0)).schema)
+    hits = dealt.join(asked, "list").select("query_id", "list", "chunk_id", vectors.cosine_distance("vector", "wanted").alias("distance"))
+    best = Window.partitionBy("query_id").orderBy(F.asc_nulls_last("distance"), "chunk_id")
+    own = hits.withColumn("__part", F.spark_partition_id()).withColumn("rank", F.row_number().over(Window.partitionBy("query_id", "__part").orderBy(F.asc_nulls_last("distance"), "chunk_id"))).filter(F.col("rank") <= k)
+    return own.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select("query_id", "chunk_id", "distance", "rank")
+
+
+def recall(found: DataFrame, exact: DataFrame) -> float:
+    """The share of the rows of ``exact`` (query_id, chunk_id) that are in ``found``."""
+    both = exact.join(found.select("query_id", "chunk_id").withColumn("hit", F.lit(1)), ["query_id", "chunk_id"], "left")
+    return both.agg(F.coalesce(F.avg(F.coalesce("hit", F.lit(0))), F.lit(1.0))).first()[0]

@@ -38,15 +38,20 @@ def nearest(embeddings: DataFrame, query: Column, k: int, id_col: str = "chunk_i
     return scored.orderBy(F.asc_nulls_last("distance"), id_col).limit(k)
 
 
-def semantic(chunks: DataFrame, embeddings: DataFrame, query: Column, k: int, content_type: str = "", exact: bool = False, id_col: str = "chunk_id", vector_col: str = "vector") -> DataFrame:
+Near = Callable[[int], DataFrame]
+
+
+def semantic(chunks: DataFrame, embeddings: DataFrame, query: Column, k: int, content_type: str = "", exact: bool = False, id_col: str = "chunk_id", vector_col: str = "vector", near: Near | None = None) -> DataFrame:
     """The nearest chunks to a query vector.
 
     A content type is looked at after ``candidates`` have been cut off, so there may
     be fewer than k rows; ``exact`` looks first. The cut comes before the join, which sends its few rows to the chunks.
+    ``near`` finds the nearest ids and distances in place of the exact search.
     """
     if content_type and exact:
         embeddings = embeddings.join(chunks.filter(F.col("content_type") == content_type).select(id_col), id_col, "left_semi")
-    ranked = nearest(embeddings, query, candidates(k, bool(content_type) and not exact), id_col, vector_col)
+    count = candidates(k, bool(content_type) and not exact)
+    ranked = near(count) if near else nearest(embeddings, query, count, id_col, vector_col)
     found = chunks.join(F.broadcast(ranked) if k <= SENT_ROWS else ranked, id_col)
     if content_type:
         found = found.filter(F.col("content_type") == content_type)
@@ -76,10 +81,10 @@ def fuse(by_vector: DataFrame, by_word: DataFrame, k: int, weights: tuple[float,
     return merged.orderBy("distance", id_col).limit(k)
 
 
-def hybrid(chunks: DataFrame, embeddings: DataFrame, query: str, vector: Column, k: int, content_type: str = "", weights: tuple[float, float] = (SEMANTIC_WEIGHT, KEYWORD_WEIGHT), id_col: str = "chunk_id", vector_col: str = "vector", content: str = "content") -> DataFrame:
+def hybrid(chunks: DataFrame, embeddings: DataFrame, query: str, vector: Column, k: int, content_type: str = "", weights: tuple[float, float] = (SEMANTIC_WEIGHT, KEYWORD_WEIGHT), id_col: str = "chunk_id", vector_col: str = "vector", content: str = "content", near: Near | None = None) -> DataFrame:
     """Both searches at twice the rows, fused."""
-    near = semantic(chunks, embeddings, vector, 2 * k, content_type, id_col=id_col, vector_col=vector_col)
-    return fuse(near, keyword(chunks, query, 2 * k, content_type, id_col, content), k, weights, id_col)
+    by_vector = semantic(chunks, embeddings, vector, 2 * k, content_type, id_col=id_col, vector_col=vector_col, near=near)
+    return fuse(by_vector, keyword(chunks, query, 2 * k, content_type, id_col, content), k, weights, id_col)
 
 
 def fuse_ranks(by_vector: DataFrame, by_word: DataFrame, k: int, constant: int = 60, id_col: str = "chunk_id") -> DataFrame:
@@ -115,14 +120,14 @@ def rank_change(before: DataFrame, after: DataFrame, id_col: str = "chunk_id") -
     return new.join(old, id_col).select(id_col, "was", "now", (F.col("was") - F.col("now")).alias("rose"))
 
 
-def search(chunks: DataFrame, embeddings: DataFrame, query: str, k: int, strategy: str = "semantic", content_type: str = "", embed: Callable[[Column], Column] | None = None, dimension: int = 64) -> DataFrame:
+def search(chunks: DataFrame, embeddings: DataFrame, query: str, k: int, strategy: str = "semantic", content_type: str = "", embed: Callable[[Column], Column] | None = None, dimension: int = 64, near: Near | None = None) -> DataFrame:
     """Any strategy by name: keyword, hybrid, or else semantic."""
     vector = (embed or (lambda text: vectors.hash_embedding(text, dimension)))(F.lit(query))
     if strategy == "keyword":
         return keyword(chunks, query, k, content_type)
     if strategy == "hybrid":
-        return hybrid(chunks, embeddings, query, vector, k, content_type)
-    return semantic(chunks, embeddings, vector, k, content_type)
+        return hybrid(chunks, embeddings, query, vector, k, content_type, near=near)
+    return semantic(chunks, embeddings, vector, k, content_type, near=near)
 
 
 def api_projection(results: DataFrame, files: DataFrame) -> DataFrame:

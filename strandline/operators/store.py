@@ -1,17 +1,24 @@
-"""Table changes as pure functions from the old table to the new, and a store that swaps versions.
+"""Table changes as pure functions from the old table to the new, and a store whose changes land together.
 
-Files on a cluster can't be changed in place: a changed table is written beside the
-old one and then named current, so a lost job leaves the old state.
+Files on a cluster can't be changed in place: changed rows are written beside the
+old ones, and one file of the commit log then names the folders of all tables. A
+lost job leaves rows that no commit names; readers keep the commit they began with.
 """
 
 from __future__ import annotations
 
+import time
 import uuid
+from collections.abc import Callable
+from typing import TypeVar
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandline.schemas import KEYS, TABLES
+from strandline.operators.commits import Busy, CommitLog, Conflict, LeaseLost, State
+from strandline.schemas import KEYS, PARTITIONED, TABLES
+
+T = TypeVar("T")
 
 
 def upsert(target: DataFrame, source: DataFrame, key: str) -> DataFrame:
@@ -46,69 +53,164 @@ def probe_cache(chunks: DataFrame, cache: DataFrame) -> DataFrame:
     return chunks.join(cache.select("content_hash", "vector"), "content_hash", "left")
 
 
-class Store:
-    """An index as a folder of versioned Parquet tables."""
+def columns_of(table: str) -> list[str]:
+    return [column.split()[0] for column in TABLES[table].split(", ")]
 
-    def __init__(self, spark: SparkSession, root: str):
-        self.spark, self.root = spark, root.rstrip("/")
 
-    def _fs(self, path: str):
-        jvm = self.spark.sparkContext._jvm
-        at = jvm.org.apache.hadoop.fs.Path(path)
-        return at.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), at
+class Snapshot:
+    """The tables as one commit names them."""
 
-    def _current(self, table: str) -> str | None:
-        """The version that the newest pointer names; a pointer appears by a rename, whole or not at all."""
-        fs, at = self._fs(f"{self.root}/{table}/current")
-        if not fs.exists(at):
-            return None
-        names = sorted(s.getPath().getName() for s in fs.listStatus(at))
-        return names[-1].split("-", 1)[1] if names else None
+    def __init__(self, store: Store, state: State):
+        self.store, self.state = store, state
 
     def read(self, table: str) -> DataFrame:
-        version = self._current(table)
-        if version is None:
-            return self.spark.createDataFrame([], TABLES[table])
-        return self.spark.read.schema(TABLES[table]).parquet(f"{self.root}/{table}/{version}")
+        folders = self.state.tables.get(table, [])
+        if not folders:
+            return self.store.spark.createDataFrame([], TABLES[table])
+        rows = self.store.spark.read.schema(TABLES[table])
+        if table in PARTITIONED:
+            rows = rows.option("basePath", f"{self.store.root}/{table}")
+        return rows.parquet(*[f"{self.store.root}/{folder}" for folder in folders]).select(*columns_of(table))
 
-    def replace(self, table: str, rows: DataFrame) -> None:
-        version = uuid.uuid4().hex
-        rows.select(*self.spark.createDataFrame([], TABLES[table]).columns).write.parquet(f"{self.root}/{table}/{version}")
-        fs, folder = self._fs(f"{self.root}/{table}/current")
-        fs.mkdirs(folder)
-        newest = max((int(s.getPath().getName().split("-", 1)[0]) for s in fs.listStatus(folder)), default=0)
-        fs.create(self._fs(f"{self.root}/{table}/current/{newest + 1:012d}-{version}")[1], False).close()
+    def get_metadata(self, key: str) -> str | None:
+        row = self.read("metadata").filter(F.col("key") == key).select("value").first()
+        return row and row[0]
+
+
+class Transaction(Snapshot):
+    """Changes of several tables; reads see them, others see none or all, from ``commit`` on.
+
+    ``append`` is for rows whose keys the caller knows to be new.
+    """
+
+    def __init__(self, store: Store, state: State, fence: int | None):
+        super().__init__(store, State(state.version, dict(state.tables), state.lease))
+        self.base, self.fence = state, fence
+
+    def _write(self, table: str, rows: DataFrame) -> str:
+        folder = f"{table}/run={uuid.uuid4().hex}"
+        rows, by = rows.select(*columns_of(table)), PARTITIONED.get(table, [])
+        rows = rows.hint("rebalance", *by) if by else rows
+        rows.write.partitionBy(*by).parquet(f"{self.store.root}/{folder}")
+        return folder
 
     def append(self, table: str, rows: DataFrame) -> None:
-        """Add rows whose keys the caller knows to be new."""
-        version = self._current(table)
-        if version is None:
-            self.replace(table, rows)
-        else:
-            rows.select(*self.read(table).columns).write.mode("append").parquet(f"{self.root}/{table}/{version}")
+        self.state.tables[table] = [*self.state.tables.get(table, []), self._write(table, rows)]
+
+    def replace(self, table: str, rows: DataFrame) -> None:
+        self.state.tables[table] = [self._write(table, rows)]
 
     def upsert(self, table: str, rows: DataFrame) -> None:
+        """A row's key is there once, also if ``rows`` has it twice: a guard, as files can't have unique keys."""
         rows = typed(rows) if table == "chunks" else rows
-        self.replace(table, upsert(self.read(table), rows, KEYS[table]))
+        self.replace(table, upsert(self.read(table), rows.dropDuplicates([KEYS[table]]), KEYS[table]))
 
     def delete_files(self, gone: DataFrame) -> None:
-        """Chunks and embeddings first: a lost job leaves a file without chunks, never chunks without a file."""
+        """Files, their chunks and embeddings, and these in the approximate index; gone (file_id) is read several times."""
+        lost = self.read("chunks").join(gone.select("file_id"), "file_id", "left_semi").select("chunk_id")
+        listed = self.read("lists").join(lost, "chunk_id", "left_anti") if self.state.tables.get("lists") else None
         files, chunks, embeddings = delete_files(self.read("files"), self.read("chunks"), self.read("embeddings"), gone)
-        for table, rows in (("embeddings", embeddings), ("chunks", chunks), ("files", files)):
-            self.replace(table, rows)
+        for table, rows in (("embeddings", embeddings), ("chunks", chunks), ("files", files), ("lists", listed)):
+            if rows is not None:
+                self.replace(table, rows)
+
+    def clear(self, *tables: str) -> None:
+        """Empty the index, or ``tables``; its cache and metadata stay."""
+        for table in tables or ("embeddings", "chunks", "files", "lists", "centers"):
+            self.state.tables[table] = []
+
+    def drop(self) -> None:
+        self.clear(*TABLES)
+
+    def set_metadata(self, **values: str) -> None:
+        self.upsert("metadata", self.store.spark.createDataFrame(list(values.items()), TABLES["metadata"]))
+
+    def changed(self) -> dict[str, list[str]]:
+        return {t: f for t, f in self.state.tables.items() if f != self.base.tables.get(t, [])}
+
+
+class Store:
+    """An index as a folder of tables and a commit log."""
+
+    def __init__(self, spark: SparkSession, root: str, clock: Callable[[], float] = time.time):
+        self.spark, self.root = spark, root.rstrip("/")
+        self.log = CommitLog(spark, f"{self.root}/log", clock)
+
+    def snapshot(self) -> Snapshot:
+        return Snapshot(self, self.log.newest())
+
+    def read(self, table: str) -> DataFrame:
+        return self.snapshot().read(table)
+
+    def begin(self, fence: int | None = None) -> Transaction:
+        return Transaction(self, self.log.newest(), fence)
+
+    def commit(self, changes: Transaction) -> int:
+        """Land the changes; a table that others changed meanwhile is a Conflict, other tables' changes stay beside."""
+        wanted = changes.changed()
+        while True:
+            now = self.log.newest()
+            self.log.may_write(now, changes.fence)
+            moved = [t for t in wanted if now.tables.get(t, []) != changes.base.tables.get(t, [])]
+            if moved:
+                raise Conflict(f"changed meanwhile: {', '.join(sorted(moved))}")
+            if not wanted:
+                return now.version
+            if self.log.claim(State(now.version + 1, now.tables | wanted, now.lease)):
+                return now.version + 1
+
+    def run(self, work: Callable[[Transaction], T], fence: int | None = None, attempts: int = 5) -> T:
+        """``work`` and its commit; done again from the newest state where others came first."""
+        for attempt in range(attempts):
+            changes = self.begin(fence)
+            out = work(changes)
+            try:
+                self.commit(changes)
+                return out
+            except Conflict:
+                if attempt == attempts - 1:
+                    raise
+        raise AssertionError
+
+    def append(self, table: str, rows: DataFrame) -> None:
+        self.run(lambda t: t.append(table, rows))
+
+    def replace(self, table: str, rows: DataFrame) -> None:
+        self.run(lambda t: t.replace(table, rows))
+
+    def upsert(self, table: str, rows: DataFrame) -> None:
+        self.run(lambda t: t.upsert(table, rows))
+
+    def delete_files(self, gone: DataFrame) -> None:
+        self.run(lambda t: t.delete_files(gone))
 
     def clear(self) -> None:
-        """Empty the index; its cache and metadata stay."""
-        for table in ("embeddings", "chunks", "files"):
-            self.replace(table, self.spark.createDataFrame([], TABLES[table]))
+        self.run(lambda t: t.clear())
+
+    def drop(self) -> None:
+        self.run(lambda t: t.drop())
 
     def set_metadata(self, key: str, value: str) -> None:
-        self.upsert("metadata", self.spark.createDataFrame([(key, value)], TABLES["metadata"]))
+        self.run(lambda t: t.set_metadata(**{key: value}))
 
     def get_metadata(self, key: str) -> str | None:
-        row = self.read("metadata").filter(F.col("key") == key).select("value").first()
-        return row and row[0]
-
-    def drop(self) -> None:
-        fs, at = self._fs(self.root)
-        fs.delete(at, True)
+        return self.snapshot().get_metadata(key)
+
+    def compact(self, most: int = 32, fence: int | None = None) -> None:
+        """Tables of more than ``most`` folders become one folder each."""
+        self.run(lambda t: [t.replace(table, t.read(table)) for table, folders in dict(t.state.tables).items() if len(folders) > most] and None, fence)
+
+    def vacuum(self, keep: int = 10) -> int:
+        """Delete what none of the last ``keep`` commits names: folders of lost runs too, so no other writer may be at work. Returns how many folders went."""
+        lease = self.log.newest().lease
+        if lease and lease["expires"] > self.log.clock():
+            raise Busy("a writer is at work")
+        named = {folder for state in self.log.last(keep) for folders in state.tables.values() for folder in folders}
+        self.log.forget(keep)
+        gone = [f"{table}/{name}" for table in TABLES for name in self.log.names(f"{self.root}/{table}") if f"{table}/{name}" not in named]
+        for folder in gone:
+            self.log.remove(f"{self.root}/{folder}")
+        return len(gone)
+
+
+__all__ = ["Busy", "Conflict", "LeaseLost", "Snapshot", "Store", "Transaction"]

@@ -4,17 +4,23 @@ from __future__ import annotations
 
 import hashlib
 import posixpath
+from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from strandline import workspace
 from strandline.functions import paths
 from strandline.functions.text import read_head
-from strandline.operators import changes, chunking, embedding, metadata, search, store
+from strandline.operators import ann, changes, chunking, embedding, metadata, search, store
 from strandline.sources import folder, pdf
 from strandline.workspace import materialize
 
-
+#: How long a writer that vanished keeps others out; a running one renews its lease.
+LEASE_SECONDS = 600.0
+COUNTED = ("new", "modified", "deleted")
+#: Fixed value: what the file reader returns of a file at most.
+READ_BYTES = 50 * 1024
 #: Types that the file reader refuses.
 UNREADABLE = {".pdf", ".png", ".jpg", ".jpeg", ".gif", ".bmp", ".tiff", ".ico", ".webp", ".exe", ".dll", ".so", ".dylib", ".bin", ".zip", ".gz", ".tar", ".rar", ".7z"}
 
@@ -23,60 +29,109 @@ class Index:
     """One folder's index under ``root``; the embedder can be replaced.
 
     PDFs take outside helpers: ``pdf_reader`` gives their pages' texts, ``pdf_images``
-    the images in them, ``renderer`` a picture of a whole page.
+    the images in them, ``renderer`` a picture of a whole page. ``approximate`` keeps
+    trained lists of the vectors beside them.
     """
 
-    def __init__(self, spark: SparkSession, source: str, root: str, dimension: int = 64, embed: embedding.Embedder | None = None, model: str = "offline", pdf_reader: pdf.Pages | None = None, pdf_images: pdf.Images | None = None, renderer: pdf.Renderer | None = None):
+    def __init__(self, spark: SparkSession, source: str, root: str, dimension: int = 64, embed: embedding.Embedder | None = None, model: str = "offline", pdf_reader: pdf.Pages | None = None, pdf_images: pdf.Images | None = None, renderer: pdf.Renderer | None = None, approximate: bool = False):
         self.spark, self.source, self.embed, self.model, self.pdf_reader = spark, source.rstrip("/"), embed or embedding.offline(dimension), model, pdf_reader
-        self.pdf_images, self.renderer = pdf_images, renderer
+        self.pdf_images, self.renderer, self.approximate = pdf_images, renderer, approximate
         self.store = store.Store(spark, f"{root.rstrip('/')}/{self.source.rsplit('/', 1)[-1]}-{hash_name(self.source)}")
 
-    def _listing(self) -> DataFrame:
-        """The folder now; bytes are read only for what has to be hashed."""
+    @cached_property
+    def dimension(self) -> int:
+        return embedding.detect_dimension(self.spark, self.embed)
+
+    def _listing(self, files: DataFrame) -> DataFrame:
+        """The folder now; bytes are read only of stored files whose hash decides. A file that can't be read is neither changed nor deleted."""
         listing = materialize(folder.scan(self.spark, self.source), "listing")
-        hashes = folder.contents(self.spark, self.source).join(changes.to_hash(listing, self.store.read("files")), "path", "left_semi").select("path", "file_hash")
+        deciding = changes.to_hash(listing, files).join(files.select("path"), "path", "left_semi")
+        hashes = materialize(folder.contents(listing.join(deciding, "path", "left_semi"), F.lit(False)), "hashes")
+        hashes = hashes.select("path", "file_hash", F.col("file_hash").isNull().alias("failed"))
         return listing.join(hashes, "path", "left")
 
-    def compared(self) -> DataFrame:
-        return materialize(changes.compare(self._listing(), self.store.read("files")), "compared")
+    def compared(self, files: DataFrame) -> DataFrame:
+        return materialize(changes.compare(self._listing(files), files), "compared")
 
     def update(self, mode: str = "both", incremental: bool = True) -> dict[str, int]:
-        """Bring the index up to date; returns the counts of files added, updated and deleted."""
-        if self.store.get_metadata("model") not in (None, self.model):
-            self.store.drop()
-        if not incremental:
-            self.store.clear()
-        compared = self.compared()
+        """Bring the index up to date; returns the counts of files added, updated and deleted.
+
+        All tables change in one commit, under the index's lease: readers see the
+        whole run or nothing of it, another writer is told that the index is Busy.
+        Nothing is written when nothing changed.
+        """
+        with workspace.scratch(self.spark):
+            before = self.store.snapshot()
+            same = before.get_metadata("model") == self.model and before.get_metadata("dimension") == str(self.dimension)
+            if incremental and same:
+                compared = self.compared(before.read("files"))
+                if changes.changes(compared).isEmpty():
+                    return dict.fromkeys(COUNTED, 0)
+            with self.store.log.lease(LEASE_SECONDS) as fence:
+                index = self.store.begin(fence)
+                if index.get_metadata("model") is not None and not same:
+                    index.drop()
+                if not incremental:
+                    index.clear()
+                if not (incremental and same and index.base.tables == before.state.tables):
+                    compared = self.compared(index.read("files"))
+                counts = self._update(index, compared, mode, incremental)
+                self.store.commit(index)
+        return counts
+
+    def _update(self, index: store.Transaction, compared: DataFrame, mode: str, incremental: bool) -> dict[str, int]:
         wanted, outdated = changes.resolve(compared, incremental)
         counts = dict(compared.groupBy("reason").count().collect())
         if incremental and (counts.get("modified", 0) or counts.get("deleted", 0)):
-            self.store.delete_files(outdated.select(paths.file_id("path").alias("file_id")))
-        self._forget_unrecorded(wanted)
-        files = folder.contents(self.spark, self.source).join(wanted, "path", "left_semi").join(compared.select("path", "file_type", "size", "modified_at"), "path")
+            index.delete_files(materialize(outdated.select(paths.file_id("path").alias("file_id")), "outdated"))
+        files = wanted.join(compared.select("path", "file_type", "size", "modified_at"), "path")
         files = files.withColumn("file_id", paths.file_id("path")).withColumn("kind", paths.kind("file_type"))
-        alone = chunking.takes(mode, F.when(F.col("kind") == "image", "image").otherwise("text"), F.lit(False))
-        files = materialize(files.filter(alone), "contents")
+        files = materialize(files.filter(chunking.takes(mode, F.when(F.col("kind") == "image", "image").otherwise("text"), F.lit(False))), "wanted")
+        long = (F.col("kind") == "text") & (F.col("size") > chunking.TEXT_LIMIT)
+        read = folder.contents(files.select("path", "size", "kind"), ~long)
+        files = materialize(files.join(read.filter("file_hash is not null"), "path"), "contents")
         chunks = materialize(self._chunks(files, mode), "chunks")
-        vectors, fresh = embedding.resolve(chunks, self.store.read("embedding_cache"), self.embed)
+        vectors, fresh = embedding.resolve(chunks, index.read("embedding_cache"), self.embed)
         vectors = materialize(vectors.select("chunk_id", "vector"), "vectors")
-        # a file whose chunks failed is not recorded, so the next run takes it up again; an over-long text has a row without chunks
-        long = (F.col("kind") == "text") & (F.col("size") > chunking.TEXT_LIMIT)
-        done = files.join(chunks.select("file_id").distinct().withColumn("has", F.lit(True)), "file_id", "left").filter(F.col("has") | long)
-        self.store.append("chunks", chunks)
-        self.store.append("embeddings", store.embedding_rows(vectors))
-        self.store.append("embedding_cache", fresh.withColumn("created_at", F.current_timestamp().cast("timestamp_ntz")))
-        self.store.append("files", done.withColumn("indexed_at", F.current_timestamp().cast("timestamp_ntz")))
-        for key, value in (("model", self.model), ("folder_path", self.source), ("schema_version", "2")):
-            self.store.set_metadata(key, value)
-        return {k: counts.get(k, 0) for k in ("new", "modified", "deleted")}
-
-    def _forget_unrecorded(self, wanted: DataFrame) -> None:
-        """Chunks and embeddings that a lost run left of the files to be done now: they would stand there twice."""
-        ids = wanted.select(paths.file_id("path").alias("file_id"))
-        if not self.store.read("chunks").join(ids, "file_id", "left_semi").isEmpty():
-            self.store.delete_files(materialize(ids, "unrecorded"))
+        # a file whose chunks failed is not recorded, so the next run takes it up again; one that is too large to be held has a row without chunks
+        done = files.join(chunks.select("file_id").distinct().withColumn("has", F.lit(True)), "file_id", "left").filter(F.col("has") | F.col("content").isNull())
+        new = store.embedding_rows(vectors)
+        index.append("chunks", chunks)
+        index.append("embeddings", new)
+        index.append("embedding_cache", store.new_cache_rows(index.read("embedding_cache"), fresh.withColumn("chunk_id", F.lit(""))).withColumn("created_at", F.current_timestamp().cast("timestamp_ntz")))
+        index.append("files", done.withColumn("indexed_at", F.current_timestamp().cast("timestamp_ntz")))
+        told = {"model": self.model, "dimension": str(self.dimension), "folder_path": self.source, "schema_version": "2"}
+        index.set_metadata(**told, **(self._lists(index, new, incremental) if self.approximate else {}))
+        return {k: counts.get(k, 0) for k in COUNTED}
+
+    def _lists(self, index: store.Transaction, new: DataFrame, incremental: bool) -> dict[str, str]:
+        """The approximate index after a run: trained again, or new vectors dealt to the present lists and the index marked stale; returns its metadata."""
+        vectors = index.read("embeddings")
+        total, trained = vectors.count(), int(index.get_metadata("lists_trained") or 0)
+        todo = embedding.rebuild_policy(trained, total) if incremental and trained else "rebuild"
+        if todo == "rebuild":
+            centers = materialize(ann.train(vectors, total), "centers")
+            index.clear("lists")
+            index.replace("centers", centers)
+            index.append("lists", ann.deal(vectors, centers))
+            return {"lists_trained": str(total), "lists_stale": "false", "lists_probed": str(ann.calibrate(index.read("lists"), centers))}
+        if not new.isEmpty():
+            index.append("lists", ann.deal(new, index.read("centers")))
+            return {"lists_stale": "true"}
+        return {}
+
+    def rebuild_if_stale(self) -> bool:
+        """Train the approximate index again if vectors came since; whether it was."""
+        if self.store.get_metadata("lists_stale") != "true":
+            return False
+        with workspace.scratch(self.spark), self.store.log.lease(LEASE_SECONDS) as fence:
+            index = self.store.begin(fence)
+            index.set_metadata(**self._lists(index, index.read("embeddings"), incremental=False))
+            self.store.commit(index)
+        return True
 
     def _chunks(self, files: DataFrame, mode: str) -> DataFrame:
+        files = files.filter("content is not null")
         texts = files.filter("kind = 'text'").withColumn("text", folder.decode_text("content"))
         chunks = chunking.chunk_text_files(texts)
         images = files.filter("kind = 'image'").withColumns({"format": folder.image_format("content"), "s": folder.image_size("content")}).filter("s is not null")
@@ -112,28 +167,38 @@ class Index:
 
     # what an agent can call
 
-    def search(self, query: str, top: int | None = None, strategy: str = "semantic", content_type: str = "", caller: str = "agent") -> DataFrame:
-        k = search.clamp_top(top, caller)
-        dimension = embedding.detect_dimension(self.spark, self.embed)
-        return search.search(self.store.read("chunks"), self.store.read("embeddings"), query, k, strategy, content_type, self.embed, dimension)
+    def search(self, query: str, top: int | None = None, strategy: str = "semantic", content_type: str = "", caller: str = "agent", approximate: bool = False) -> DataFrame:
+        """``approximate`` looks into the trained lists nearest to the query where the index has such."""
+        k, index = search.clamp_top(top, caller), self.store.snapshot()
+        if (stored := index.get_metadata("dimension")) and int(stored) != self.dimension:
+            raise ValueError(f"the index holds vectors of {stored} values, the embedder makes {self.dimension}")
+        near = None
+        if approximate and (probes := index.get_metadata("lists_probed")):
+            vector = self.embed(F.lit(query))
+            near = lambda count: ann.nearest(index.read("lists"), index.read("centers"), vector, count, int(probes))
+        return search.search(index.read("chunks"), index.read("embeddings"), query, k, strategy, content_type, self.embed, self.dimension, near)
 
     def status(self) -> DataFrame:
-        return changes.status(self.compared(), self.store.read("files"), self.store.read("chunks"))
+        with workspace.scratch(self.spark):
+            index = self.store.snapshot()
+            row = changes.status(self.compared(index.read("files")), index.read("files"), index.read("chunks"))
+            return self.spark.createDataFrame(row.collect(), row.schema)  # one row
 
     def status_preview(self) -> DataFrame:
-        return changes.name_preview(self.compared())
+        with workspace.scratch(self.spark):
+            rows = changes.name_preview(self.compared(self.store.read("files")))
+            return self.spark.createDataFrame(rows.collect(), rows.schema)  # a row for each kind of change
 
     def read_file(self, path: str) -> str:
-        """The first 50 KB of a text file inside the folder; ``..`` and ``.`` are resolved before the path is judged."""
-        path = posixpath.normpath(path)
-        if not (path.lower() + "/").startswith(posixpath.normpath(self.source).lower() + "/"):
+        """The first 50 KB of a text file inside the folder; ``..``, ``.`` and links are resolved before the path is judged."""
+        path, source = folder.resolved(path), folder.resolved(self.source)
+        if not (path + "/").startswith(source + "/"):
             raise ValueError("the path is outside the index")
         if posixpath.splitext(path)[1].lower() in UNREADABLE:
             raise ValueError("files of this type are not read as text; use get_file_chunks")
-        row = folder.contents(self.spark, path).select(read_head(folder.decode_text("content"))).first()
-        if row is None:
-            raise FileNotFoundError(path)
-        return row[0]
+        data, size = folder.head(path, READ_BYTES + 8)
+        row = self.spark.createDataFrame([(bytearray(data), size)], "content binary, size long")
+        return row.select(read_head(folder.decode_text("content"), READ_BYTES, F.col("size"))).first()[0]
 
     def list_dir(self, path: str | None = None) -> DataFrame:
         return metadata.list_dir(self.store.read("files"), path or self.source)

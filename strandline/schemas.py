@@ -11,5 +11,10 @@ LISTING = "path string, size bigint, modified_at timestamp_ntz, file_hash string
 PDF_PAGES = "file_id string, page_number int, text string"
 PDF_IMAGES = "file_id string, page_number int, format string, width int, height int, base64 string"
 
-TABLES = {"files": FILES, "chunks": CHUNKS, "embeddings": EMBEDDINGS, "embedding_cache": CACHE, "metadata": METADATA}
-KEYS = {"files": "file_id", "chunks": "chunk_id", "embeddings": "chunk_id", "embedding_cache": "content_hash", "metadata": "key"}
+LISTS = "chunk_id string, vector array<float>, list int"
+CENTERS = "list int, center array<float>"
+
+TABLES = {"files": FILES, "chunks": CHUNKS, "embeddings": EMBEDDINGS, "embedding_cache": CACHE, "metadata": METADATA, "lists": LISTS, "centers": CENTERS}
+KEYS = {"files": "file_id", "chunks": "chunk_id", "embeddings": "chunk_id", "embedding_cache": "content_hash", "metadata": "key", "lists": "chunk_id", "centers": "list"}
+#: Tables whose files are dealt out by a column.
+PARTITIONED = {"lists": ["list"]}

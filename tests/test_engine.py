@@ -1,7 +1,11 @@
 import base64
+import os
 
 import pytest
 
+from strandline import workspace
+from strandline.operators import embedding
+from strandline.operators.store import Transaction
 from strandline.plans.engine import Index
 from strandline.sources import pdf
 from strandline.streaming import ingest
@@ -88,23 +92,111 @@ def test_other_encodings_and_large_files(spark, folder, tmp_path):
     assert index.get_file_chunks(str(folder / "latin.txt")).first().content == "caf\ufffd ol\ufffd"
 
 
-def test_run_lost_between_its_tables(spark, folder, tmp_path, monkeypatch):
+def test_a_run_lost_anywhere_leaves_the_last_state(spark, folder, tmp_path, monkeypatch):
+    """A run that ends before any of its writes shows readers nothing, and the next one doubles nothing."""
     index = Index(spark, str(folder), str(tmp_path / "store"), dimension=16)
-    append = index.store.append
+    assert index.update()["new"] == 4
+    (folder / "main.go").write_text("package other, longer")
+    (folder / "config.yaml").unlink()
+    (folder / "more.md").write_text("more of it")
+
+    def contents():
+        return {t: sorted(map(repr, index.store.read(t).drop("indexed_at", "created_at").collect())) for t in ("files", "chunks", "embeddings", "metadata")}
+
+    before, write, commit = contents(), Transaction._write, index.store.commit
+    for last in (0, 2, 4, 6, 99):  # the run's writes, then its commit
+        calls = []
 
-    def lost(table, rows):
-        if table == "files":
+        def dies(self, *args):
+            calls.append(1)
+            if len(calls) > last:
+                raise RuntimeError("lost")
+            return write(self, *args)
+
+        def dies_at_commit(changes):
             raise RuntimeError("lost")
-        append(table, rows)
 
-    monkeypatch.setattr(index.store, "append", lost)
-    with pytest.raises(RuntimeError):
-        index.update()
-    monkeypatch.undo()
-    assert index.update()["new"] == 4
+        monkeypatch.setattr(Transaction, "_write", dies)
+        monkeypatch.setattr(index.store, "commit", dies_at_commit if last == 99 else commit)
+        with pytest.raises(RuntimeError, match="lost"):
+            index.update()
+        monkeypatch.undo()
+        assert contents() == before
+    index.update()
     for table, key in (("chunks", "chunk_id"), ("embeddings", "chunk_id"), ("files", "file_id")):
         rows = index.store.read(table)
         assert rows.count() == rows.select(key).distinct().count() == 4
+    assert index.update() == {"new": 0, "modified": 0, "deleted": 0}
+    index.store.vacuum(1)
+    assert all(len(index.store.log.names(f"{index.store.root}/{t}")) == len(f) for t, f in index.store.snapshot().state.tables.items())
+    assert index.search("more of it", 1).first().file_path.endswith("more.md")
+
+
+def test_nothing_stays_but_the_index(spark, folder, tmp_path):
+    """Tables of a run go with it, and a run that finds no change writes nothing."""
+    shared = workspace.shared_dir(spark) + "/strandline"
+    before = set(os.listdir(shared)) if os.path.exists(shared) else set()
+    index = Index(spark, str(folder), str(tmp_path / "store"), dimension=16)
+    index.update()
+    assert index.status().first().total == 4 and index.status_preview().count() == 0
+    assert set(os.listdir(shared) if os.path.exists(shared) else []) <= before
+    state = index.store.snapshot().state
+    assert index.update() == {"new": 0, "modified": 0, "deleted": 0} and index.store.snapshot().state == state
+
+
+def test_other_embedder(spark, folder, tmp_path):
+    Index(spark, str(folder), str(tmp_path / "store"), dimension=16).update()
+    other = Index(spark, str(folder), str(tmp_path / "store"), dimension=8)
+    with pytest.raises(ValueError, match="vectors of 16 values"):
+        other.search("dogs")
+    assert other.update()["new"] == 4 and other.search("dogs", 2).count() == 2
+
+
+def test_links_and_case(spark, folder, tmp_path):
+    secret = tmp_path / "secret.txt"
+    secret.write_text("not for you")
+    (folder / "link.txt").symlink_to(secret)
+    upper = tmp_path / "PROJECT"
+    upper.mkdir()
+    (upper / "secret.txt").write_text("not for you either")
+    index = Index(spark, str(folder), str(tmp_path / "store"), dimension=16)
+    for path in (f"{folder}/link.txt", f"{upper}/secret.txt"):
+        with pytest.raises(ValueError, match="outside"):
+            index.read_file(path)
+
+
+def test_approximate_search_of_an_index(spark, tmp_path):
+    source = tmp_path / "texts"
+    source.mkdir()
+    for i in range(60):
+        (source / f"{i:02}.txt").write_text(f"text number {i} of them")
+    index = Index(spark, str(source), str(tmp_path / "store"), dimension=16, approximate=True)
+    index.update()
+    assert index.store.get_metadata("lists_trained") == "60" and index.store.get_metadata("lists_stale") == "false"
+    for i in (3, 44):
+        assert index.search(f"text number {i} of them", 3, approximate=True).first().file_path.endswith(f"/{i:02}.txt")
+    plan = index.search("text number 3 of them", 3, approximate=True)._jdf.queryExecution().toString()
+    assert "PartitionFilters: [list" in plan.replace("isnotnull(list", "[list") or "list#" in plan.split("PartitionFilters")[1][:200]
+    (source / "07.txt").write_text("changed and longer than before")
+    (source / "08.txt").unlink()
+    (source / "60.txt").write_text("a new one")
+    index.update()
+    found = index.store.read("lists")
+    assert found.count() == found.select("chunk_id").distinct().count() == 60 == index.store.read("embeddings").count()
+    assert index.search("a new one", 1, approximate=True).first().file_path.endswith("/60.txt")
+    assert index.search("a new one", 5, "hybrid", approximate=True).count() >= 5
+
+
+def test_small_changes_defer_training(spark, folder, tmp_path, monkeypatch):
+    index = Index(spark, str(folder), str(tmp_path / "store"), dimension=16, approximate=True)
+    index.update()
+    monkeypatch.setattr(embedding, "rebuild_policy", lambda trained, total: "skip" if trained == total else "defer")
+    (folder / "late.md").write_text("late words")
+    index.update()
+    assert index.store.get_metadata("lists_stale") == "true" and index.store.read("lists").count() == 5
+    assert index.search("late words", 1, approximate=True).first().file_path.endswith("late.md")
+    assert index.rebuild_if_stale() and not index.rebuild_if_stale()
+    assert index.store.get_metadata("lists_trained") == "5" and index.store.read("lists").count() == 5
 
 
 def test_pdf_pages_images_and_pictures(spark, tmp_path):

@@ -1,10 +1,8 @@
-import random
 
 import pytest
 from pyspark.sql import functions as F
 
-from strandline import schemas
-from strandline.operators import ann, provider, search
+from strandline.operators import provider, search
 from strandline.plans import service
 from strandline.plans.engine import Index
 from strandline.sources import pdf
@@ -56,18 +54,6 @@ def test_remote_functions(spark):
     assert [r.chunk_id for r in search.rerank(hits, "q", score=score).collect()] == ["1", "3"]
 
 
-def test_approximate_search(spark):
-    rng = random.Random(12)
-    rows = [(f"c{i:03}", [rng.gauss(0, 1) for _ in range(16)]) for i in range(400)]
-    vectors = spark.createDataFrame(rows, schemas.EMBEDDINGS)
-    index, hit = ann.build(vectors, 16).cache(), 0
-    for _, v in rows[:8]:
-        query = F.array(*[F.lit(x + rng.gauss(0, 0.05)) for x in v])
-        exact = {r.chunk_id for r in search.nearest(vectors, query, 5).collect()}
-        hit += len(exact & {r.chunk_id for r in ann.nearest(index, query, 16, 5).collect()})
-    assert hit >= 0.8 * 40
-
-
 def test_pdf_needs_a_reader(spark):
     pages = spark.createDataFrame([], "file_id string, page_number int, content binary")
     with pytest.raises(pdf.PdfUnavailable):
