@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from strandline.functions import paths, vectors
 from strandline.functions.text import token_estimate
-from strandline.operators import store
+from strandline.operators import batching, store
 
 #: A provider's limits for one input and one call.
 INPUT_TOKENS, BATCH_TOKENS, BATCH_INPUTS = 32_000, 120_000, 950
@@ -32,18 +32,11 @@ def batches(inputs: DataFrame, group: str | None = None) -> DataFrame:
     """The call that each input goes into: ``inputs`` has id and tokens; inputs beyond INPUT_TOKENS are left out.
 
     In order of id, a new call begins when the present one has BATCH_INPUTS inputs or
-    the next would take a non-empty one over BATCH_TOKENS. The order matters, so each ``group`` is
-    folded on its own; without one all is a single group, which is meant for one file's or one run's inputs.
+    the next would take a non-empty one over BATCH_TOKENS; each ``group`` begins its own,
+    without one all is a single sequence. Neither is ever one row or one task.
     """
-    rows = inputs.filter(F.col("tokens") <= INPUT_TOKENS).withColumn("__group", F.col(group) if group else F.lit(0))
-    lists = rows.groupBy("__group").agg(F.array_sort(F.collect_list(F.struct("id", "tokens"))).alias("list"))
-    full = f"a.n >= {BATCH_INPUTS} OR (a.sum + x.tokens > {BATCH_TOKENS} AND a.n > 0)"
-    # where calls begin
-    step = f"IF({full}, named_struct('n', 1, 'sum', cast(x.tokens as bigint), 'starts', concat(a.starts, array(i))), named_struct('n', a.n + 1, 'sum', a.sum + x.tokens, 'starts', a.starts))"
-    starts = f"aggregate(sequence(0, size(list) - 1), named_struct('n', 0, 'sum', cast(0 as bigint), 'starts', array(0)), (a, i) -> transform(array(list[i]), x -> {step})[0], a -> a.starts)"
-    cut = lists.withColumn("starts", F.expr(starts))
-    calls = F.expr("transform(starts, (s, n) -> named_struct('batch', n, 'inputs', slice(list, s + 1, coalesce(get(starts, n + 1), size(list)) - s)))")
-    return cut.select("__group", F.explode(calls).alias("c")).select(F.col("__group").alias("group"), F.col("c.batch").alias("batch"), F.inline("c.inputs")).select("group", "batch", "id", "tokens")
+    rows = inputs.filter(F.col("tokens") <= INPUT_TOKENS).select((F.col(group) if group else F.lit(0)).alias("group"), "id", "tokens")
+    return batching.cut(rows, BATCH_INPUTS, BATCH_TOKENS)
 
 
 def batch_summary(batched: DataFrame) -> DataFrame:

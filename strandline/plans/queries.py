@@ -10,7 +10,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from strandline.functions import paths, text, vectors
-from strandline.operators import changes, chunking, embedding, images, metadata, search, store
+from strandline.operators import ann, changes, chunking, embedding, images, metadata, search, store
+from strandline.workspace import materialize
 
 TOP = 10
 QUERY_WORDS = "The that license under"
@@ -441,6 +442,48 @@ def embed_batches(spark, sf_dir):
     return embedding.batch_summary(embedding.batches(read(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "source", tokens.alias("tokens")), "source"))
 
 
+@query("""WITH RECURSIVE inputs AS (SELECT doc_id, (strlen(text) + 2) // 3 * 4 AS t, row_number() OVER (ORDER BY doc_id) AS i FROM documents WHERE (strlen(text) + 2) // 3 * 4 <= 32000),
+f(doc_id, i, t, n, full_, batch) AS (
+  SELECT doc_id, i, t, 1, t::BIGINT, 0 FROM inputs WHERE i = 1
+  UNION ALL
+  SELECT x.doc_id, x.i, x.t, CASE WHEN f.n >= 950 OR f.full_ + x.t > 120000 THEN 1 ELSE f.n + 1 END, CASE WHEN f.n >= 950 OR f.full_ + x.t > 120000 THEN x.t ELSE f.full_ + x.t END, f.batch + (f.n >= 950 OR f.full_ + x.t > 120000)::INT
+  FROM f JOIN inputs x ON x.i = f.i + 1)
+SELECT doc_id AS id, batch, t::BIGINT AS tokens FROM f""")
+def embed_batches_ungrouped(spark, sf_dir):
+    """All inputs as one sequence."""
+    tokens = (embedding.input_tokens(F.lit("text"), F.col("text"), F.lit(0)) * 4).cast("bigint")
+    return embedding.batches(read(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), tokens.alias("tokens"))).drop("group")
+
+
+def _vectors(spark, sf_dir):
+    return read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("chunk_id"), F.col("embedding").alias("vector"))
+
+
+def _asked(spark, sf_dir):
+    return _vectors(spark, sf_dir).filter("chunk_id % 20 = 0").withColumnRenamed("chunk_id", "query_id")
+
+
+@query("""SELECT query_id, chunk_id, rank, round(distance, 6) AS distance FROM (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, chunk_id)::INT AS rank FROM (
+    SELECT q.vec_id AS query_id, e.vec_id AS chunk_id, array_cosine_distance(e.embedding::DOUBLE[64], q.embedding::DOUBLE[64]) AS distance FROM embeddings q, embeddings e WHERE q.vec_id % 20 = 0)) WHERE rank <= 10""")
+def ann_all_lists(spark, sf_dir):
+    """The ten nearest of every twentieth vector, with all lists of the trained index looked into: the exact answer."""
+    centers = materialize(ann.train(_vectors(spark, sf_dir)), "centers")
+    found = ann.nearest_of_many(ann.deal(_vectors(spark, sf_dir), centers), centers, _asked(spark, sf_dir), TOP, centers.count())
+    return found.withColumn("distance", F.round("distance", 6))
+
+
+@query("SELECT count(*) AS queries, true AS reached FROM embeddings WHERE vec_id % 20 = 0")
+def ann_recall(spark, sf_dir):
+    """Whether searches of as many lists as were measured to be enough find nine tenths of the ten nearest of every twentieth vector."""
+    centers = materialize(ann.train(_vectors(spark, sf_dir)), "centers")
+    dealt = materialize(ann.deal(_vectors(spark, sf_dir), centers), "lists")
+    asked = _asked(spark, sf_dir)
+    found = ann.nearest_of_many(dealt, centers, asked, TOP, ann.calibrate(dealt, centers))
+    exact = ann.nearest_of_many(dealt, centers, asked, TOP, centers.count())
+    return asked.agg(F.count("*").alias("queries")).withColumn("reached", F.lit(ann.recall(found, exact) >= 0.9))
+
+
 # modes, images, order
 
 
