@@ -90,12 +90,8 @@ def _segment(fp: Column, at: int) -> Column:
     return F.shiftrightunsigned(fp, 16 * (at % SEGMENTS)).bitwiseAND(F.lit(0xFFFF).cast("long"))
 
 
-def _pigeonring(nodes: DataFrame) -> DataFrame:
-    """Edges (a, b) between the classes of fingerprints within MOST bits that are in different classes.
-
-    ``nodes`` has node, fp and class. Keys that only one class has are dropped
-    before the join, so a dense group that is one class already costs no pairs.
-    """
+def _ring_keys() -> Column:
+    """For each segment that a chain may begin with, and each bit that may differ in the next one, a key to join on."""
     flips = [0, *[1 << b for b in range(16)]]
     keys = [
         F.struct(
@@ -106,19 +102,52 @@ def _pigeonring(nodes: DataFrame) -> DataFrame:
         for i in range(SEGMENTS)
         for flip in flips
     ]
-    probes = nodes.select("fp", "class", F.explode(F.array(*keys)).alias("k")).select("fp", "class", "k.start", "k.flip", "k.key")
-    by_key = Window.partitionBy("key")
-    probes = probes.withColumns({"low": F.min("class").over(by_key), "high": F.max("class").over(by_key)}).filter("low <> high").drop("low", "high")
-    exact, near = probes.filter("flip = 0").alias("x"), probes.alias("y")
-    differ = F.col("x.fp").bitwiseXOR(F.col("y.fp"))
+    return F.explode(F.array(*keys)).alias("k")
+
+
+def _within(start: Column, differ: Column) -> Column:
+    """Whether the chain from segment ``start`` stays within its third bound, and all bits within MOST."""
     third = F.lit(False)
     for i in range(SEGMENTS):
         ring = F.bit_count(_segment(differ, i)) + F.bit_count(_segment(differ, i + 1)) + F.bit_count(_segment(differ, i + 2))
-        third = F.when(F.col("x.start") == i, ring <= MOST * 3 // SEGMENTS).otherwise(third)
-    linked = exact.join(near, (F.col("x.key") == F.col("y.key")) & (F.col("x.class") != F.col("y.class")) & third & (F.bit_count(differ) <= MOST))
+        third = F.when(start == i, ring <= MOST * 3 // SEGMENTS).otherwise(third)
+    return third & (F.bit_count(differ) <= MOST)
+
+
+def _pigeonring(nodes: DataFrame) -> DataFrame:
+    """Edges (a, b) between the classes of fingerprints within MOST bits that are in different classes.
+
+    ``nodes`` has node, fp and class. Keys that only one class has are dropped
+    before the join, so a dense group that is one class already costs no pairs.
+    """
+    probes = nodes.select("fp", "class", _ring_keys()).select("fp", "class", "k.start", "k.flip", "k.key")
+    by_key = Window.partitionBy("key")
+    probes = probes.withColumns({"low": F.min("class").over(by_key), "high": F.max("class").over(by_key)}).filter("low <> high").drop("low", "high")
+    exact, near = probes.filter("flip = 0").alias("x"), probes.alias("y")
+    fits = _within(F.col("x.start"), F.col("x.fp").bitwiseXOR(F.col("y.fp")))
+    linked = exact.join(near, (F.col("x.key") == F.col("y.key")) & (F.col("x.class") != F.col("y.class")) & fits)
     return linked.select(F.col("x.class").alias("a"), F.col("y.class").alias("b")).distinct()
 
 
+def stars(nodes: DataFrame) -> DataFrame:
+    """Pairs (a, b) of ``nodes`` (node, fp) within MOST bits: under each pigeonring key the least node and those near it.
+
+    Linear in the nodes, however many share a key, so not all pairs: for callers who look further on their own.
+    """
+    probes = nodes.select("node", "fp", _ring_keys()).select("node", "fp", "k.start", "k.key")
+    centered = probes.withColumn("least", F.min(F.struct("node", "fp")).over(Window.partitionBy("key"))).filter("node <> least.node")
+    near = centered.filter(_within(F.col("start"), F.col("fp").bitwiseXOR(F.col("least.fp"))))
+    return near.select(F.col("least.node").alias("a"), F.col("node").alias("b")).distinct()
+
+
+def of_hashes(hashes: np.ndarray) -> int:
+    """The signed fingerprint of a text's shingles' hashes (unsigned 64-bit numbers), of shingles of any length."""
+    if not len(hashes):
+        return 0
+    bits = np.unpackbits(hashes.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+    return int(np.packbits(bits.sum(axis=0, dtype=np.int64) * 2 > len(hashes), bitorder="little").view("<i8")[0])
+
+
 def link(docs: DataFrame) -> DataFrame:
     """doc_id, fingerprint and component_id for each row of ``docs`` (doc_id, text).
 

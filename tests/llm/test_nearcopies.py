@@ -1,4 +1,5 @@
 import random
+import time
 
 import corpus_pipeline
 import numpy as np
@@ -74,3 +75,27 @@ def test_stage_drops_copies_beyond_three_bits(spark, tmp_path):
     docs = spark.createDataFrame([(1, text, "en"), (2, near, "en"), (3, far, "en")], "doc_id long, text string, lang string")
     kept = corpus_pipeline.drop_near_copies(spark, docs, str(tmp_path))
     assert kept.columns == docs.columns and sorted(r.doc_id for r in kept.collect()) == [1, 3]
+
+
+def test_many_texts_that_share_most_but_not_enough(spark):
+    """All hold the same 100 shingles and 14 of their own: similarity 0.78, and no text is held against all others."""
+    rows = spark.range(32_000).selectExpr("id as doc_id", "concat_ws(' ', concat_ws(' ', transform(sequence(1, 104), i -> concat('common', i))), concat_ws(' ', transform(sequence(1, 14), i -> concat('own', id, 'x', i)))) as text").repartition(8)
+    rows = rows.unionByName(spark.createDataFrame([(10**6, rows.filter("doc_id = 77").first().text + " end")], "doc_id long, text string")).cache()
+    began = time.time()
+    kept = nearcopies.representatives(rows)
+    assert kept.count() == 32_000 and kept.filter("doc_id = 77").count() == 1
+    assert time.time() - began < 240
+
+
+def test_rows_with_one_id_are_told_apart(spark):
+    rng = random.Random(5)
+    a, b, c = (" ".join(f"w{rng.randint(0, 9999)}" for _ in range(60)) for _ in range(3))
+    rows = [(1, a), (2, b + " end"), (2, a + " end"), (3, b), (7, c), (7, c + " end"), (None, a), (9, c + " more"), (11, b), (11, b)]
+    kept = nearcopies.representatives(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(((r.doc_id or -1, r.text) for r in kept if r.doc_id != 7)) == sorted([(1, a), (2, b + " end"), (-1, a)])
+    assert [r.doc_id for r in kept].count(7) == 1
+
+
+def test_keys_of_many_texts_are_dealt_out(spark, monkeypatch):
+    monkeypatch.setattr(nearcopies, "_HOT", 3)
+    test_links_match_all_pairs(spark)

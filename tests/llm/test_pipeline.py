@@ -6,7 +6,8 @@ import pytest
 import tiktoken
 
 import corpus_pipeline
-from test_simhash import plain_components, plain_fingerprint
+from test_nearcopies import plain_jaccard, plain_kept
+from test_simhash import plain_fingerprint
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -16,6 +17,7 @@ def test_each_stage_against_a_plain_version(spark, tmp_path):
     text = lambda i: " ".join(words[(i * k + k * k) % len(words)] + str(i % 7) for k in range(1, 60))
     rows = [(i, text(i), "en", f"s{i % 3}", 0) for i in range(40)]
     rows += [(100, text(3), "en", "s1", 0), (101, text(3), "en", "s2", 0), (102, "  ", "en", "s0", 0), (103, None, "en", "s0", 0), (104, "123 ...", "en", None, 0), (105, text(5) + " end", "en", None, 0)]
+    rows += [(106, text(7).replace("water", "stream", 1), "en", "s1", 0)]  # near by its words, not by its fingerprint
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
     docs.write.parquet(str(tmp_path / "documents.parquet"))
     stages, kept = dict(corpus_pipeline.STAGES), []
@@ -31,8 +33,8 @@ def test_each_stage_against_a_plain_version(spark, tmp_path):
     for r in spoken:
         by_text[r.text] = max(by_text.get(r.text, -1), r.doc_id)
     assert sorted(r.doc_id for r in unique) == sorted(by_text.values())
-    fps = [(r.doc_id, plain_fingerprint(r.text)) for r in unique]
-    assert sorted(r.doc_id for r in apart) == sorted(set(plain_components(fps).values()))
+    assert sorted(r.doc_id for r in apart) == plain_kept([(r.doc_id, r.text) for r in unique])
+    assert {105, 106} & {r.doc_id for r in unique} == {105, 106} and not {105, 106} & {r.doc_id for r in apart}
     copies = Counter(r.doc_id for r in mixed)
     assert set(copies) <= {r.doc_id for r in apart} and max(copies.values()) <= 3
     assert sum(len(r.text.split()) for r in mixed) == pytest.approx(sum(len(r.text.split()) for r in apart), rel=0.2)
