@@ -24,7 +24,8 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of texts with five-word similarity of 0.8 and more the document with the smallest doc_id stays.
 
-    Documents with a null id stay; rows with one id are one document.
+    SimHash fingerprints find the close ones, the words what these miss. Documents
+    with a null id stay; rows alike in id and text are one document.
     """
     return nearcopies.representatives(docs)
 
