@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from strandline.functions import paths, text, vectors
 from strandline.operators import ann, changes, chunking, embedding, images, metadata, search, store
+from strandline.streaming import chat
 from strandline.workspace import materialize
 
 TOP = 10
@@ -551,6 +552,23 @@ def index_age_buckets(spark, sf_dir):
     return files_of(spark, sf_dir).select(paths.age_bucket("modified_at", F.lit(TODAY)).alias("bucket")).groupBy("bucket").agg(F.count("*").alias("n"))
 
 
+_KIND = "CASE (turn * 7 + conv_id) % 5 WHEN 0 THEN 'thinking' WHEN 1 THEN 'tool_call' WHEN 2 THEN 'tool_result' ELSE 'text' END"
+
+
+@query(f"""WITH e AS (SELECT conv_id::VARCHAR AS chat_id, turn AS seq, {_KIND} AS kind, coalesce(text, '') AS body FROM conversations),
+said AS (SELECT *, CASE WHEN kind IN ('thinking', 'text') AND lag(kind) OVER w IS NOT DISTINCT FROM kind THEN 0 ELSE 1 END AS begins FROM e WHERE kind <> 'tool_result' WINDOW w AS (PARTITION BY chat_id ORDER BY seq)),
+stepped AS (SELECT *, sum(begins) OVER (PARTITION BY chat_id ORDER BY seq) - 1 AS step, count(*) FILTER (kind = 'tool_call') OVER (PARTITION BY chat_id ORDER BY seq) AS call FROM said),
+steps AS (SELECT chat_id, step::INT AS step, kind, string_agg(body, '' ORDER BY seq) AS body, CASE WHEN kind = 'tool_call' THEN max(call) END AS call FROM stepped GROUP BY chat_id, step, kind),
+tools AS (SELECT *, sum(CASE kind WHEN 'tool_result' THEN 1 ELSE -1 END) OVER (PARTITION BY chat_id ORDER BY seq) AS excess, count(*) FILTER (kind = 'tool_result') OVER (PARTITION BY chat_id ORDER BY seq) AS n FROM e WHERE kind LIKE 'tool%'),
+lost AS (SELECT *, greatest(0, max(excess) OVER (PARTITION BY chat_id ORDER BY seq)) AS lost FROM tools),
+kept AS (SELECT chat_id, n - lost AS call, body AS result FROM (SELECT *, coalesce(lag(lost) OVER (PARTITION BY chat_id ORDER BY seq), 0) AS before FROM lost) WHERE kind = 'tool_result' AND lost = before)
+SELECT steps.chat_id, step, kind, body, result FROM steps LEFT JOIN kept ON steps.chat_id = kept.chat_id AND steps.call = kept.call""")
+def chat_steps(spark, sf_dir):
+    """Turns as events of a chat: their kinds go round."""
+    turns = read(spark, sf_dir, "conversations")
+    return chat.chat_steps(turns.select(F.col("conv_id").cast("string").alias("chat_id"), F.col("turn").alias("seq"), F.expr(_KIND).alias("kind"), F.col("text").alias("body")))
+
+
 @query("SELECT conv_id, turn, role, length(text) AS n_chars, rank FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS rank FROM conversations) WHERE rank <= 3")
 def chat_history_tail(spark, sf_dir):
     """The last three turns of each conversation; kept in each task's part before they meet."""

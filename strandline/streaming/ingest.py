@@ -1,16 +1,13 @@
-"""Incremental ingest, log tails and chat steps as streams."""
+"""Incremental ingest of new files as a stream."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.query import StreamingQuery
 
-from strandline.functions.text import log_level
-
 
 def ingest_new_files(spark: SparkSession, root: str, checkpoint: str, handle: Callable[[DataFrame, int], None], pattern: str = "*") -> StreamingQuery:
     """Hand each batch of files that appeared under ``root`` to ``handle`` (path, size, modified_at, content), then stop.
@@ -21,32 +18,3 @@ def ingest_new_files(spark: SparkSession, root: str, checkpoint: str, handle: Ca
     files = spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length bigint, content binary").option("recursiveFileLookup", True).option("pathGlobFilter", pattern).load(root)
     rows = files.select(F.regexp_replace("path", "^file:(//)?", "").alias("path"), F.col("length").alias("size"), F.col("modificationTime").cast("timestamp_ntz").alias("modified_at"), "content")
     return rows.writeStream.foreachBatch(handle).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-
-
-def leveled(logs: DataFrame, message: str = "message") -> DataFrame:
-    """A stream or table of log lines with their level."""
-    return logs.withColumn("level", log_level(message))
-
-
-def chat_steps(events: DataFrame) -> DataFrame:
-    """Fold each chat's events into steps; works on a stream and on a table.
-
-    ``events`` has chat_id, seq, kind (thinking, text, tool_call, tool_result) and
-    body. Neighbouring thinking or text events join up; a tool's result goes to
-    the oldest call without one. Returns chat_id, step, kind, body and result.
-    """
-
-    def fold(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
-        steps: list[list] = []
-        for kind, body in frame.sort_values("seq")[["kind", "body"]].itertuples(index=False, name=None):
-            if kind == "tool_result":
-                waiting = next((s for s in steps if s[0] == "tool_call" and s[2] is None), None)
-                if waiting:
-                    waiting[2] = body
-            elif kind in ("thinking", "text") and steps and steps[-1][0] == kind:
-                steps[-1][1] += body or ""
-            else:
-                steps.append([kind, body or "", None])
-        return pd.DataFrame([(key[0], n, *s) for n, s in enumerate(steps)], columns=["chat_id", "step", "kind", "body", "result"])
-
-    return events.groupBy("chat_id").applyInPandas(fold, "chat_id string, step int, kind string, body string, result string")

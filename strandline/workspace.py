@@ -43,20 +43,20 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def _file_system(spark: SparkSession, path: str):
+def file_system(spark: SparkSession, path: str):
     place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     return place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), place
 
 
 def exists(spark: SparkSession, path: str) -> bool:
-    system, place = _file_system(spark, path)
+    system, place = file_system(spark, path)
     return system.exists(place)
 
 
 def remove(spark: SparkSession, path: str) -> None:
     """Delete a folder of ours."""
     if "/strandline/" in path:
-        system, place = _file_system(spark, path)
+        system, place = file_system(spark, path)
         system.delete(place, True)
 
 

@@ -63,9 +63,6 @@ def test_streams(spark, folder, tmp_path):
     (folder / "later.md").write_text("x")
     ingest.ingest_new_files(spark, str(folder), str(tmp_path / "ck"), lambda df, n: seen.extend(r.path for r in df.select("path").collect()), "*.md").awaitTermination()
     assert len(seen) == first + 1 and seen[-1].endswith("later.md")
-    events = [("c", 0, "thinking", "a"), ("c", 1, "thinking", "b"), ("c", 2, "tool_call", "search"), ("c", 3, "tool_result", "3 hits"), ("c", 4, "text", "done")]
-    steps = ingest.chat_steps(spark.createDataFrame(events, "chat_id string, seq int, kind string, body string")).orderBy("step").collect()
-    assert [(s.kind, s.body, s.result) for s in steps] == [("thinking", "ab", None), ("tool_call", "search", "3 hits"), ("text", "done", None)]
 
 
 def test_reads_stay_inside_and_whole(spark, folder, tmp_path):
