@@ -18,10 +18,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandline.llm.text import whole
-from strandline.workspace import exists, fresh_path, materialize
+from strandline.workspace import exists, fresh_path, materialize, scratch
 
 #: Digests of at most this many hits are sent to all executors (32 bytes each); more are joined by a shuffle.
 SENT_DIGESTS = 200_000
+#: Files that are named one by one when texts are read back.
+MANY_FILES = 10_000
 _ROCKSDB = {
     "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
     "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
@@ -60,17 +62,23 @@ def located(docs: DataFrame) -> DataFrame:
 def read_back(places: DataFrame, digest: Callable[[Column], Column]) -> DataFrame:
     """``places`` (digest and at) with the whole texts that stand there.
 
-    Only the files named are read. A text that no longer has its digest is an error.
+    Only the files named are read, or their folders where there are very many; up to
+    SENT_DIGESTS places are sent to the files' rows, so that no other text is shuffled.
+    A text that is gone or no longer has its digest is an error.
     """
     spark = places.sparkSession
     places = materialize(places.select("digest", "at").distinct(), "dedup-places")
-    files = [r[0] for r in places.select("at.file").distinct().collect()]
-    if not files:
+    files = places.select("at.file").distinct()
+    if places.isEmpty():
         return places.select("digest", "at", F.lit("").alias("text"))
-    stored = located(spark.read.parquet(*files).select("text")).select(F.col("__at").alias("at"), whole("text").alias("text"))
-    found = places.join(stored, "at", "left")
-    changed = F.raise_error(F.concat(F.lit("no longer the text that was seen: "), F.to_json("at")))
-    return found.withColumn("text", F.when(digest(F.col("text")) == F.col("digest"), F.col("text")).otherwise(changed.cast("string")))
+    if files.count() > MANY_FILES:
+        files = files.select(F.regexp_replace("file", "/[^/]*$", "").alias("file")).distinct()
+    stored = located(spark.read.parquet(*[r.file for r in files.collect()]).select("text")).select(F.col("__at").alias("at"), whole("text").alias("text"))
+    sent = F.broadcast(places) if places.count() <= SENT_DIGESTS else places
+    found = stored.join(sent, "at").select("digest", "at", "text")
+    changed = lambda at: F.raise_error(F.concat(F.lit("no longer the text that was seen: "), F.to_json(at))).cast("string")
+    gone = places.join(stored.select("at").join(sent.select("at"), "at", "left_semi"), "at", "left_anti").select("digest", "at", changed(F.col("at")).alias("text"))
+    return found.withColumn("text", F.when(digest(F.col("text")) == F.col("digest"), F.col("text")).otherwise(changed(F.col("at")))).unionByName(gone)
 
 
 def _arrivals(spark: SparkSession, folder: str) -> DataFrame:
@@ -103,6 +111,10 @@ def _advance(spark: SparkSession, folder: str, run: int, digest: Callable[[Colum
     state = arrivals.groupBy("digest").agg(F.count("*").alias("n"), F.min(F.struct("run", "at")).alias("first"), F.max(F.struct("doc_id", "run", "at")).alias("last"))
 
     def check(batch: DataFrame, batch_id: int) -> None:
+        with scratch(spark):  # this runs on a thread of the stream, outside its caller's scratch
+            compare(batch, batch_id)
+
+    def compare(batch: DataFrame, batch_id: int) -> None:
         batch.write.mode("overwrite").parquet(f"{folder}/groups/batch={batch_id}")
         hits = spark.read.parquet(f"{folder}/groups/batch={batch_id}").filter("n > 1").select("digest", "first")
         sent = hits.select("digest")

@@ -26,6 +26,8 @@ from strandline.workspace import materialize
 BITS, MOST = 64, 3
 SEGMENTS = 4
 SEED = 42
+#: Fingerprints under one key that one task holds against those it begins with.
+_HOT = 2000
 #: Shingles hashed before their bits are summed.
 _TOGETHER = 1 << 16
 
@@ -118,14 +120,17 @@ def _pigeonring(nodes: DataFrame) -> DataFrame:
     """Edges (a, b) between the classes of fingerprints within MOST bits that are in different classes.
 
     ``nodes`` has node, fp and class. Keys that only one class has are dropped
-    before the join, so a dense group that is one class already costs no pairs.
+    before the join, so a dense group that is one class already costs no pairs; a
+    key with many fingerprints of several classes is dealt out to many tasks.
     """
     probes = nodes.select("fp", "class", _ring_keys()).select("fp", "class", "k.start", "k.flip", "k.key")
     by_key = Window.partitionBy("key")
-    probes = probes.withColumns({"low": F.min("class").over(by_key), "high": F.max("class").over(by_key)}).filter("low <> high").drop("low", "high")
-    exact, near = probes.filter("flip = 0").alias("x"), probes.alias("y")
+    salts = F.ceil(F.count("*").over(by_key) / _HOT).cast("int")
+    probes = probes.withColumns({"low": F.min("class").over(by_key), "high": F.max("class").over(by_key), "salts": salts}).filter("low <> high").drop("low", "high")
+    exact = probes.filter("flip = 0").withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).alias("x")
+    near = probes.withColumn("salt", F.pmod(F.xxhash64("fp"), F.col("salts")).cast("int")).alias("y")
     fits = _within(F.col("x.start"), F.col("x.fp").bitwiseXOR(F.col("y.fp")))
-    linked = exact.join(near, (F.col("x.key") == F.col("y.key")) & (F.col("x.class") != F.col("y.class")) & fits)
+    linked = exact.join(near, (F.col("x.key") == F.col("y.key")) & (F.col("x.salt") == F.col("y.salt")) & (F.col("x.class") != F.col("y.class")) & fits)
     return linked.select(F.col("x.class").alias("a"), F.col("y.class").alias("b")).distinct()
 
 

@@ -76,6 +76,23 @@ def test_text_that_changed_behind_its_locator(spark, tmp_path):
         exactdedup.ingest(spark.createDataFrame([(2, "a")], "doc_id long, text string"), folder)
 
 
+def test_texts_are_read_back_without_moving_the_others(spark, tmp_path, monkeypatch):
+    """Few places are sent to the files; a place that is there no more is an error; folders stand in for very many files."""
+    rows = spark.createDataFrame([(i, f"text {i}") for i in range(50)], "doc_id long, text string")
+    rows.coalesce(2).write.parquet(str(tmp_path / "in"))
+    seen = exactdedup.located(spark.read.parquet(str(tmp_path / "in"))).select(F.col("__at").alias("at"), exactdedup.sha256(F.col("text")).alias("digest"), "text")
+    places = seen.filter("text in ('text 3', 'text 33')").select("digest", "at").cache()
+    found = exactdedup.read_back(places, exactdedup.sha256)
+    plan = found._jdf.queryExecution().sparkPlan().toString()
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan.split("Union")[-1].split("LeftAnti")[0]
+    assert sorted(r.text for r in found.collect()) == ["text 3", "text 33"]
+    monkeypatch.setattr(exactdedup, "MANY_FILES", 0)
+    assert sorted(r.text for r in exactdedup.read_back(places, exactdedup.sha256).collect()) == ["text 3", "text 33"]
+    lost = places.withColumn("at", F.struct(F.col("at.file").alias("file"), F.col("at.row") + 1000).cast("struct<file: string, row: bigint>"))
+    with pytest.raises(Exception, match="no longer the text"):
+        exactdedup.read_back(lost, exactdedup.sha256).collect()
+
+
 def test_settings_stay(spark):
     before = spark.conf.getAll
     exactdedup.groups(docs(spark)).count()

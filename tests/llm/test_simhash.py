@@ -1,11 +1,12 @@
 import random
 import re
 
+import numpy as np
 import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from strandline.llm import simhash
+from strandline.llm import components, simhash
 
 DOCS = "doc_id long, text string"
 
@@ -77,6 +78,40 @@ def test_links_match_all_pairs(spark):
     assert got == plain_components(rows)
 
 
+def test_links_of_keys_that_are_dealt_out(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "_HOT", 2)
+    test_links_match_all_pairs(spark)
+
+
+def test_fingerprints_of_longer_shingles():
+    rng = random.Random(4)
+    hashes = [rng.getrandbits(64) for _ in range(301)]
+    expected = sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
+    assert simhash.of_hashes(np.array(hashes, np.uint64)) & (2**64 - 1) == expected and simhash.of_hashes(np.array([], np.uint64)) == 0
+
+
+def test_stars_find_pairs_within_three_bits(spark):
+    rng = random.Random(6)
+    middles = [rng.getrandbits(64) for _ in range(40)]
+    fps = [m ^ sum(1 << b for b in rng.sample(range(64), n)) for m in middles for n in (0, 3)]
+    df = spark.createDataFrame([(i, fp - 2**64 if fp >= 2**63 else fp) for i, fp in enumerate(fps)], "node long, fp long")
+    assert {(r.a, r.b) for r in simhash.stars(df).collect()} == {(i, i + 1) for i in range(0, 80, 2)}
+
+
+def test_a_hub_is_no_single_task(spark):
+    """A star of many edges, and a chain beside it: minima of the hub are sent to its edges, which are dealt out."""
+    star = spark.range(1, 300_001).select(F.lit(0).cast("long").alias("a"), F.col("id").alias("b"))
+    chain = spark.range(400_000, 400_050).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b"))
+    edges = star.unionByName(chain).repartition(4)
+    found = components.components(edges)
+    assert found.filter("root = 0").count() == 300_000 and found.filter("root = 400000").count() == 50 and found.count() == 300_050
+    both = edges.select(F.col("a").alias("u"), F.col("b").alias("v"))
+    dealt = components._with_least(both, 300_050)
+    assert dealt.filter("m is null").count() == 0
+    sizes = [r[1] for r in dealt.groupBy(F.spark_partition_id()).count().collect()]
+    assert max(sizes) <= 0.5 * sum(sizes)
+
+
 def test_odd_rows(spark):
     rows = [(1, "same words here now"), (2, "same words here now"), (None, "same words here now"), (None, "on its own entirely here"), (5, None), (6, ""), (7, "a b"), (7, "c d"), (7, "a b"), (9, "c d")]
     got = sorted(((r.doc_id, r.component_id) for r in simhash.link(spark.createDataFrame(rows, DOCS).withColumn("fp", F.lit("x"))).collect()), key=str)
