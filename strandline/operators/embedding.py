@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from strandline.functions import paths, vectors
 from strandline.functions.text import token_estimate
-from strandline.operators import batching, store
+from strandline.operators import batching, images, store
 
 #: A provider's limits for one input and one call.
 INPUT_TOKENS, BATCH_TOKENS, BATCH_INPUTS = 32_000, 120_000, 950
@@ -43,14 +43,32 @@ def batch_summary(batched: DataFrame) -> DataFrame:
     return batched.groupBy("group", "batch").agg(F.count("*").alias("inputs"), F.sum("tokens").alias("tokens"))
 
 
+def _inputs(chunks: DataFrame) -> DataFrame:
+    """``chunks`` with ``input``: type, payload and tokens of what a multimodal embedder is sent; null for images that fail a check."""
+    checked = images.validate(chunks.withColumn("__image", F.when(F.col("content_type") == "image", F.col("image_data").cast("string"))), "__image")
+    uri = F.concat(F.lit("data:image/"), "image_format", F.lit(";base64,"), images.bare_base64("__image"))
+    image = F.struct(F.lit("image_base64").alias("type"), uri.alias("payload"), vectors.image_tokens(F.col("width") * F.col("height")).cast("long").alias("tokens"))
+    text = F.struct(F.lit("text").alias("type"), F.col("content").alias("payload"), token_estimate("content").cast("long").alias("tokens"))
+    given = F.when(F.col("content_type") != "image", text).when(F.col("reason") == "accepted", image)
+    return checked.withColumn("input", given).drop("__image", "reason", "image_format", "width", "height")
+
+
 def resolve(chunks: DataFrame, cache: DataFrame, embed: Embedder) -> tuple[DataFrame, DataFrame]:
     """(chunks with vector, new cache rows): cached vectors first, each missing content embedded once.
 
-    Image chunks outside the size limits have none; chunks need content, content_type and image_data.
+    Chunks need content, content_type and image_data. Empty texts and inputs beyond
+    INPUT_TOKENS have no vector. A multimodal embedder is sent the images of image
+    chunks, of which those that fail ``images.validate`` have none; others get their captions.
     """
     hashed = chunks.withColumn("content_hash", paths.content_hash("content", "content_type", "image_data"))
-    missing = hashed.join(cache.select("content_hash"), "content_hash", "left_anti").filter(token_estimate("content") <= INPUT_TOKENS)
-    fresh = missing.groupBy("content_hash").agg(F.min("content").alias("content")).select("content_hash", embed(F.col("content")).alias("vector"))
+    missing = hashed.join(cache.select("content_hash"), "content_hash", "left_anti")
+    if getattr(embed, "multimodal", False):
+        given = _inputs(missing).filter((F.col("input.tokens") <= INPUT_TOKENS) & (F.col("input.payload") != ""))
+        once = given.groupBy("content_hash").agg(F.min("input").alias("input"))
+        fresh = once.select("content_hash", embed.inputs(F.col("input")).alias("vector")).filter("vector is not null")
+    else:
+        given = missing.filter((token_estimate("content") <= INPUT_TOKENS) & (F.col("content") != ""))
+        fresh = given.groupBy("content_hash").agg(F.min("content").alias("content")).select("content_hash", embed(F.col("content")).alias("vector"))
     known = cache.select("content_hash", "vector").unionByName(fresh)
     return store.probe_cache(hashed, known), fresh
 

@@ -13,6 +13,7 @@ from strandline import workspace
 from strandline.functions import paths
 from strandline.functions.text import read_head
 from strandline.operators import ann, changes, chunking, embedding, metadata, search, store
+from strandline.plans import service
 from strandline.sources import folder, pdf
 from strandline.workspace import materialize
 
@@ -30,12 +31,13 @@ class Index:
 
     PDFs take outside helpers: ``pdf_reader`` gives their pages' texts, ``pdf_images``
     the images in them, ``renderer`` a picture of a whole page. ``approximate`` keeps
-    trained lists of the vectors beside them.
+    trained lists of the vectors beside them. ``progress`` tells how far ``update`` is.
     """
 
-    def __init__(self, spark: SparkSession, source: str, root: str, dimension: int = 64, embed: embedding.Embedder | None = None, model: str = "offline", pdf_reader: pdf.Pages | None = None, pdf_images: pdf.Images | None = None, renderer: pdf.Renderer | None = None, approximate: bool = False):
+    def __init__(self, spark: SparkSession, source: str, root: str, dimension: int = 64, embed: embedding.Embedder | None = None, model: str = "offline", pdf_reader: pdf.Pages | None = None, pdf_images: pdf.Images | None = None, renderer: pdf.Renderer | None = None, approximate: bool = False, progress: service.Progress | None = None):
         self.spark, self.source, self.embed, self.model, self.pdf_reader = spark, source.rstrip("/"), embed or embedding.offline(dimension), model, pdf_reader
         self.pdf_images, self.renderer, self.approximate = pdf_images, renderer, approximate
+        self.progress = progress or service.Progress()
         self.store = store.Store(spark, f"{root.rstrip('/')}/{self.source.rsplit('/', 1)[-1]}-{hash_name(self.source)}")
 
     @cached_property
@@ -88,11 +90,16 @@ class Index:
         files = files.withColumn("file_id", paths.file_id("path")).withColumn("kind", paths.kind("file_type"))
         files = materialize(files.filter(chunking.takes(mode, F.when(F.col("kind") == "image", "image").otherwise("text"), F.lit(False))), "wanted")
         long = (F.col("kind") == "text") & (F.col("size") > chunking.TEXT_LIMIT)
-        read = folder.contents(files.select("path", "size", "kind"), ~long)
-        files = materialize(files.join(read.filter("file_hash is not null"), "path"), "contents")
-        chunks = materialize(self._chunks(files, mode), "chunks")
+        counted, total = self.spark.sparkContext.accumulator(0), files.count()
+        with self.progress.phase("read", total, lambda: counted.value):
+            read = folder.contents(files.select("path", "size", "kind"), ~long, counted)
+            files = materialize(files.join(read.filter("file_hash is not null"), "path"), "contents")
+        with self.progress.phase("chunk", total, lambda: 0):
+            chunks = materialize(self._chunks(files, mode), "chunks")
         vectors, fresh = embedding.resolve(chunks, index.read("embedding_cache"), self.embed)
-        vectors = materialize(vectors.select("chunk_id", "vector"), "vectors")
+        fresh = materialize(fresh, "fresh")
+        with self.progress.phase("embed", chunks.count(), lambda: 0):
+            vectors = materialize(vectors.select("chunk_id", "vector"), "vectors")
         # a file whose chunks failed is not recorded, so the next run takes it up again; one that is too large to be held has a row without chunks
         done = files.join(chunks.select("file_id").distinct().withColumn("has", F.lit(True)), "file_id", "left").filter(F.col("has") | F.col("content").isNull())
         new = store.embedding_rows(vectors)

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import threading
 import time
-from collections.abc import Callable
+from collections import deque
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, Observation, SparkSession
-from pyspark.sql import functions as F
+from pyspark.sql import SparkSession
 
 
 @dataclass
@@ -81,10 +83,58 @@ class ResultCache:
         self._kept = {k: v for k, v in self._kept.items() if index not in k[0]}
 
 
-def observed(df: DataFrame, name: str, **counts) -> tuple[DataFrame, Observation]:
-    """``df`` with counters that are filled while it is written."""
-    watch = Observation(name)
-    return df.observe(watch, F.count("*").alias("rows"), *[c.alias(n) for n, c in counts.items()]), watch
+class Progress:
+    """What a run tells while it goes on: its phase, how much is done of how much, the rate and the seconds left.
+
+    Events wait in a queue of ``most``; the oldest go when a reader is too slow, so that
+    no run ever waits for one.
+    """
+
+    def __init__(self, most: int = 100, every: float = 0.2, clock: Callable[[], float] = time.monotonic):
+        self.every, self.clock = every, clock
+        self._events: deque[dict] = deque(maxlen=most)
+        self._more = threading.Condition()
+        self.dropped = 0
+
+    def publish(self, **event) -> None:
+        with self._more:
+            self.dropped += len(self._events) == self._events.maxlen
+            self._events.append(event)
+            self._more.notify_all()
+
+    def read(self, timeout: float = 0.0) -> list[dict]:
+        """All events that wait, after ``timeout`` seconds at most."""
+        with self._more:
+            if not self._events:
+                self._more.wait(timeout)
+            out = list(self._events)
+            self._events.clear()
+            return out
+
+    @contextmanager
+    def phase(self, name: str, total: int, done: Callable[[], int]) -> Iterator[None]:
+        """Tell of ``done()`` now and then while the block runs, and of all when it ended well."""
+        began, over, last = self.clock(), threading.Event(), [-1]
+
+        def tell(count: int) -> None:
+            if count > last[0]:
+                last[0] = count
+                rate = count / max(self.clock() - began, 1e-6)
+                self.publish(phase=name, done=count, total=total, rate=rate, seconds_left=(total - count) / rate if rate else None)
+
+        def watch() -> None:
+            while not over.wait(self.every):
+                tell(min(done(), total))
+
+        tell(0)
+        watcher = threading.Thread(target=watch, daemon=True)
+        watcher.start()
+        try:
+            yield
+        finally:
+            over.set()
+            watcher.join()
+        tell(total)
 
 
 def run_cancellable(spark: SparkSession, tag: str, work: Callable[[], object]) -> object:

@@ -11,6 +11,7 @@ from datetime import UTC, datetime
 
 import pyarrow as pa
 from pyarrow import fs as arrow_fs
+from pyspark import Accumulator
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
@@ -150,11 +151,12 @@ def _opened(path: str, known: dict) -> tuple[arrow_fs.FileSystem | None, str]:
     return known[scheme], rest
 
 
-def contents(files: DataFrame, wanted: Column | None = None) -> DataFrame:
+def contents(files: DataFrame, wanted: Column | None = None, counted: Accumulator | None = None) -> DataFrame:
     """path, content and file_hash (sha256) of each of ``files`` (path, size): both come from one read, block by block.
 
     Content is null where ``wanted`` is false and beyond READ_LIMIT: such a file is
     hashed without being held, whatever its size. A file that can't be read has neither.
+    ``counted`` rises by the files of each task that ended, for a display alone.
     """
     about = files.agg(F.coalesce(F.sum("size"), F.lit(0)).alias("bytes"), F.count("*").alias("files")).first()
     tasks = max(about.bytes // _TASK_BYTES, about.files // _TASK_FILES) + 1
@@ -180,6 +182,8 @@ def contents(files: DataFrame, wanted: Column | None = None) -> DataFrame:
                 except OSError:
                     out.append((path, None, None))
                 size += len(out[-1][1] or b"")
+                if counted is not None:
+                    counted.add(1)
                 if size >= _TOGETHER or len(out) >= _TASK_FILES:
                     yield batch()
                     out, size = [], 0
