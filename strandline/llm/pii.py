@@ -4,8 +4,8 @@ Patterns propose spans; four labelers (form, gazetteer, context, border) vote fo
 or against each or abstain. Expectation-maximisation over the counts of vote
 patterns estimates how far each labeler can be trusted, without any labelled
 span; its posteriors then train a naive Bayes classifier on the votes and on the
-span's kind, length and make-up, which decides about every proposed span. Spans
-that meet the strict rules of their kind stay whatever it says.
+span's kind, length and make-up, which decides about every proposed span that can be
+of its kind. Spans that meet the strict rules of their kind stay whatever it says.
 """
 
 from __future__ import annotations
@@ -100,6 +100,15 @@ def _strict(kind: str, match: Column) -> Column:
     return F.lit(False)
 
 
+def _possible(kind: str, c: Column) -> Column:
+    """Whether a match that isn't strict can be of its kind at all: a card's digits have a check digit and stand in no phone number."""
+    if kind == "card":
+        n = F.length(_digits(c["match"]))
+        of_phone = c["left"].rlike(r"\+[0-9\x20().-]*$")
+        return F.when(n.between(12, 19) & ~of_phone, _luhn(_digits(c["match"]))).otherwise(False)
+    return F.lit(True)
+
+
 def _sign(plus: Column, minus: Column) -> Column:
     return F.when(plus, 1).when(minus, -1).otherwise(0)
 
@@ -136,7 +145,7 @@ def _candidate(kind: str, c: Column) -> Column:
     traits = {"kind": F.lit(KINDS.index(kind))} | _votes(kind, c)
     traits |= {"long": F.when(size < 10, 0).when(size < 16, 1).when(size < 20, 2).otherwise(3), "digits": F.floor(share).cast("int")}
     return F.struct(
-        F.lit(KINDS.index(kind)).alias("k"), c["start"].alias("start"), (c["start"] + size).alias("stop"), _strict(kind, c["match"]).alias("strict"), F.array(*[traits[f].cast("int") for f in FEATURES]).alias("traits")
+        F.lit(KINDS.index(kind)).alias("k"), c["start"].alias("start"), (c["start"] + size).alias("stop"), _strict(kind, c["match"]).alias("strict"), _possible(kind, c).alias("possible"), F.array(*[traits[f].cast("int") for f in FEATURES]).alias("traits")
     )
 
 
@@ -146,13 +155,12 @@ def propose(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     rows = docs.select(*keep, whole("text").alias("__text")).withColumn("__digit", text.rlike("[0-9]"))
     some, pieces = {}, {}
     for at, (kind, pattern, sign) in enumerate(_PROPOSERS):
-        test = text.rlike(pattern)
-        test = text.contains(sign) & test if sign else test
+        test = text.contains(sign) if sign else F.lit(True)
         test = F.col("__digit") & test if kind in _DIGITS else test
-        some[f"h{at}"] = test
-        pieces[f"m{at}"] = F.when(F.col(f"h{at}"), F.regexp_extract_all(text, F.lit(pattern), 0))
-        pieces[f"p{at}"] = F.when(F.col(f"h{at}"), F.split(text, pattern, -1))
-    rows = rows.withColumns(some).withColumns(pieces).drop("__text", "__digit", *some)
+        some[f"m{at}"] = F.when(test, F.regexp_extract_all(text, F.lit(pattern), 0))
+        # split, a second search, only where there is a match
+        pieces[f"p{at}"] = F.when(F.size(f"m{at}") > 0, F.split(text, pattern, -1))
+    rows = rows.withColumns(some).withColumns(pieces).withColumns({f"m{at}": F.when(F.size(f"m{at}") > 0, F.col(f"m{at}")) for at in range(len(_PROPOSERS))}).drop("__text", "__digit")
     rows = rows.withColumns({f"s{at}": F.expr(f"transform(m{at}, (x, i) -> length(p{at}[i]) + length(x))") for at in range(len(_PROPOSERS))})
     rows = rows.withColumns({f"b{at}": F.when(F.col(f"s{at}").isNotNull(), begins(f"s{at}")) for at in range(len(_PROPOSERS))})
     rows = rows.withColumns({f"f{at}": _found(at) for at in range(len(_PROPOSERS))})
@@ -230,7 +238,7 @@ def detect(docs: DataFrame, rounds: int = 10) -> DataFrame:
     patterns = found.select(F.explode("found").alias("c")).groupBy(F.col("c.traits").alias("traits")).agg(F.count("*").alias("n"))
     model = estimate(materialize(patterns.coalesce(1), "pii-patterns"), rounds)
     listed = F.array(*map(F.lit, KINDS))
-    ordered = F.array_sort(F.transform(F.filter("found", lambda c: c["strict"] | (_odds(model, c["traits"]) > 0)), lambda c: F.struct(c["k"], c["start"], c["stop"], c["strict"])))
+    ordered = F.array_sort(F.transform(F.filter("found", lambda c: c["strict"] | (c["possible"] & (_odds(model, c["traits"]) > 0))), lambda c: F.struct(c["k"], c["start"], c["stop"], c["strict"])))
     named = lambda spans: F.array_join(F.transform(spans, lambda c: F.concat_ws(":", F.get(listed, c["k"]), c["start"].cast("string"), c["stop"].cast("string"))), ",")
     base = F.filter("kept", lambda c: c["strict"])
     of_kind = F.transform(base, lambda c: c["k"])

@@ -153,7 +153,7 @@ def test_additions_against_planted_spans_and_a_plain_model(spark):
     df = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(cases)], "doc_id long, text string").repartition(4)
     found = pii.propose(df).collect()
     odds = plain_model(list(Counter(tuple(c.traits) for r in found for c in r.found).items()), 10)
-    want = {r.doc_id: {(pii.KINDS[c.k], c.start, c.stop) for c in r.found if c.strict or odds(c.traits) > 0} for r in found}
+    want = {r.doc_id: {(pii.KINDS[c.k], c.start, c.stop) for c in r.found if c.strict or c.possible and odds(c.traits) > 0} for r in found}
     right = wrong = missed = 0
     for r in pii.detect(df).collect():
         got = {(k, int(a), int(b)) for k, a, b in (s.split(":") for s in filter(None, r.spans.split(",")))}
@@ -163,3 +163,53 @@ def test_additions_against_planted_spans_and_a_plain_model(spark):
         right, wrong, missed = right + len(own & true), wrong + len(own - true), missed + len(true - own)
     print("added kinds: precision", right / (right + wrong), "recall", right / (right + missed))
     assert right / (right + wrong) >= 0.9 and right / (right + missed) >= 0.9
+
+
+def held_out(rng):
+    """Texts of another make than ``planted``, which no labeler was changed for: other words, names, forms and decoys."""
+    digits = lambda n: "".join(rng.choices("0123456789", k=n))
+
+    def card(n):
+        body = "4" + digits(n - 2)
+        total = sum(int(d) if i % 2 else (2 * int(d) - 9 * (int(d) > 4)) for i, d in enumerate(reversed(body)))
+        return body + str(-total % 10)
+
+    lines = [
+        lambda: ("name", "Kind regards, ", rng.choice(["Dr. Okafor", "Frau Lindqvist", "Linda Marchetti", "Carlos Iglesias", "Prof Yamada"]), "."),
+        lambda: ("email", "Write to ", f"{rng.choice(['a.b', 'sales', 'x+y'])}{digits(2)}@mail.example.org", " today."),
+        lambda: ("ssn", "His social security number ", f"{rng.randint(100, 599)}-{digits(2)}-{digits(4)}", " is on file."),
+        lambda: ("secret", "export token=", "".join(rng.choices("ABCDEFabcdef0123456789", k=28)), "\n"),
+        lambda: ("card", "My visa card ", card(16), " expires soon."),
+        lambda: ("phone", "Tel. ", f"+49 30 {digits(4)} {digits(4)}", " until noon."),
+        lambda: (None, "Invoice ", digits(13), " was paid."),
+        lambda: (None, "In ", f"{rng.randint(1900, 2020)}-{rng.randint(10, 12)}-{rng.randint(10, 28)}", " it rained."),
+        lambda: (None, "Parts ", f"{digits(4)} {digits(4)} {digits(4)}", " are sold out."),
+        lambda: (None, "The ", rng.choice(["password of the day", "secret garden", "token gesture"]), " pleased everybody."),
+        lambda: (None, "Nothing to see here, only ", rng.choice(["rain", "Monday Morning", "New York"]), "."),
+    ]
+    out = []
+    for _ in range(500):
+        text, spans = "", set()
+        for _ in range(rng.randint(1, 4)):
+            kind, before, value, after = rng.choice(lines)()
+            text += before
+            if kind:
+                spans.add((kind, len(text), len(text) + len(value)))
+            text += value + after + " "
+        out.append((text, spans))
+    return out
+
+
+def test_held_out_texts(spark):
+    cases = held_out(random.Random(77))
+    df = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(cases)], "doc_id long, text string").repartition(4)
+    right = wrong = missed = 0
+    for r in pii.detect(df).collect():
+        got = {(k, int(a), int(b)) for k, a, b in (s.split(":") for s in filter(None, r.spans.split(",")))}
+        true = cases[r.doc_id][1]
+        right, wrong, missed = right + len(got & true), wrong + len(got - true), missed + len(true - got)
+        # digits of a phone number are no card
+        phones = [s for s in got if s[0] == "phone"]
+        assert not [s for s in got if s[0] == "card" and any(p[1] < s[2] and s[1] < p[2] for p in phones)]
+    print("held out: precision", right / (right + wrong), "recall", right / (right + missed))
+    assert right / (right + wrong) >= 0.9 and right / (right + missed) >= 0.9
