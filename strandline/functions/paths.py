@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -68,8 +70,16 @@ def is_network(path: Column | str) -> Column:
     return as_column(path).startswith("\\\\") | as_column(path).startswith("//")
 
 
+#: Fixed value: characters that names of files and folders are made of.
+_UNSAFE = r"[^A-Za-z0-9_-]"
+
+
 def safe_name(text: Column | str) -> Column:
-    return F.regexp_replace(as_column(text), r"[^A-Za-z0-9_-]", "_")
+    return F.regexp_replace(as_column(text), _UNSAFE, "_")
+
+
+def plain_name(text: str) -> str:
+    return re.sub(_UNSAFE, "_", text)
 
 
 def normalized(path: Column | str) -> Column:

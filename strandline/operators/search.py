@@ -133,7 +133,7 @@ def search(chunks: DataFrame, embeddings: DataFrame, query: str, k: int, strateg
 def api_projection(results: DataFrame, files: DataFrame) -> DataFrame:
     """What the HTTP search returns: names, trimmed text, whether there is an image, size and time of the file."""
     about = files.select(F.col("path").alias("file_path"), "size", "modified_at")
-    few = F.broadcast(results)  # at most k rows
+    few = results.limit(SENT_ROWS)  # a result has k rows; a limit tells the optimizer so
     return few.join(about, "file_path", "left").select("chunk_id", "file_path", paths.basename("file_path").alias("file_name"), trim_space("content").alias("content"), (F.length("image_data") > 0).alias("has_image"), "content_type", "size", F.date_format("modified_at", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("modified_at"), "distance")
 
 

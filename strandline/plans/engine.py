@@ -4,9 +4,10 @@ from __future__ import annotations
 
 import hashlib
 import posixpath
+import threading
 from functools import cached_property
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from strandline import workspace
@@ -37,8 +38,10 @@ class Index:
     def __init__(self, spark: SparkSession, source: str, root: str, dimension: int = 64, embed: embedding.Embedder | None = None, model: str = "offline", pdf_reader: pdf.Pages | None = None, pdf_images: pdf.Images | None = None, renderer: pdf.Renderer | None = None, approximate: bool = False, progress: service.Progress | None = None):
         self.spark, self.source, self.embed, self.model, self.pdf_reader = spark, source.rstrip("/"), embed or embedding.offline(dimension), model, pdf_reader
         self.pdf_images, self.renderer, self.approximate = pdf_images, renderer, approximate
-        self.progress = progress or service.Progress()
-        self.store = store.Store(spark, f"{root.rstrip('/')}/{self.source.rsplit('/', 1)[-1]}-{hash_name(self.source)}")
+        self.progress, self.answers = progress or service.Progress(), service.ResultCache()
+        self._stop = threading.Event()
+        self.store = store.Store(spark, f"{root.rstrip('/')}/{paths.plain_name(self.source.rsplit('/', 1)[-1])}-{hash_name(self.source)}")
+        self.tag = f"update-{hash_name(self.store.root)}"
 
     @cached_property
     def dimension(self) -> int:
@@ -62,7 +65,8 @@ class Index:
         whole run or nothing of it, another writer is told that the index is Busy.
         Nothing is written when nothing changed.
         """
-        with workspace.scratch(self.spark):
+        self._stop.clear()
+        with workspace.scratch(self.spark), service.tagged(self.spark, self.tag):
             before = self.store.snapshot()
             same = before.get_metadata("model") == self.model and before.get_metadata("dimension") == str(self.dimension)
             if incremental and same:
@@ -78,6 +82,7 @@ class Index:
                 if not (incremental and same and index.base.tables == before.state.tables):
                     compared = self.compared(index.read("files"))
                 counts = self._update(index, compared, mode, incremental)
+                self._go_on()
                 self.store.commit(index)
         return counts
 
@@ -94,8 +99,10 @@ class Index:
         with self.progress.phase("read", total, lambda: counted.value):
             read = folder.contents(files.select("path", "size", "kind"), ~long, counted)
             files = materialize(files.join(read.filter("file_hash is not null"), "path"), "contents")
+        self._go_on()
         with self.progress.phase("chunk", total, lambda: 0):
             chunks = materialize(self._chunks(files, mode), "chunks")
+        self._go_on()
         vectors, fresh = embedding.resolve(chunks, index.read("embedding_cache"), self.embed)
         fresh = materialize(fresh, "fresh")
         with self.progress.phase("embed", chunks.count(), lambda: 0):
@@ -185,6 +192,30 @@ class Index:
             near = lambda count: ann.nearest(index.read("lists"), index.read("centers"), vector, count, int(probes))
         return search.search(index.read("chunks"), index.read("embeddings"), query, k, strategy, content_type, self.embed, self.dimension, near)
 
+    def answer(self, query: str, top: int | None = None, strategy: str = "semantic", content_type: str = "", caller: str = "agent") -> list[Row]:
+        """A search's few rows as a caller gets them: what HTTP returns, or what an agent reads.
+
+        Answers stay for five minutes, as long as no commit comes in between.
+        """
+        index = self.store.snapshot()
+        changed = (index.state.version, query, top, strategy, content_type, caller)
+
+        def find() -> list[Row]:
+            found = self.search(query, top, strategy, content_type, caller)
+            shown = search.api_projection(found, index.read("files")) if caller == "http" else search.agent_projection(found)
+            return sorted(shown.collect(), key=lambda r: (r.distance is None, r.distance))
+
+        return self.answers.get(self.store.root, changed, find)
+
+    def cancel(self) -> None:
+        """End the ``update`` that another thread runs: its jobs now, else at its next step; its changes never land."""
+        self._stop.set()
+        service.cancel(self.spark, self.tag)
+
+    def _go_on(self) -> None:
+        if self._stop.is_set():
+            raise service.Cancelled("the update was cancelled")
+
     def status(self) -> DataFrame:
         with workspace.scratch(self.spark):
             index = self.store.snapshot()
@@ -213,6 +244,12 @@ class Index:
     def get_file_chunks(self, path: str) -> DataFrame:
         return metadata.file_chunks(self.store.read("files"), self.store.read("chunks"), path)
 
+    def get_chunk(self, chunk_id: str) -> DataFrame:
+        return metadata.get_chunk(self.store.read("chunks"), chunk_id)
+
+    def all_files(self) -> DataFrame:
+        return metadata.all_files(self.store.read("files"))
+
     def get_file_info(self, path: str) -> DataFrame:
         files = self.store.read("files")
         return metadata.file_info(files.filter(F.col("path") == path), self.store.read("chunks"))

@@ -9,7 +9,8 @@ from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandline.operators import embedding, search, store
+from strandline.functions import paths
+from strandline.operators import embedding, metadata, search, store
 from strandline.workspace import file_system
 
 INFO = "index_name string, folder_path string, chunks long, last_modified timestamp, error string"
@@ -54,6 +55,12 @@ def list_indexes(spark: SparkSession, root: str) -> DataFrame:
     return spark.createDataFrame(found, INFO)
 
 
+def newest(spark: SparkSession, root: str, now: str) -> DataFrame:
+    """``list_indexes`` newest first, with the bucket of their age and how long ago they changed."""
+    found = metadata.newest_indexes(list_indexes(spark, root), F.lit(now[:10]))
+    return found.withColumn("changed", paths.relative_time("last_modified", F.lit(now)))
+
+
 def search_indexes(spark: SparkSession, root: str, query: str, k: int, embed: embedding.Embedder, dimension: int, strategy: str = "semantic", content_type: str = "", only: list[str] | None = None) -> DataFrame:
     """The k best hits of all indexes under ``root``, or of ``only`` some, nearest first.
 

@@ -552,6 +552,22 @@ def index_age_buckets(spark, sf_dir):
     return files_of(spark, sf_dir).select(paths.age_bucket("modified_at", F.lit(TODAY)).alias("bucket")).groupBy("bucket").agg(F.count("*").alias("n"))
 
 
+@query(f"""SELECT doc_id, len(string_split(text, chr(10)))::INT AS lines, CASE WHEN length(text) > 60 THEN substr(text, 1, 57) || '...' ELSE text END AS preview,
+  regexp_replace(source || ' (' || lang || ').d', '[^A-Za-z0-9_-]', '_', 'g') AS safe, lower(replace('C:\\Docs\\' || source, '\\', '/')) AS normal,
+  CASE WHEN s < 60 THEN 'Just now' WHEN s < 3600 THEN s // 60 || 'm ago' WHEN s < 86400 THEN s // 3600 || 'h ago' WHEN s < 7 * 86400 THEN s // 86400 || 'd ago' ELSE strftime(t, '%Y-%m-%d') END AS age,
+  round(CASE WHEN r < 0 THEN abs(r) * 100 ELSE (1 - r) * 100 END, 6) AS relevance
+FROM (SELECT *, TIMESTAMP '2024-01-01 00:00:00' + to_hours(doc_id::INT) AS t, epoch(TIMESTAMP '{TODAY} 00:00:00')::BIGINT - epoch(TIMESTAMP '2024-01-01 00:00:00' + to_hours(doc_id::INT))::BIGINT AS s, n_chars / 10000.0::DOUBLE - 0.2::DOUBLE AS r FROM documents)""")
+def display_fields(spark, sf_dir):
+    """What lists and logs show of a file."""
+    docs = read(spark, sf_dir, "documents")
+    then = F.expr("timestampadd(HOUR, doc_id, timestamp'2024-01-01 00:00:00')")
+    return docs.select(
+        "doc_id", text.line_count("text").alias("lines"), text.argument_preview("text").alias("preview"), paths.safe_name(F.concat("source", F.lit(" ("), "lang", F.lit(").d"))).alias("safe"),
+        paths.normalized(F.concat(F.lit("C:\\Docs\\"), "source")).alias("normal"), paths.relative_time(then, F.lit(f"{TODAY} 00:00:00")).alias("age"),
+        F.round(vectors.relevance_percent(F.col("n_chars") / 10000.0 - 0.2), 6).alias("relevance"),
+    )
+
+
 _KIND = "CASE (turn * 7 + conv_id) % 5 WHEN 0 THEN 'thinking' WHEN 1 THEN 'tool_call' WHEN 2 THEN 'tool_result' ELSE 'text' END"
 
 

@@ -137,19 +137,19 @@ class Progress:
         tell(total)
 
 
-def run_cancellable(spark: SparkSession, tag: str, work: Callable[[], object]) -> object:
-    """Run ``work`` under a tag, so that ``cancel`` from another thread ends its jobs."""
+class Cancelled(RuntimeError):
+    """A run was ended from outside."""
+
+
+@contextmanager
+def tagged(spark: SparkSession, tag: str) -> Iterator[None]:
+    """Jobs inside carry a tag, so that ``cancel`` from another thread ends them."""
     spark.addTag(tag)
     try:
-        return work()
+        yield
     finally:
         spark.removeTag(tag)
 
 
 def cancel(spark: SparkSession, tag: str) -> None:
     spark.interruptTag(tag)
-
-
-def refresh_statistics(spark: SparkSession, table: str) -> None:
-    """Statistics of a catalog table for the cost-based optimizer."""
-    spark.sql(f"ANALYZE TABLE {table} COMPUTE STATISTICS")

@@ -1,11 +1,14 @@
 import base64
 import os
+import threading
+import time
 
 import pytest
 
 from strandline import workspace
 from strandline.operators import embedding
 from strandline.operators.store import Transaction
+from strandline.plans import indexes
 from strandline.plans.engine import Index
 from strandline.sources import pdf
 from strandline.streaming import ingest
@@ -227,3 +230,50 @@ def test_pdf_pages_images_and_pictures(spark, tmp_path):
     assert contents("both", pdf_images=images, renderer=renderer) == [rich.strip(), inside[0], "Image from page 2 (800x900, png)", inside[2]]
     assert contents("text_pdfimages", pdf_images=images) == [rich.strip(), *inside]
     assert contents("text_images", pdf_images=images) == [rich.strip()]
+
+
+def test_answers_chunks_and_files(spark, folder, tmp_path):
+    index = Index(spark, str(folder), str(tmp_path / "store"), dimension=16)
+    index.update()
+    told = index.answer("cats", strategy="keyword", caller="http")
+    assert [(r.file_name, r.has_image, r.size) for r in told] == [("README.md", None, len("# Title about cats and pets"))]
+    first = index.answer("cats", strategy="keyword")
+    assert first[0].content == "# Title about cats and pets" and index.answer("cats", strategy="keyword") is first
+    assert index.get_chunk(told[0].chunk_id).first().content == "# Title about cats and pets"
+    assert [r.path.rsplit("/", 1)[-1] for r in index.all_files().collect()] == ["README.md", "config.yaml", "api.md", "main.go"]
+    (folder / "more.md").write_text("cats again")
+    index.update()
+    assert len(index.answer("cats", strategy="keyword")) == 2
+    listed = indexes.newest(spark, str(tmp_path / "store"), "2100-01-01 00:00:00").first()
+    assert listed.folder_path == str(folder) and listed.chunks == 5 and listed.bucket == "Older"
+
+
+def test_a_cancelled_update_never_lands(spark, folder, tmp_path):
+    from pyspark.sql import functions as F
+
+    @F.udf("array<float>")
+    def slowly(text):
+        time.sleep(6)
+        return [1.0]
+
+    index = Index(spark, str(folder), str(tmp_path / "store"), dimension=1)
+    index.__dict__["dimension"] = 1
+    index.embed = lambda content: slowly(content)
+    failed = []
+
+    def run():
+        try:
+            index.update()
+        except Exception as error:
+            failed.append(error)
+
+    writer = threading.Thread(target=run)
+    writer.start()
+    began = time.time()
+    while not [e for e in index.progress.read(1) if e["phase"] == "chunk" and e["done"]] and time.time() - began < 120:
+        pass
+    time.sleep(1)
+    index.cancel()
+    writer.join(120)
+    assert failed and index.store.read("files").count() == 0
+    assert Index(spark, str(folder), str(tmp_path / "store"), dimension=16).update()["new"] == 4

@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from strandline.functions import paths, text, vectors
+from strandline.sources import pdf
 
 
 def one(spark, value, column):
@@ -81,3 +82,16 @@ def test_vectors(spark):
     assert one(spark, "doc", vectors.hash_rerank_score(F.lit("q"), F.col("v"))) == pytest.approx(min(score, 1))
     assert one(spark, "1121", vectors.image_tokens(F.col("v").cast("int"))) == 3
     assert one(spark, "[1,2.5]", vectors.parse_vector("v")) == [1.0, 2.5]
+
+
+def test_small_functions(spark):
+    row = spark.range(1).select(
+        vectors.vector_literal(F.array(F.lit(1.5), F.lit(-2.0))).alias("literal"),
+        paths.stored_time(F.lit("2024-01-02 03:04:05")).cast("string").alias("plain"),
+        paths.stored_time(F.lit("2024-01-02T03:04:05Z")).cast("string").alias("iso"),
+        paths.stored_time(F.lit("never")).cast("string").alias("none"),
+    ).first()
+    assert tuple(row) == ("[1.5,-2.0]", "2024-01-02 03:04:05", "2024-01-02 03:04:05", None)
+    assert paths.plain_name("my docs (v2).d") == "my_docs__v2__d"
+    info = spark.createDataFrame([("f", "/a/b.pdf", "  ", "me", "D:20240102030405", None, 3)], "file_id string, path string, title string, creator string, created string, modified string, page_count int")
+    assert pdf.document_metadata(info).first().title == "b.pdf"
