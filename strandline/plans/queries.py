@@ -235,13 +235,12 @@ def clean_text(spark, sf_dir):
     return read(spark, sf_dir, "documents").select("doc_id", text.clean_text("text").alias("cleaned"))
 
 
-@query("""SELECT doc_id, CASE doc_id % 5 WHEN 4 THEN NULL ELSE strftime(TIMESTAMP '2024-01-01' + to_days((doc_id % 300)::INT) + CASE WHEN doc_id % 5 IN (0, 1) THEN INTERVAL '10:30:00' ELSE INTERVAL '0' SECOND END, '%Y-%m-%d %H:%M:%S') END AS parsed FROM documents""")
+@query("""SELECT event_id, CASE event_id % 5 WHEN 4 THEN NULL WHEN 2 THEN strftime(ts, '%Y-%m-%d 00:00:00') ELSE strftime(ts, '%Y-%m-%d %H:%M:%S') END AS parsed FROM events""")
 def pdf_date_parse(spark, sf_dir):
-    day = F.date_add(F.lit("2024-01-01").cast("date"), (F.col("doc_id") % 300).cast("int"))
-    stamp = F.date_format(day, "yyyyMMdd")
-    written = F.when(F.col("doc_id") % 5 == 0, F.concat(F.lit("D:"), stamp, F.lit("103000"))).when(F.col("doc_id") % 5 == 1, F.concat(F.lit("(D:"), stamp, F.lit("103000+00'00')")))
-    written = written.when(F.col("doc_id") % 5 == 2, stamp).when(F.col("doc_id") % 5 == 3, F.concat(F.date_format(day, "yyyy-MM-dd"), F.lit("T00:00:00Z"))).otherwise("invalid")
-    return read(spark, sf_dir, "documents").select("doc_id", F.date_format(paths.pdf_date(written), "yyyy-MM-dd HH:mm:ss").alias("parsed"))
+    """The events' times in the layouts that PDFs have them in."""
+    n, written = F.col("event_id") % 5, lambda layout: F.date_format("ts", layout)
+    stamp = F.when(n == 0, written("'D:'yyyyMMddHHmmss")).when(n == 1, F.concat(written("'(D:'yyyyMMddHHmmss"), F.lit("+00'00')"))).when(n == 2, written("yyyyMMdd")).when(n == 3, written("yyyy-MM-dd'T'HH:mm:ss'Z'")).otherwise("invalid")
+    return read(spark, sf_dir, "events").select("event_id", F.date_format(paths.pdf_date(stamp), "yyyy-MM-dd HH:mm:ss").alias("parsed"))
 
 
 @query("""WITH v AS (SELECT doc_id, list_transform(range(0, 16), lambda i: (('0x' || substr(sha256(text), ((i * 8) % 64 + 1)::INT, 8))::UBIGINT)::DOUBLE / 4294967295.0::DOUBLE * 2 - 1) AS raw FROM documents),
@@ -489,20 +488,22 @@ def ann_recall(spark, sf_dir):
 
 
 @query("""WITH modes(mode, t, a, p) AS (VALUES ('text', true, false, false), ('images', false, true, false), ('text_images', true, true, false), ('text_pdfimages', true, false, true), ('both', true, true, true))
-SELECT mode, count(*) AS n FROM documents, modes WHERE CASE doc_id % 3 WHEN 0 THEN t WHEN 1 THEN a ELSE p END GROUP BY mode""")
+SELECT mode, count(*) AS n FROM documents, modes WHERE CASE WHEN lang IN ('en', 'de') THEN t WHEN lang = 'fr' THEN a ELSE p END GROUP BY mode""")
 def mode_routing(spark, sf_dir):
-    n = F.col("doc_id") % 3
-    docs = read(spark, sf_dir, "documents").select(F.when(n == 0, "text").otherwise("image").alias("kind"), (n == 2).alias("from_pdf"))
+    """English and German documents as texts, French ones as pictures, others as pictures in PDFs."""
+    lang = F.col("lang")
+    docs = read(spark, sf_dir, "documents").select(F.when(lang.isin("en", "de"), "text").otherwise("image").alias("kind"), (F.coalesce(lang, F.lit("")) != "fr").alias("from_pdf"))
     fits = docs.select(F.explode(F.array_compact(F.array(*[F.when(chunking.takes(mode, F.col("kind"), F.col("from_pdf")), mode) for mode in chunking.MODES]))).alias("mode"))
     return fits.groupBy("mode").agg(F.count("*").alias("n"))
 
 
-_W, _H = "((doc_id * 37) % 5000)", "((doc_id * 91) % 3600)"
+#: Pictures as wide and high as their texts are long, in some sense.
+_W, _H = "((length(text) * 37) % 5000)", "((length(text) * 91 + length(source)) % 3600)"
 
 
 @query(f"SELECT doc_id, {_W} AS width, {_H} AS height FROM documents WHERE {_W} BETWEEN 500 AND 4000 AND {_H} BETWEEN 350 AND 3000 AND {_W} * {_H} BETWEEN 175000 AND 12000000")
 def image_filter(spark, sf_dir):
-    docs = read(spark, sf_dir, "documents").select("doc_id", F.expr(_W).alias("width"), F.expr(_H).alias("height"))
+    docs = read(spark, sf_dir, "documents").select("doc_id", F.expr(_W).cast("long").alias("width"), F.expr(_H).cast("long").alias("height"))
     return docs.filter(chunking.image_fits("width", "height"))
 
 
@@ -514,12 +515,13 @@ def validator_histogram(spark, sf_dir):
     return images.histogram(docs.select(images.size_reason(F.octet_length("text") * 900, F.expr(_W), F.expr(f"{_H} + 1")).alias("reason")))
 
 
-@query("""WITH c AS (SELECT source, doc_id, CASE WHEN doc_id % 4 = 0 THEN 0 ELSE doc_id % 6 + 1 END AS page, CASE WHEN doc_id % 3 = 0 THEN 'image' ELSE 'text' END AS kind FROM documents)
+@query("""WITH c AS (SELECT source, doc_id, n_chars // 2000 AS page, CASE WHEN lang = 'en' THEN 'text' ELSE 'image' END AS kind FROM documents)
 SELECT doc_id, (row_number() OVER (PARTITION BY source ORDER BY page, kind <> 'text', doc_id) - 1)::INT AS chunk_index, (count(*) OVER (PARTITION BY source))::INT AS total_chunks FROM c""")
 def multimodal_order(spark, sf_dir):
-    n = F.col("doc_id")
+    """A source's documents as one file's chunks: pages by length, none for the short ones, English ones as texts."""
+    page = F.floor(F.col("n_chars") / 2000).cast("int")
     chunks = read(spark, sf_dir, "documents").select(
-        F.col("source").alias("file_id"), "doc_id", F.when(n % 4 != 0, F.array((n % 6 + 1).cast("int"))).alias("page_numbers"), F.when(n % 3 == 0, "image").otherwise("text").alias("content_type"), n.cast("int").alias("chunk_index")
+        F.col("source").alias("file_id"), "doc_id", F.when(page > 0, F.array(page)).alias("page_numbers"), F.when(F.col("lang") == "en", "text").otherwise("image").alias("content_type"), F.col("doc_id").cast("int").alias("chunk_index")
     )
     return chunking.merge_multimodal(chunks, "doc_id").select("doc_id", "chunk_index", "total_chunks")
 
@@ -546,10 +548,10 @@ def log_levels(spark, sf_dir):
     return read(spark, sf_dir, "events").select(text.log_level(message).alias("level")).groupBy("level").agg(F.count("*").alias("n"))
 
 
-@query(f"""SELECT CASE WHEN d >= DATE '{TODAY}' THEN 'Today' WHEN d >= DATE '{TODAY}' - 1 THEN 'Yesterday' WHEN d >= DATE '{TODAY}' - 7 THEN 'Last 7 Days' ELSE 'Older' END AS bucket, count(*) AS n
-FROM (SELECT CAST(TIMESTAMP '2024-01-01 00:00:00' + to_hours(doc_id::INT) AS DATE) AS d FROM documents) GROUP BY 1""")
+@query("""SELECT CASE WHEN d >= DATE '2024-01-30' THEN 'Today' WHEN d >= DATE '2024-01-29' THEN 'Yesterday' WHEN d >= DATE '2024-01-23' THEN 'Last 7 Days' ELSE 'Older' END AS bucket, count(*) AS n
+FROM (SELECT CAST(ts AS DATE) AS d FROM events) GROUP BY 1""")
 def index_age_buckets(spark, sf_dir):
-    return files_of(spark, sf_dir).select(paths.age_bucket("modified_at", F.lit(TODAY)).alias("bucket")).groupBy("bucket").agg(F.count("*").alias("n"))
+    return read(spark, sf_dir, "events").select(paths.age_bucket(F.col("ts").cast("timestamp_ntz"), F.lit("2024-01-30")).alias("bucket")).groupBy("bucket").agg(F.count("*").alias("n"))
 
 
 @query(f"""SELECT doc_id, len(string_split(text, chr(10)))::INT AS lines, CASE WHEN length(text) > 60 THEN substr(text, 1, 57) || '...' ELSE text END AS preview,
