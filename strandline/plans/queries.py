@@ -177,10 +177,10 @@ _SENTENCES = r"""ss AS (
   SELECT doc_id, list_filter(list_transform(regexp_extract_all(replace(text, chr(10), '. '), '(?s).*?[.!?](?: |\z)|.+\z'), lambda s: trim(s)), lambda s: s <> '') AS list FROM documents)"""
 
 
-@query(f"WITH {_SENTENCES} SELECT doc_id, len(list) AS n_sentences, list[1] AS first, list[-1] AS last FROM ss WHERE len(list) > 0")
+@query(f"WITH {_SENTENCES} SELECT doc_id, len(list) AS n_sentences, list[1] AS first, list[-1] AS last, md5(array_to_string(list, chr(10))) AS digest FROM ss WHERE len(list) > 0")
 def sentence_split(spark, sf_dir):
     split = read(spark, sf_dir, "documents").select("doc_id", text.sentences("text").alias("list"))
-    return split.select("doc_id", F.size("list").cast("bigint").alias("n_sentences"), F.col("list")[0].alias("first"), F.element_at("list", -1).alias("last"))
+    return split.select("doc_id", F.size("list").cast("bigint").alias("n_sentences"), F.col("list")[0].alias("first"), F.element_at("list", -1).alias("last"), F.md5(F.array_join("list", "\n")).alias("digest"))
 
 
 _CUT = f"""{_SENTENCES},
@@ -245,10 +245,10 @@ def pdf_date_parse(spark, sf_dir):
 
 @query("""WITH v AS (SELECT doc_id, list_transform(range(0, 16), lambda i: (('0x' || substr(sha256(text), ((i * 8) % 64 + 1)::INT, 8))::UBIGINT)::DOUBLE / 4294967295.0::DOUBLE * 2 - 1) AS raw FROM documents),
 n AS (SELECT doc_id, raw, sqrt(list_sum(list_transform(raw, lambda x: x * x))) AS size FROM v)
-SELECT doc_id, round(raw[1] / size, 6) AS v0, round(raw[8] / size, 6) AS v7, round(raw[16] / size, 6) AS v15 FROM n""")
+SELECT doc_id, array_to_string(list_transform(raw, lambda x: round(x / size * 1000000)::BIGINT), ',') AS millionths FROM n""")
 def mock_embedding(spark, sf_dir):
-    v = read(spark, sf_dir, "documents").select("doc_id", vectors.hash_embedding("text", 16).alias("v"))
-    return v.select("doc_id", *[F.round(F.col("v")[i], 6).alias(f"v{i}") for i in (0, 7, 15)])
+    millionths = F.transform(vectors.hash_embedding("text", 16), lambda v: F.round(v * 1_000_000).cast("bigint").cast("string"))
+    return read(spark, sf_dir, "documents").select("doc_id", F.array_join(millionths, ",").alias("millionths"))
 
 
 # files
@@ -406,13 +406,14 @@ def upsert_files(spark, sf_dir):
     return store.upsert(files.filter("doc_id % 2 = 0"), files.filter("doc_id % 3 = 0").withColumn("size", F.col("size") + 1), "file_id").select("path", "size")
 
 
-@query("SELECT 'files' AS of, count(*) FILTER (doc_id % 4 <> 0) AS n FROM documents UNION ALL SELECT 'chunks', count(*) FILTER (doc_id % 4 <> 0) FROM documents UNION ALL SELECT 'embeddings', count(*) FILTER (NOT (vec_id % 4 = 0 AND vec_id IN (SELECT doc_id FROM documents))) FROM embeddings")
+@query("SELECT 'files' AS of, doc_id AS id FROM documents WHERE doc_id % 4 <> 0 UNION ALL SELECT 'chunks', doc_id FROM documents WHERE doc_id % 4 <> 0 UNION ALL SELECT 'embeddings', vec_id FROM embeddings WHERE NOT (vec_id % 4 = 0 AND vec_id IN (SELECT doc_id FROM documents))")
 def delete_cascade(spark, sf_dir):
+    """What is left of the three tables without every fourth file."""
     files = files_of(spark, sf_dir)
     chunks = files.select("file_id", F.col("doc_id").alias("chunk_id"))
     left = store.delete_files(files, chunks, embeddings_of(spark, sf_dir), files.filter("doc_id % 4 = 0"))
-    counts = [df.agg(F.lit(name).alias("of"), F.count("*").alias("n")) for name, df in zip(("files", "chunks", "embeddings"), left, strict=True)]
-    return counts[0].unionByName(counts[1]).unionByName(counts[2])
+    ids = [df.select(F.lit(name).alias("of"), F.col(key).alias("id")) for (name, key), df in zip((("files", "doc_id"), ("chunks", "chunk_id"), ("embeddings", "chunk_id")), left, strict=True)]
+    return ids[0].unionByName(ids[1]).unionByName(ids[2])
 
 
 @query("SELECT doc_id, vec_id IS NOT NULL AS cached FROM documents LEFT JOIN (SELECT vec_id, sha256(text) AS h FROM embeddings JOIN documents ON doc_id = vec_id WHERE vec_id % 2 = 0 QUALIFY row_number() OVER (PARTITION BY sha256(text) ORDER BY vec_id) = 1) ON h = sha256(text)")
