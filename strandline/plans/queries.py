@@ -470,7 +470,8 @@ def _asked(spark, sf_dir):
 def ann_all_lists(spark, sf_dir):
     """The ten nearest of every twentieth vector, with all lists of the trained index looked into: the exact answer."""
     centers = materialize(ann.train(_vectors(spark, sf_dir)), "centers")
-    found = ann.nearest_of_many(ann.deal(_vectors(spark, sf_dir), centers), centers, _asked(spark, sf_dir), TOP, centers.count())
+    dealt = materialize(ann.deal(_vectors(spark, sf_dir), centers), "lists")
+    found = ann.nearest_of_many(dealt, centers, _asked(spark, sf_dir), TOP, centers.count())
     return found.withColumn("distance", F.round("distance", 6))
 
 
