@@ -42,15 +42,16 @@ def list_count(total: int) -> int:
 def train(embeddings: DataFrame, total: int | None = None, seed: int = 1) -> DataFrame:
     """The centers (list, center) for ``embeddings`` (vector); of few vectors there is one list, whose center has no values."""
     total = embeddings.count() if total is None else total
-    some = embeddings.filter("vector is not null").select(vectors.unit("vector").alias("vector"))
+    some = embeddings.filter("vector is not null").select("vector")
     some = some if total <= SAMPLE else some.sample(SAMPLE / total, seed)
     # one file of few row groups would be one task in all rounds
-    rows = some.repartition(embeddings.sparkSession.sparkContext.defaultParallelism).select(array_to_vector("vector").alias("features")).persist()
+    some = some.repartition(embeddings.sparkSession.sparkContext.defaultParallelism)
+    rows = some.select(array_to_vector(vectors.unit("vector")).alias("features")).persist()
     try:
         if list_count(total) == 1 or rows.isEmpty():
             found = [[]]
         else:
-            found = [list(map(float, c)) for c in KMeans(k=list_count(total), maxIter=_ROUNDS, seed=seed).fit(rows).clusterCenters()]
+            found = [list(map(float, c)) for c in KMeans(k=list_count(total), maxIter=_ROUNDS, seed=seed, solver="block").fit(rows).clusterCenters()]
     finally:
         rows.unpersist()
     return embeddings.sparkSession.createDataFrame(list(enumerate(found)), CENTERS)

@@ -124,3 +124,17 @@ def test_many_queries_make_no_row_for_a_pair(spark):
     close = values.astype(float) / np.linalg.norm(values.astype(float), axis=1, keepdims=True)
     for query in (0, 9_980, 19_980):
         assert [r[2] for r in found if r[0] == query] == np.argsort(-(close @ close[query]))[:10].tolist()
+
+
+def test_centers_of_one_file_are_fitted_by_many_tasks(spark):
+    """A table that is read as one partition; its rounds were one task each."""
+    table = table_of(spark, np.random.default_rng(8).normal(size=(600, 8)).astype(np.float32)).coalesce(1).cache()
+    context = spark.sparkContext
+    context.setJobGroup("fit", "")
+    try:
+        assert ann.train(table).count() == 24
+        tracker = context.statusTracker()
+        stages = [tracker.getStageInfo(stage) for job in tracker.getJobIdsForGroup("fit") for stage in tracker.getJobInfo(job).stageIds]
+    finally:
+        context.setLocalProperty("spark.jobGroup.id", None)
+    assert sum(stage.numTasks >= context.defaultParallelism for stage in stages if stage) >= 10
